@@ -145,7 +145,7 @@ class Mixture:
     def selection(self) -> DataFrame:
         """``(doc_id, source, tokens, copies)`` of every record used, at most ``max_repeats`` times.
 
-        A leaf's last, partial epoch takes records while their sum stays within the budget.
+        A leaf's last, partial epoch takes records as long as their middle lies within the budget.
         """
         largest = max((docs for _, docs in self.stock.values()), default=1)
         slices = max(1, -(-largest // SLICE))
@@ -163,7 +163,7 @@ class Mixture:
         cut = Table(sums.withColumn("base", base).filter("base <= rest AND base + sum > rest").select(*self.levels, F.col("slice").alias("cut"), "base"), "cuts")
         edge = ordered.join(F.broadcast(cut.df), list(self.levels), "left")  # at most one row a leaf
         inside = edge.filter("slice = cut").withColumn("run", F.sum("tokens").over(W.partitionBy(*self.levels).orderBy("key", "doc_id")))
-        picked = inside.withColumn("extra", (F.col("base") + F.col("run") <= F.col("rest")).cast("int"))
+        picked = inside.withColumn("extra", (F.col("base") + F.col("run") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
         others = edge.filter("cut IS NULL OR slice <> cut").withColumn("extra", (F.col("slice") < F.coalesce("cut", F.when(F.col("rest") > 0, slices).otherwise(0))).cast("int"))
         columns = ["doc_id", *self.levels, "tokens", (F.col("epochs") + F.col("extra")).alias("copies")]
         return picked.select(columns).unionByName(others.select(columns)).filter("copies > 0")
