@@ -58,13 +58,13 @@ class TestSet:
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of ``text`` that hold a word, ordered by their first ``depth`` words or more; -1 separates stretches."""
-    rank = text.astype(np.int64) + 1
+    rank = text.astype(np.int64) + 2  # 0 is what lies past the end
     length, reach = len(rank), 1
-    while reach < depth:
+    while length and reach < depth:
         ahead = np.zeros(length, np.int64)
         ahead[: length - reach] = rank[reach:] if reach < length else 0
         values, new = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)
-        rank, reach = new.astype(np.int64), 2 * reach
+        rank, reach = new.astype(np.int64) + 1, 2 * reach
         if len(values) == length:
             break
     order = np.argsort(rank, kind="stable")
