@@ -1,7 +1,7 @@
 """A field-weighted inverted index as DataFrames, and batches of queries ranked over it.
 
 The index is three tables: postings (product, field, term, tf), documents (length and
-nudges) and vocabulary (term, df), of which a search writes the first and last once. A batch of queries is expanded against the vocabulary
+nudges) and vocabulary (term, df), which a search writes once. A batch of queries is expanded against the vocabulary
 (exact; the last word by prefix; a word without either by one edit), joined to the postings
 on the term, and summed per query and product. A hot term is one key of that join, whose
 posting side adaptive execution splits.
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallwright.functions.text import damerau_levenshtein, jaro_winkler, ngram_similarity, ngrams, tokens
-from stallwright.storage import materialize
+from stallwright.storage import default_buckets, materialize
 
 # Field weights and BM25 parameters.
 FIELD_WEIGHTS = {"name": 4.0, "brand_name": 2.5, "category_path": 2.5, "tag_text": 1.6, "attribute_text": 1.6, "sku_text": 1.4, "description_text": 1.0}
@@ -33,11 +33,11 @@ def postings(catalog: DataFrame) -> DataFrame:
     return each.groupBy("product_id", "field", "term").agg(F.count("*").alias("tf"))
 
 
-def documents(catalog: DataFrame) -> DataFrame:
-    """``(product_id, length, nudge)``."""
-    length = sum((F.size(tokens(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0))
+def documents(catalog: DataFrame, posted: DataFrame) -> DataFrame:
+    """``(product_id, length, nudge)``; a product without words has length 0."""
+    lengths = posted.groupBy("product_id").agg(F.sum("tf").alias("length"))
     nudge = F.least(F.coalesce("popularity", F.lit(0.0)), F.lit(100.0)) * POPULARITY_NUDGE + F.greatest(F.lit(0.0), F.least(F.coalesce(F.nanvl("rating_average", F.lit(None).cast("double")), F.lit(0.0)), F.lit(5.0))) * RATING_NUDGE
-    return catalog.select("product_id", length.alias("length"), nudge.alias("nudge"))
+    return catalog.select("product_id", nudge.alias("nudge")).join(lengths, "product_id", "left").select("product_id", F.coalesce("length", F.lit(0)).alias("length"), "nudge")
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:
@@ -108,16 +108,21 @@ def bm25_search(queries: DataFrame, catalog: DataFrame, limit: int = 10) -> Data
     Queries without words, and with a word that no term stands for, have no hits. Scores are
     rounded to six places and ties broken by product_id; repeated queries count once.
     """
-    posted, docs = materialize(postings(catalog), "postings"), documents(catalog)
-    sizes = docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    posted = materialize(postings(catalog), "postings")
+    docs = materialize(documents(catalog, posted), "documents")
     words = materialize(vocabulary(posted), "vocabulary")
-    expanded = materialize(expand(queries.select("query").distinct(), words), "expanded")
+    sizes = docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     weight = F.create_map(*(x for f, w in FIELD_WEIGHTS.items() for x in (F.lit(f), F.lit(w))))[F.col("field")]
     ratio = F.when(F.col("mean") > 0, F.col("length") / F.col("mean")).otherwise(F.lit(1.0))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))) * weight
-    hits = expanded.join(posted, "term").join(docs, "product_id").crossJoin(sizes)  # sizes is one row
-    scored = hits.groupBy("query", "n", "product_id").agg(F.sum(part).alias("text"), F.max("nudge").alias("nudge"), F.bit_or(F.expr("shiftleft(1, at)")).alias("met"), F.max("fuzzy").alias("fuzzy")).filter("met = shiftleft(1, n) - 1")
+    # what a term is worth in a product doesn't depend on the query, so it is reckoned once, and spread evenly whatever the term
+    worth = posted.join(words.select("term", "df"), "term").join(docs, "product_id").crossJoin(sizes)  # sizes is one row
+    worth = worth.groupBy("term", "product_id").agg(F.sum(part).alias("part"), F.max("nudge").alias("nudge"))
+    worth = materialize(worth.repartition(default_buckets(queries.sparkSession), "term", "product_id"), "worth")
+    expanded = materialize(expand(queries.select("query").distinct(), words), "expanded")
+    hits = expanded.join(worth, "term")
+    scored = hits.groupBy("query", "n", "product_id").agg(F.sum("part").alias("text"), F.max("nudge").alias("nudge"), F.bit_or(F.expr("shiftleft(1, at)")).alias("met"), F.max("fuzzy").alias("fuzzy")).filter("met = shiftleft(1, n) - 1")
     ranked = scored.select("query", "product_id", F.round(F.col("text") + F.col("nudge"), 6).alias("score"), "fuzzy")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "product_id"))
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= limit)
