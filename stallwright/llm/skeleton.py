@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallwright.storage import materialize
+
 # Letters of the same shape, each with its Latin (or first named) prototype.
 SAME_SHAPE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -117,7 +119,7 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     membership), so a text copied a million times gives no more pairs than one. Missing and
     blank texts give none; neither do repeated rows.
     """
-    texts = fingerprints(documents).groupBy("look", "exact").agg(F.min("doc_id").alias("doc"))
+    texts = materialize(fingerprints(documents).groupBy("look", "exact").agg(F.min("doc_id").alias("doc")).select("look", "doc"), "looks")
     several = texts.groupBy("look").agg(F.count("*").alias("n")).filter("n > 1").select("look")
-    kept = texts.join(several, "look", "left_semi").select("look", "doc")
+    kept = texts.join(several, "look", "left_semi")
     return kept.select("look", F.col("doc").alias("doc_a")).join(kept.select("look", F.col("doc").alias("doc_b")), "look").filter("doc_a < doc_b").select("doc_a", "doc_b")
