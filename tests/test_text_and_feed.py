@@ -76,3 +76,54 @@ def test_search_needs_every_word(spark):
     queries = spark.createDataFrame([("red mug",), ("re",), ("red clya",), ("red zebra",), ("",), ("!!",)], "query string")
     got = {(r.query, r.product_id, r.fuzzy) for r in S.bm25_search(queries, df).collect()}
     assert got == {("red mug", "p1", False), ("re", "p1", False), ("re", "p2", False), ("red clya", "p1", True)}
+
+
+def queries(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "query string")
+
+
+def test_price_limits(spark):
+    cases = {
+        "mug under 500": (None, 50_000), "tee over 1.5k": (150_000, None), "between rs 200 and 1,000 mug": (20_000, 100_000), "900 to 100": (10_000, 90_000),
+        "less than 2 lakh": (None, 20_000_000), "mug 12": (None, None), "more than ₹99.50": (9_950, None), "": (None, None), None: (None, None),
+    }
+    from stallwright.operators.understand import price_limits
+
+    least, most = price_limits(F.col("query"))
+    got = {r.query: (r.least, r.most) for r in queries(spark, *cases).select("query", least.alias("least"), most.alias("most")).collect()}
+    assert got == cases
+
+
+def test_search_words(spark):
+    from stallwright.operators.understand import search_words
+
+    cases = {"The best Mugs under 500 for shoes": ["mugs", "shoe"], "the best": ["the", "best"], "coooool mug": ["cool", "mug"], "between 5 and 9 cups": ["cups"], "!!": []}
+    assert {r.query: r.w for r in queries(spark, *cases).select("query", search_words(F.col("query")).alias("w")).collect()} == cases
+
+
+def plain_entities(words, entries):
+    taken, out = set(), set()
+    for size in range(min(4, len(words)), 0, -1):
+        for start in range(len(words) - size + 1):
+            span = set(range(start, start + size))
+            found = [e for e in entries if e[0] == " ".join(words[start : start + size])]
+            if span & taken or not found:
+                continue
+            out |= {(e[0], start + 1, e[1], e[2]) for e in found}
+            import math
+
+            sure = [min(1, (0.6 / e[4] + 0.4 * min(1, math.log10(e[3] + 1) / 3)) * (1 if len(words) <= 2 else 0.85)) for e in found]
+            if any(e[4] == 1 and round(c, 3) >= 0.6 for e, c in zip(found, sure)):
+                taken |= span
+    return out
+
+
+def test_entities_longest_first(spark):
+    from stallwright.operators.understand import extract_entities
+
+    entries = [("red clay", "BRAND", "Red Clay", 900, 1), ("red", "ATTRIBUTE", "red", 900, 1), ("clay mug", "CATEGORY", "clay-mug", 900, 1), ("apple", "BRAND", "Apple", 900, 2), ("apple", "ATTRIBUTE", "apple", 900, 2), ("mug", "CATEGORY", "mug", 0, 1)]
+    texts = ["red clay mug", "apple red", "clay mug red red", "big mug here", "red apple clay mug", "nothing"]
+    lexicon = spark.createDataFrame(entries, "term string, kind string, value string, products bigint, ambiguity bigint")
+    got = extract_entities(queries(spark, *texts), lexicon).collect()
+    for t in texts:
+        assert {(r.phrase, r.start, r.kind, r.value) for r in got if r.query == t} == plain_entities(t.split(), entries), t
