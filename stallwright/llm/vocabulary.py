@@ -18,32 +18,35 @@ WORD = "[A-Za-z0-9]+"
 
 
 def records(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``(record_id, texts)``: one record per key with its distinct field texts.
+    """``(record_id, text)``: the distinct field texts of each record, marked with their field; a record without text has one null.
 
     Rows without key are no records. Repeated rows and null fields add nothing.
     """
     texts = F.array_compact(F.array(*(F.concat(F.lit(f"{f}\x00"), F.col(f)) for f in fields)))
-    own = rows.select(norm_key(key).alias("record_id"), F.explode_outer(texts).alias("text")).filter("record_id IS NOT NULL")
-    return own.groupBy("record_id").agg(F.array_sort(F.collect_set("text")).alias("marked")).select("record_id", F.transform("marked", lambda t: F.regexp_replace(t, "^[^\x00]*\x00", "")).alias("texts"))
+    own = rows.select(norm_key(key).alias("record_id"), texts.alias("texts")).filter("record_id IS NOT NULL")
+    return own.select("record_id", F.explode_outer("texts").alias("text")).distinct()
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``(texts, sign)`` of the records that were added, changed or deleted between two states; unchanged records give nothing."""
-    old, new = before.select("record_id", F.col("texts").alias("old")), after.select("record_id", F.col("texts").alias("new"))
-    both = old.join(new, "record_id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
-    signed = F.array(F.struct(F.col("old").alias("texts"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("texts"), F.lit(1).alias("sign")))
-    return both.select(F.explode(signed).alias("c")).select("c.texts", "c.sign").filter("texts IS NOT NULL")
+    """``(record_id, text, sign)`` of the records that were added, changed or deleted between two states, whole as they were and as they are; unchanged records give nothing."""
+    both = before.withColumn("side", F.lit(1)).unionByName(after.withColumn("side", F.lit(-1)))
+    ids = both.groupBy("record_id", "text").agg(F.sum("side").alias("side")).filter("side <> 0").select("record_id").distinct()
+    old, new = (side.join(ids, "record_id", "left_semi").withColumn("sign", F.lit(sign)) for side, sign in ((before, -1), (after, 1)))
+    return old.unionByName(new)
 
 
 def term_deltas(changed: DataFrame) -> DataFrame:
-    """``(term, occurrences, records)`` from ``(texts, sign)``."""
-    words = F.flatten(F.transform("texts", lambda t: F.transform(F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), lambda w: F.lower(w))))
-    with_words = changed.select(words.alias("words"), F.col("sign").cast("bigint").alias("sign"))
-    one, none = F.col("sign"), F.lit(0).cast("bigint")
-    each = F.transform("words", lambda w: F.struct(w.alias("term"), one.alias("occurrences"), none.alias("records")))
-    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), none.alias("occurrences"), one.alias("records")))
-    total = F.array(F.struct(F.lit(None).cast("string").alias("term"), none.alias("occurrences"), one.alias("records")))
-    return with_words.select(F.explode(F.concat(each, once, total)).alias("d")).select("d.*").groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    """``(term, occurrences, records)`` from ``(record_id, text, sign)``.
+
+    Terms are counted within each text, then within each record, then over all records, each
+    time before the shuffle too; so neither a record of very many texts nor a very common
+    term gathers in one task. The null term counts the records.
+    """
+    words = F.transform(F.regexp_extract_all(F.regexp_replace("text", "^[^\x00]*\x00", ""), F.lit(f"({WORD})"), 1), lambda w: F.lower(w))
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(words, F.array()))
+    each = changed.select("record_id", "sign", F.explode(terms).alias("term"))
+    held = each.groupBy("record_id", "sign", "term").agg(F.count("term").alias("n"))
+    return held.groupBy("term").agg(F.sum(F.col("n") * F.col("sign")).alias("occurrences"), F.sum(F.col("sign").cast("bigint")).alias("records"))
 
 
 class TermCounts:
@@ -57,7 +60,7 @@ class TermCounts:
         return self
 
     def add(self, added: DataFrame) -> "TermCounts":
-        return self.apply(added.select("texts", F.lit(1).alias("sign")))
+        return self.apply(added.withColumn("sign", F.lit(1)))
 
     @property
     def size(self) -> int:
