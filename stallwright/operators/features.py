@@ -2,7 +2,8 @@
 
 1. Before the shuffle, each Arrow batch is combined in numpy: entities and types become
    indices, one ``bincount`` over ``entity * types + type`` counts, ``maximum.at`` keeps
-   the latest time. So a hot entity sends a few rows a batch, whatever it holds.
+   the latest time; entities with much of a batch are added up over the whole task. So a
+   hot entity sends a few rows a task, whatever it holds.
 2. The partial cells are hash-bucketed by entity and sorted; each run of entities becomes
    a dense block, filled by the same two scatters and emitted as Arrow columns.
 """
@@ -25,6 +26,8 @@ NEVER = np.iinfo(np.int64).min
 MAX_TYPES = 5000
 #: Cells of one dense block.
 BLOCK_CELLS = 1 << 20
+#: An entity with this part of a batch's rows is hot: its cells leave a task once, not once a batch.
+HOT_PART = 0.02
 _PARTIAL = pa.schema([("entity", pa.string()), ("entity_id", pa.string()), ("kind", pa.int32()), ("n", pa.int64()), ("last_us", pa.int64()), ("total", pa.float64())])
 
 
@@ -38,11 +41,25 @@ def _scatter(rows: int, types: int, entity, kind, n, last, total):
     return counts, latest, np.bincount(at, weights=total, minlength=size)
 
 
+def _cells(names: pa.Array, keys: pa.Array, types: int, counts, latest, totals) -> pa.RecordBatch:
+    """The filled cells of dense arrays as partial rows."""
+    cells = np.flatnonzero(counts)
+    row, times = pa.array(cells // types), latest[cells]
+    return pa.RecordBatch.from_arrays([names.take(row), keys.take(row), pa.array((cells % types).astype(np.int32)), pa.array(counts[cells].astype(np.int64)), pa.array(times, mask=times == NEVER), pa.array(totals[cells])], schema=_PARTIAL)
+
+
 def _combine(entities: list[str], types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: dict[tuple[str, str], tuple] = {}  # dense rows of entities that hold much of a batch, kept for the whole task
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (entity, key), (counts, latest, totals) in hot.items():
+                yield _cells(pa.array([entity]), pa.array([key]), types, counts, latest, totals)
+            hot.clear()
+
+        step = max(1, BLOCK_CELLS // max(1, types))
         for batch in batches:
             kind_all, last_all, total_all = batch.column("kind"), batch.column("time_us"), batch.column("value")
-            step = max(1, BLOCK_CELLS // max(1, types))
             for entity in entities:
                 for lo in range(0, batch.num_rows, step):
                     ids = batch.column(entity).slice(lo, step)
@@ -54,20 +71,18 @@ def _combine(entities: list[str], types: int):
                     last = np.asarray(last_all.slice(lo, step).filter(keep).fill_null(NEVER))
                     total = np.asarray(total_all.slice(lo, step).filter(keep).fill_null(0.0))
                     code = np.asarray(names.indices).astype(np.int64)
-                    counts, latest, totals = _scatter(len(names.dictionary), types, code, kind, None, last, total)
-                    cells = np.flatnonzero(counts)
-                    times = latest[cells]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([entity] * len(cells), pa.string()),
-                            names.dictionary.take(pa.array(cells // types)),
-                            pa.array((cells % types).astype(np.int32)),
-                            pa.array(counts[cells].astype(np.int64)),
-                            pa.array(times, mask=times == NEVER),
-                            pa.array(totals[cells]),
-                        ],
-                        schema=_PARTIAL,
-                    )
+                    words = names.dictionary
+                    counts, latest, totals = (x.reshape(len(words), types) for x in _scatter(len(words), types, code, kind, None, last, total))
+                    for k in np.flatnonzero(counts.sum(1) >= max(64, HOT_PART * len(code))).tolist():
+                        held = hot.setdefault((entity, words[k].as_py()), (np.zeros(types, np.int64), np.full(types, NEVER, np.int64), np.zeros(types)))
+                        held[0][:] += counts[k]
+                        np.maximum(held[1], latest[k], out=held[1])
+                        held[2][:] += totals[k]
+                        counts[k] = 0
+                    yield _cells(pa.array([entity]).take(pa.array(np.zeros(len(words), np.int64))), words, types, counts.ravel(), latest.ravel(), totals.ravel())
+            if len(hot) * types > BLOCK_CELLS:
+                yield from flush()
+        yield from flush()
 
     return run
 

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Very long texts make a batch of few rows, so a worker's memory stays bounded.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -18,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    if not spark.conf.get(BATCH_SETTING, None):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     home = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="stallwright-ship-")  # the driver's own: executors get the file from its file server
     atexit.register(shutil.rmtree, folder, True)
