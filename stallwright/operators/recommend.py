@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwright.functions.text import jaccard, tokens
+from stallwright.storage import materialize
 
 DAY_US = 86_400_000_000
 # Weights of the popularity counters, of interest events, of similarity signals.
@@ -38,10 +39,11 @@ def basket_pairs(members: DataFrame, least: int) -> DataFrame:
 
 def co_occurrence(members: DataFrame, least: int = 2, min_lift: float = 1.05, min_support: float = 0.0, top: int = 24) -> DataFrame:
     """``(item, companion, pairs, support, confidence, lift, rank)`` in both directions, the ``top`` companions of each item."""
+    members = materialize(members.select("basket", "item"), "members")  # read three times
     singles = members.groupBy("item").agg(F.count("*").alias("n"))
     total = members.agg(F.count_distinct("basket").alias("total"))
-    one = basket_pairs(members, least)
-    both = one.select(F.col("a").alias("item"), F.col("b").alias("companion"), "pairs").unionByName(one.select(F.col("b").alias("item"), F.col("a").alias("companion"), "pairs"))
+    ways = F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("companion")), F.struct(F.col("b").alias("item"), F.col("a").alias("companion")))
+    both = basket_pairs(members, least).select("pairs", F.explode(ways).alias("w")).select("w.item", "w.companion", "pairs")
     rows = both.join(singles.withColumnRenamed("n", "n_item"), "item").join(singles.select(F.col("item").alias("companion"), F.col("n").alias("n_companion")), "companion").crossJoin(total)  # total is one row
     confidence = F.col("pairs") / F.col("n_item")
     lift = F.col("pairs") * F.col("total") / (F.col("n_item") * F.col("n_companion"))

@@ -13,6 +13,7 @@ from stallwright.plans.search_queries import CAT, TOK
 from stallwright.sources.domain import behaviour, catalog
 from stallwright.sources.feed import mark_duplicates, validate
 from stallwright.sources.tables import table
+from stallwright.storage import materialize
 
 
 def _baskets(s, d, item="p_name"):
@@ -37,7 +38,7 @@ def cross_sell(s, d):
 
 
 def basket_affinity(s, d):
-    members = _baskets(s, d)
+    members = materialize(_baskets(s, d), "members")
     return R.basket_affinity(members, R.co_occurrence(members, 2, 1.0))
 
 

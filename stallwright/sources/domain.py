@@ -30,8 +30,10 @@ def behaviour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
-    """The index row of each product that was indexed last."""
+    """The index row of each product that was indexed last; of rows indexed at the same time the larger value of each column.
+
+    Each column is an aggregate of its own, so those a query doesn't use aren't read.
+    """
     rows = table(spark, d, "product_search_index").withColumn("product_id", norm_key("product_id")).filter("product_id IS NOT NULL")
-    others = [c for c in rows.columns if c != "product_id"]
-    newest = rows.groupBy("product_id").agg(F.max(F.struct("indexed_at", *[c for c in others if c != "indexed_at"])).alias("r"))
-    return newest.select("product_id", *(F.col(f"r.{c}").alias(c) for c in others))
+    others = [c for c in rows.columns if c not in ("product_id", "indexed_at")]
+    return rows.groupBy("product_id").agg(F.max("indexed_at").alias("indexed_at"), *(F.max_by(c, F.struct("indexed_at", c)).alias(c) for c in others))
