@@ -32,6 +32,8 @@ from stallwright.storage import Table, materialize
 BLOCK = 8192
 #: Children of one parent are numbered in blocks of about so many.
 FAMILY = 50_000
+#: More wide families than this are joined by a shuffle, not a broadcast.
+MAX_BROADCAST = 10_000
 
 
 class Hierarchy:
@@ -74,7 +76,8 @@ class Hierarchy:
         """Preorder positions: lo for each node of a tree, its subtree being [lo, lo + size)."""
         members = Table(self.nodes.join(self.sized, "slug").select("slug", "parent", "size", "depth"), "members")
         families = members.df.groupBy(F.col("parent").alias("family")).agg(F.count("*").alias("children")).filter(F.col("children") > FAMILY)
-        wide = F.broadcast(families)  # at most nodes / FAMILY rows
+        few = families.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        wide = F.broadcast(families) if few else families
         part = F.when(F.col("children").isNotNull(), F.pmod(F.xxhash64("slug"), F.ceil(F.col("children") / FAMILY))).otherwise(F.lit(0)).cast("bigint")
         salted = members.df.join(wide, F.col("parent").eqNullSafe(F.col("family")), "left").select("slug", "parent", "size", part.alias("part"))
         block = W.partitionBy("parent", "part").orderBy("slug")
