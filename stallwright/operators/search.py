@@ -178,12 +178,12 @@ def rebuild_vocabulary(catalog: DataFrame, logs: DataFrame) -> DataFrame:
     return words.unionByName(observed).groupBy("term").agg(F.min_by("source", "priority").alias("source"), F.sum("weight").alias("weight"))
 
 
-def suggestions(catalog: DataFrame, logs: DataFrame, limit: int = 2000) -> DataFrame:
-    """``(term, kind, weight)``: brands, categories, products and successful queries, the heaviest kind of each term."""
+def suggestions(catalog: DataFrame, logs: DataFrame) -> DataFrame:
+    """``(term, kind, weight)``: all brands, categories, products and successful queries, the heaviest kind of each term."""
     kind = lambda rows, name, text, weight: rows.select(F.lower(F.trim(text)).alias("term"), F.lit(name).alias("kind"), weight.cast("double").alias("weight"))
     popular = F.least(F.lit(600.0), 6 * F.coalesce("popularity", F.lit(0.0)))
     queries = logs.filter("result_count > 0 AND query IS NOT NULL").groupBy("query").agg(F.count("*").alias("n"))
     rows = kind(catalog, "PRODUCT", F.col("name"), popular).unionByName(kind(catalog, "BRAND", F.col("brand_name"), F.lit(500))).unionByName(kind(catalog, "CATEGORY", F.element_at(F.split("category_path", "/"), -1), F.lit(450)))
     rows = rows.unionByName(kind(queries, "QUERY", F.col("query"), F.least(F.lit(1000), 10 * F.col("n"))))
     best = rows.filter("term <> ''").groupBy("term").agg(F.max(F.struct("weight", "kind")).alias("b"))
-    return best.select("term", "b.kind", F.round("b.weight", 4).alias("weight")).orderBy(F.desc("weight"), "term").limit(limit)
+    return best.select("term", "b.kind", F.round("b.weight", 4).alias("weight"))
