@@ -9,11 +9,14 @@ posting side adaptive execution splits.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwright.functions.text import damerau_levenshtein, jaro_winkler, ngram_similarity, ngrams, tokens
+from stallwright.functions.text import damerau_levenshtein, gram_dice, jaro_winkler_similarity, tokens
+from stallwright.operators.attributes import MAX_OPTIONS
 from stallwright.storage import default_buckets, materialize
 
 # Field weights and BM25 parameters.
@@ -22,6 +25,8 @@ K1, B = 1.2, 0.75
 POPULARITY_NUDGE, RATING_NUDGE = 0.001, 0.01
 # Expansions of one query word, words of one query.
 MAX_PREFIX, MAX_FUZZY, MAX_WORDS, MIN_FUZZY_LENGTH = 32, 16, 8, 4
+# Values compared at once; letters, digits and the hyphen are of different classes.
+MATCH_BLOCK, LETTER_CLASSES = 500, 79
 # Upper ends of the price bands, in minor units.
 PRICE_BANDS = [100_000, 500_000, 1_000_000, 2_500_000, 5_000_000, 10_000_000]
 
@@ -128,16 +133,66 @@ def bm25_search(queries: DataFrame, catalog: DataFrame, limit: int = 10) -> Data
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
+class _Letters:
+    """Of each text the length, how many letters of each class it has, and its first four letters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.size = np.array([len(t) for t in texts], dtype=np.int32)
+        self.counts = np.zeros((LETTER_CLASSES, len(texts)), dtype=np.int32)
+        self.first = np.zeros((4, len(texts)), dtype=np.int32)
+        for k, t in enumerate(texts):
+            for c in t:
+                self.counts[ord(c) % LETTER_CLASSES, k] += 1
+            self.first[: min(4, len(t)), k] = [ord(c) for c in t[:4]]
+
+    def near(self, other: "_Letters", least: float) -> list[tuple[int, int]]:
+        """The pairs that can reach ``least``: no more letters match, and no more trigrams agree, than letters are common."""
+        common = np.zeros((len(self.texts), len(other.texts)), dtype=np.int32)
+        for x, y in zip(self.counts, other.counts):
+            if x.any() and y.any():
+                common += np.minimum(x[:, None], y)
+        same = np.ones(common.shape, dtype=bool)
+        prefix = np.zeros(common.shape, dtype=np.int32)
+        for x, y in zip(self.first, other.first):
+            same &= x[:, None] == y
+            prefix += same
+        a, b = self.size[:, None], other.size
+        jaro = (common / a + common / b + 1) / 3
+        most = np.maximum(jaro + 0.1 * prefix * (1 - jaro), 2 * common / np.maximum(a + b - 4, 1))
+        return list(zip(*(x.tolist() for x in np.nonzero(most >= least - 1e-6))))
+
+
 def match_attributes(values: DataFrame, wanted: DataFrame, least: float = 0.6, limit: int = 5) -> DataFrame:
     """``(wanted, value, similarity)``: values like each wanted one, by the larger of Jaro-Winkler and trigram Dice.
 
-    Candidates share a trigram or the first letter; the rest can't be much alike.
+    Each distinct wanted value meets every distinct value, in blocks of the array of values that every
+    task has; a pair isn't scored only if its common letters rule out ``least``.
     """
-    def blocked(df, c):
-        return df.select(F.lower(c).alias(c)).filter(F.length(c) > 0).distinct().withColumn("block", F.explode(F.array_union(ngrams(F.col(c)), F.array(F.substring(F.col(c), F.lit(1), F.lit(1))))))
-
-    near = blocked(wanted, "wanted").join(blocked(values, "value"), "block").select("wanted", "value").distinct()
-    scored = near.withColumn("similarity", F.round(F.greatest(jaro_winkler("wanted", "value"), ngram_similarity("wanted", "value")), 6)).filter(F.col("similarity") >= least)
+    spark = wanted.sparkSession
+
+    def clean(df, c):
+        return df.select(F.lower(c).alias(c)).filter(F.length(c) > 0).distinct()
+
+    held = [r["value"] for r in clean(values, "value").limit(MAX_OPTIONS + 1).collect()]
+    if len(held) > MAX_OPTIONS:
+        raise ValueError(f"more than {MAX_OPTIONS} values")
+    shared = spark.sparkContext.broadcast(held)  # at most MAX_OPTIONS
+
+    def compare(batches):
+        blocks = [_Letters(shared.value[k : k + MATCH_BLOCK]) for k in range(0, len(shared.value), MATCH_BLOCK)]
+        for batch in batches:
+            texts = batch["wanted"].tolist()
+            for k in range(0, len(texts), MATCH_BLOCK):
+                left = _Letters(texts[k : k + MATCH_BLOCK])
+                for right in blocks:
+                    pairs = [(left.texts[i], right.texts[j]) for i, j in left.near(right, least)]
+                    scores = [max(jaro_winkler_similarity(x, y), gram_dice(x, y)) for x, y in pairs]
+                    yield pd.DataFrame({"wanted": [x for x, _ in pairs], "value": [y for _, y in pairs], "similarity": scores}).astype({"similarity": "float64"})
+
+    each = clean(wanted, "wanted").repartition(default_buckets(spark))  # few bytes but many pairs; by the key it would fall together with the exchange before, which is coalesced
+    near = each.mapInPandas(compare, "wanted string, value string, similarity double")
+    scored = near.withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= least)
     rank = F.row_number().over(W.partitionBy("wanted").orderBy(F.desc("similarity"), "value"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
 

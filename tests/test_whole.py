@@ -1,8 +1,13 @@
 """Results that must be whole, on tables larger or more one-sided than the test tables."""
 
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stallwright.functions.text import gram_dice, jaro_winkler_similarity
 from stallwright.operators import search as S
 
 
@@ -31,3 +36,30 @@ def test_autocomplete_finds_light_terms(spark, tmp_path):
     assert lists["a00"] == [n for i, n in reversed(names) if n.startswith("a00")][:8]
     assert lists["z02"] == [n for i, n in reversed(names) if n.startswith("z02")][:8]
     assert lists["abs"] == ["absent"]
+
+
+def _rounded(x):
+    """As Spark rounds: halves of the decimal text go up."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+@pytest.mark.parametrize("least", [0.6, 0.3])
+def test_match_attributes_against_brute_force(spark, least):
+    words = ["blue", "red", "navy-blue", "xl", "l", "cotton", "cotton-blend", "größe", "128gb", "a" * 300, "синий"]
+    rng = random.Random(1)
+    slips = ["lbue", "xed", "x", "bleu", "ottonc", "8gb12", "a" * 301, "инсий", "Red", "", None]
+    wanted = slips + words + ["".join(rng.choice("abdelrux-1") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    values = words + ["".join(rng.choice("abdelrux-1") for _ in range(rng.randint(1, 9))) for _ in range(1100)]  # several blocks
+    got = S.match_attributes(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(w,) for w in wanted], "wanted string"), least).collect()
+    want = set()
+    for w in {w.lower() for w in wanted if w}:
+        scored = sorted((-_rounded(max(jaro_winkler_similarity(w, v), gram_dice(w, v))), v) for v in set(values))
+        want |= {(w, v, -s) for s, v in scored[:5] if -s >= least}
+    assert {tuple(r) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_match_attributes_without_common_letters_in_place(spark):
+    values = spark.createDataFrame([("blue",), ("red",)], "value string")
+    wanted = spark.createDataFrame([("lbue",), ("xed",)], "wanted string")
+    assert {tuple(r) for r in S.match_attributes(values, wanted).collect()} == {("lbue", "blue", 0.916667), ("xed", "red", 0.777778)}
