@@ -61,19 +61,34 @@ def basket_affinity(members: DataFrame, relations: DataFrame, top: int = 12) ->
     return new.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def upsell(catalog: DataFrame, low: float = 1.1, high: float = 1.8, pool: int = 200, top: int = 12) -> DataFrame:
-    """``(product_id, upsell_id, rank)``: of the ``pool`` most popular products of its category, those at ``low`` to ``high`` times a product's price.
+def upsell(catalog: DataFrame, low: float = 1.1, high: float = 1.8, top: int = 12) -> DataFrame:
+    """``(product_id, upsell_id, rank)``: of its category the most popular products at ``low`` to ``high`` times a product's price.
 
-    The range is a condition on the elements of a category's bounded pool, not a join of all
-    its products with each other.
+    A category's products stand in order of price, so a price range is a run of them. Runs of 1, 2, 4, ...
+    products at multiples of their length keep their ``top`` by popularity each; any run is made of at most two
+    of each length, which hold its own ``top``. Work grows as n log n of a category, however large it is.
     """
     rows = catalog.filter("category_path IS NOT NULL AND price_paise > 0").select("product_id", "category_path", "price_paise", "popularity")
     place = F.row_number().over(W.partitionBy("category_path").orderBy(F.desc("popularity"), "product_id"))
-    best = rows.withColumn("place", place).filter(F.col("place") <= pool)
-    pools = best.groupBy("category_path").agg(F.array_sort(F.collect_list(F.struct("place", F.col("product_id").alias("id"), F.col("price_paise").alias("price")))).alias("pool"))
-    near = F.filter("pool", lambda x: (x.price >= low * F.col("price_paise")) & (x.price <= high * F.col("price_paise")) & (x.id != F.col("product_id")))
-    found = rows.join(pools, "category_path").select("product_id", F.posexplode(F.slice(near, 1, top)).alias("at", "x"))
-    return found.select("product_id", F.col("x.id").alias("upsell_id"), (F.col("at") + 1).alias("rank"))
+    # the products below each end of a range are counted in one sweep; equal prices are after a lower end (0) and before an upper one (2)
+    price = F.col("price_paise").cast("double")
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), key.alias("key")) for side, key in ((0, low * price), (1, price), (2, high * price))))
+    marks = rows.withColumn("place", place).select("category_path", "product_id", "place", F.explode(ends).alias("e")).select("category_path", "product_id", "place", "e.side", "e.key")
+    below = F.count(F.when(F.col("side") == 1, 1)).over(W.partitionBy("category_path").orderBy("key", "side", "product_id").rowsBetween(W.unboundedPreceding, 0))
+    marks = materialize(marks.withColumn("below", below), "marks")  # read twice
+
+    members = marks.filter("side = 1").withColumn("all", F.count("*").over(W.partitionBy("category_path"))).withColumn("level", F.explode(F.expr("sequence(0, length(bin(all)) - 1)")))
+    runs = members.select("category_path", "level", F.expr("shiftright(below - 1, level)").alias("run"), F.col("product_id").alias("upsell_id"), "place")
+    within = F.row_number().over(W.partitionBy("category_path", "level", "run").orderBy("place"))
+    runs = runs.withColumn("within", within).filter(F.col("within") <= top).drop("within")
+
+    bound = lambda side: F.max(F.when(F.col("side") == side, F.col("below")))
+    ranges = marks.filter("side <> 1").groupBy("category_path", "product_id").agg(bound(0).alias("a"), bound(2).alias("b")).filter("a < b")
+    levels = ranges.withColumn("level", F.explode(F.expr("sequence(0, length(bin(b - a)) - 1)"))).withColumn("l", F.expr("shiftright(a + shiftleft(1L, level) - 1, level)")).withColumn("r", F.expr("shiftright(b, level)")).filter("l < r")
+    parts = levels.select("category_path", "product_id", "level", F.explode(F.expr("filter(array(if(l % 2 = 1, l, null), if(r % 2 = 1, r - 1, null)), x -> x IS NOT NULL)")).alias("run"))
+    found = parts.join(runs, ["category_path", "level", "run"]).filter("product_id <> upsell_id")
+    rank = F.row_number().over(W.partitionBy("product_id").orderBy("place"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("product_id", "upsell_id", "rank")
 
 
 def cross_sell(relations: DataFrame, groups: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stallwright.functions.text import gram_dice, jaro_winkler_similarity
+from stallwright.operators import recommend as R
 from stallwright.operators import search as S
 
 
@@ -63,3 +64,17 @@ def test_match_attributes_without_common_letters_in_place(spark):
     values = spark.createDataFrame([("blue",), ("red",)], "value string")
     wanted = spark.createDataFrame([("lbue",), ("xed",)], "wanted string")
     assert {tuple(r) for r in S.match_attributes(values, wanted).collect()} == {("lbue", "blue", 0.916667), ("xed", "red", 0.777778)}
+
+
+def test_upsell_sees_the_whole_category(spark):
+    rng = random.Random(2)
+    rows = [(f"p{i:04d}", "big" if i < 1000 else f"c{i % 7}", rng.choice([None, 0, 100, 110, 180, rng.randint(1, 5000)]), rng.choice([None, 0.0, 1.5, rng.random() * 100])) for i in range(1060)]
+    rows += [("popular%03d" % i, "big", 9, 1000.0) for i in range(250)] + [("seed", "big", 100_000, 1.0), ("rare", "big", 150_000, 0.0)]
+    got = R.upsell(spark.createDataFrame(rows, "product_id string, category_path string, price_paise long, popularity double")).collect()
+    want = set()
+    for p, c, price, _ in rows:
+        if price:
+            near = [(-(q[3] if q[3] is not None else -1), q[0]) for q in rows if q[1] == c and q[2] and 1.1 * price <= q[2] <= 1.8 * price and q[0] != p]
+            want |= {(p, q, k) for k, (_, q) in enumerate(sorted(near)[:12], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert ("seed", "rare", 1) in want  # cheap popular products hold the first 200 places of the category
