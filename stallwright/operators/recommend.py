@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwright.functions.text import jaccard, tokens
-from stallwright.storage import materialize
+from stallwright.storage import default_buckets, materialize
 
 DAY_US = 86_400_000_000
 # Weights of the popularity counters, of interest events, of similarity signals.
@@ -22,6 +22,8 @@ POPULARITY_WEIGHTS = {"views": 1, "carts": 6, "wishes": 5, "purchases": 25}
 EVENT_WEIGHTS = {"PURCHASE": 10.0, "RETURN": -4.0, "ADD_TO_CART": 4.0, "WISHLIST_ADD": 3.5, "WISHLIST_REMOVE": -1.5, "REMOVE_FROM_CART": -1.5, "SEARCH_RESULT_CLICK": 1.6, "PRODUCT_CLICK": 1.4, "PRODUCT_VIEW": 1.0, "COMPARE": 1.2, "SHARE": 1.1, "NOT_INTERESTED": -6.0}
 SIMILARITY_WEIGHTS = {"category": 0.3, "brand": 0.18, "attributes": 0.18, "price": 0.07, "text": 0.05}
 HALF_LIFE_DAYS, DECAY_FLOOR = 14, 0.01
+# Products of a category that are held in one row to be compared.
+POOL = 256
 
 
 def basket_pairs(members: DataFrame, least: int) -> DataFrame:
@@ -178,28 +180,34 @@ def replenishment(purchases: DataFrame, horizon: int = 30) -> DataFrame:
     return sums.crossJoin(now).withColumn("due_in", due).filter(F.col("due_in") <= horizon).select("customer", "item", "gaps", "median_days", "due_in", F.round(F.least(F.lit(0.95), F.col("gaps") / (F.col("gaps") + 2)), 6).alias("confidence"))  # now is one row
 
 
-def content_similarity(catalog: DataFrame, candidates: int = 72, top: int = 24, least: float = 0.08) -> DataFrame:
-    """``(product_id, similar_id, score, rank)``: the products most like each one, among the most popular of its category.
+def content_similarity(catalog: DataFrame, top: int = 24, least: float = 0.08) -> DataFrame:
+    """``(product_id, similar_id, score, rank)``: the products of its category that are most like each one.
 
-    A category's candidates are gathered once as one bounded array, so a category with a
-    third of all products costs a row of candidates for each, not a pair for every two.
+    Every two products of a category are compared. A category is cut in pools of bounded size; a product
+    meets each pool in a row of its own, which keeps the ``top`` of that pool, so the pairs of a large
+    category are spread over tasks and are never rows.
     """
-    item = F.struct(F.col("product_id").alias("id"), F.col("brand_name").alias("brand"), F.col("price_paise").alias("price"), tokens(F.col("attribute_text")).alias("attributes"), tokens(F.col("name")).alias("words"))
-    rows = catalog.filter("category_path IS NOT NULL").select("product_id", "category_path", "popularity", item.alias("own"))
-    best = rows.withColumn("place", F.row_number().over(W.partitionBy("category_path").orderBy(F.desc("popularity"), "product_id"))).filter(F.col("place") <= candidates + 1)
-    pools = best.groupBy("category_path").agg(F.collect_list("own").alias("pool"))
-    pairs = rows.join(pools, "category_path").select("product_id", "own", F.explode("pool").alias("other")).filter("other.id <> own.id")
-    a, b = (lambda f: F.col(f"own.{f}")), (lambda f: F.col(f"other.{f}"))
-    signals = {
-        "category": F.lit(1.0),
-        "brand": F.coalesce((a("brand") == b("brand")).cast("double"), F.lit(0.0)),
-        "attributes": F.coalesce(jaccard(a("attributes"), b("attributes")), F.lit(0.0)),
-        "price": F.coalesce(F.when((a("price") > 0) & (b("price") > 0), F.least(a("price"), b("price")) / F.greatest(a("price"), b("price"))), F.lit(0.0)),
-        "text": F.coalesce(jaccard(a("words"), b("words")), F.lit(0.0)),
-    }
-    score = sum((signals[k] * w for k, w in SIMILARITY_WEIGHTS.items()), F.lit(0.0)) / sum(SIMILARITY_WEIGHTS.values())
-    scored = pairs.select("product_id", F.col("other.id").alias("similar_id"), F.round(score, 6).alias("score")).filter(F.col("score") >= least)
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("score"), "similar_id"))).filter(F.col("rank") <= top)
+    own = ["product_id", "brand", "price", "attributes", "words"]
+    rows = catalog.filter("category_path IS NOT NULL").select("product_id", "category_path", F.col("brand_name").alias("brand"), F.col("price_paise").alias("price"), tokens(F.col("attribute_text")).alias("attributes"), tokens(F.col("name")).alias("words"))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("category_path").orderBy("product_id"))).withColumn("all", F.count("*").over(W.partitionBy("category_path")))
+    pools = rows.groupBy("category_path", F.expr(f"(place - 1) div {POOL}").alias("part")).agg(F.collect_list(F.struct(*own)).alias("pool"))
+    met = rows.select("category_path", *own, F.explode(F.expr(f"sequence(0L, (all - 1) div {POOL})")).alias("part"))
+    met = met.repartition(default_buckets(catalog.sparkSession), "category_path", "part").join(pools, ["category_path", "part"])  # by number, as these are few bytes but many pairs
+
+    def score(b):
+        signals = {
+            "category": F.lit(1.0),
+            "brand": F.coalesce((F.col("brand") == b.brand).cast("double"), F.lit(0.0)),
+            "attributes": F.coalesce(jaccard(F.col("attributes"), b.attributes), F.lit(0.0)),
+            "price": F.coalesce(F.when((F.col("price") > 0) & (b.price > 0), F.least(F.col("price"), b.price) / F.greatest(F.col("price"), b.price)), F.lit(0.0)),
+            "text": F.coalesce(jaccard(F.col("words"), b.words), F.lit(0.0)),
+        }
+        return F.round(sum((signals[k] * w for k, w in SIMILARITY_WEIGHTS.items()), F.lit(0.0)) / sum(SIMILARITY_WEIGHTS.values()), 6)
+
+    others = F.filter("pool", lambda x: x.product_id != F.col("product_id"))
+    scored = F.filter(F.transform(others, lambda x: F.struct((-score(x)).alias("less"), x.product_id.alias("id"))), lambda x: x.less <= -least)
+    best = met.select("product_id", F.explode(F.slice(F.array_sort(scored), 1, top)).alias("x")).select("product_id", F.col("x.id").alias("similar_id"), (-F.col("x.less")).alias("score"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("score"), "similar_id"))).filter(F.col("rank") <= top)
 
 
 def cap_share(ranked: DataFrame, request: str, rank: str, key: str, limit: int, cap: int) -> DataFrame:

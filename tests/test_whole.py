@@ -78,3 +78,27 @@ def test_upsell_sees_the_whole_category(spark):
             want |= {(p, q, k) for k, (_, q) in enumerate(sorted(near)[:12], 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert ("seed", "rare", 1) in want  # cheap popular products hold the first 200 places of the category
+
+
+def test_content_similarity_compares_the_whole_category(spark):
+    rng = random.Random(3)
+    tags, names = ["red", "blue", "wool", "silk", "xl", "xs"], ["warm", "coat", "thin", "scarf", "long"]
+    rows = [(f"p{i:04d}", "big" if i < 600 else f"c{i % 5}", rng.choice(["a", "b", "c", None]), rng.choice([None, 0, rng.randint(1, 5000)]), float(i), " ".join(rng.sample(tags, rng.randint(0, 3))), " ".join(rng.sample(names, 2))) for i in range(630)]
+    rows += [("twin1", "big", "rare", 70, 0.0, "jade", "lamp"), ("twin2", "big", "rare", 70, None, "jade", "lamp")]
+    got = R.content_similarity(spark.createDataFrame(rows, "product_id string, category_path string, brand_name string, price_paise long, popularity double, attribute_text string, name string")).collect()
+
+    def share(x, y):
+        x, y = set(x.split()), set(y.split())
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    want = set()
+    for a in rows:
+        scored = []
+        for b in rows:
+            if a[1] == b[1] and a[0] != b[0]:
+                price = min(a[3], b[3]) / max(a[3], b[3]) if a[3] and b[3] else 0.0
+                signals = (1.0, float(a[2] is not None and a[2] == b[2]), share(a[5], b[5]), price, share(a[6], b[6]))
+                scored.append((-_rounded((0.0 + signals[0] * 0.3 + signals[1] * 0.18 + signals[2] * 0.18 + signals[3] * 0.07 + signals[4] * 0.05) / sum(R.SIMILARITY_WEIGHTS.values())), b[0]))
+        want |= {(a[0], b, -s, k) for k, (s, b) in enumerate(sorted(scored)[:24], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert ("twin1", "twin2", 1.0, 1) in want  # the least popular of 602
