@@ -219,7 +219,7 @@ def cap_share(ranked: DataFrame, request: str, rank: str, key: str, limit: int,
 
 
 def diversify(ranked: DataFrame, request: str, rank: str, axes: dict[str, int], limit: int) -> DataFrame:
-    """Greedy caps on several axes at once, in order of rank, with refill; ``ranked`` holds a bounded list per request.
+    """Greedy caps on several axes at once, in order of rank, with refill; the list of a request has to fit a task.
 
     Each choice depends on those before it, so a request is folded as one pandas group.
     """

@@ -47,17 +47,25 @@ def _purchases(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_partkey").alias("item"), "day")
 
 
-def _by_category(s, d):
+def _by_category(s, d, *keys):
+    """Places in the category by popularity; with ``keys`` the first eight places of each of their values.
+
+    Caps on the keys treat products of the same values alike, so a list of eight holds none but these.
+    """
     rank = F.row_number().over(W.partitionBy("category_path").orderBy(F.desc("popularity"), "product_id"))
-    return catalog(s, d).filter("category_path IS NOT NULL").select("category_path", "product_id", "seller_id", "brand_name", "popularity").withColumn("rank", rank).filter("rank <= 200")
+    rows = catalog(s, d).filter("category_path IS NOT NULL").select("category_path", "product_id", "seller_id", "brand_name", "popularity").withColumn("rank", rank)
+    if not keys:
+        return rows
+    place = F.row_number().over(W.partitionBy("category_path", *keys).orderBy("rank"))
+    return rows.withColumn("place", place).filter("place <= 8").drop("place")
 
 
 def seller_cap(s, d):
-    return R.cap_share(_by_category(s, d), "category_path", "rank", "seller_id", 8, 2).select("category_path", "product_id", "final")
+    return R.cap_share(_by_category(s, d, "seller_id"), "category_path", "rank", "seller_id", 8, 2).select("category_path", "product_id", "final")
 
 
 def diversity(s, d):
-    return R.diversify(_by_category(s, d), "category_path", "rank", {"seller_id": 2, "brand_name": 3}, 8).select("category_path", "product_id", "final")
+    return R.diversify(_by_category(s, d, "seller_id", "brand_name"), "category_path", "rank", {"seller_id": 2, "brand_name": 3}, 8).select("category_path", "product_id", "final")
 
 
 def fallback(s, d):

@@ -102,3 +102,12 @@ def test_content_similarity_compares_the_whole_category(spark):
         want |= {(a[0], b, -s, k) for k, (s, b) in enumerate(sorted(scored)[:24], 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert ("twin1", "twin2", 1.0, 1) in want  # the least popular of 602
+
+
+@pytest.mark.parametrize("name", ["seller_share_cap", "diversity_cap"])
+def test_caps_see_the_whole_category(spark, tmp_path, name):
+    rows = [(f"a{i:03d}", "c", "s0", "b0", 1000.0 - i) for i in range(300)] + [(f"z{i:03d}", "c", f"s{1 + i // 3}", f"b{1 + i // 3}", 50.0 - i) for i in range(12)]
+    items = spark.createDataFrame(rows, "product_id string, category_path string, seller_id string, brand_name string, popularity double").withColumn("indexed_at", F.timestamp_seconds(F.lit(0)))
+    items.write.parquet(f"{tmp_path}/product_search_index.parquet")
+    got = [r["product_id"] for r in sorted(entry.queries()[name](spark, str(tmp_path)).collect(), key=lambda r: r["final"])]
+    assert got == ["a000", "a001", "z000", "z001", "z003", "z004", "z006", "z007"]
