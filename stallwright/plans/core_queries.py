@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stallwright.operators.attributes import attribute_failures, filled_cells, wide_attributes
 from stallwright.operators.features import entity_features
 from stallwright.operators.hierarchy import Hierarchy, resolve_hierarchy
-from stallwright.operators.references import failed_references, orphan_report
+from stallwright.functions.keys import norm_key
+from stallwright.operators.references import ReferenceState, distinct_rows, existence_deltas, failed_references, orphan_report, reference_deltas
 from stallwright.operators.sessions import shopper_visits
 from stallwright.sources.tables import table
 
@@ -39,16 +40,32 @@ def p4_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _failed(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "search_events")
-    logs = failed_references(events, "id", "created_at", "search_log_id", table(spark, d, "search_query_logs"), "id", "created_at")
-    products = failed_references(events, "id", "created_at", "product_id", table(spark, d, "product_search_index"), "product_id")
-    return logs.unionByName(products)
+    fields = {"search_log_id": (table(spark, d, "search_query_logs"), "id", "created_at"), "product_id": (table(spark, d, "product_search_index"), "product_id", None)}
+    return failed_references(table(spark, d, "search_events"), "id", "created_at", fields)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _failed(spark, d).select("event_id", "ref_field", "state")
 
 
+#: Where the incremental query cuts the tables into a first load and later arrivals, and before when logs are deleted afterwards.
+CUT, KEPT_FROM = "2025-11-15", "2025-11-06"
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    """``(ref_field, key, state, refs)`` of the keys that fail after a first load, later arrivals and the deletion of old logs, all as deltas of one state."""
+    events = distinct_rows(table(spark, d, "search_events"), "id", F.col("search_log_id"), F.col("product_id"), F.col("created_at"))
+    logs, products = table(spark, d, "search_query_logs"), table(spark, d, "product_search_index")
+    state = ReferenceState(spark)
+    for batch, when in enumerate((f"< '{CUT}'", f">= '{CUT}'")):
+        new = events.filter(f"created_at {when}")
+        refs = [reference_deltas(new, f, 1, f, "created_at") for f in ("search_log_id", "product_id")]
+        found = [existence_deltas(logs.filter(f"created_at {when}"), "id", 1, "search_log_id", "created_at"), existence_deltas(products.filter(f"indexed_at {when}"), "product_id", 1, "product_id")]
+        state.apply(*refs, *found, source="arrivals", batch=batch)
+    state.apply(existence_deltas(logs.filter(f"created_at < '{KEPT_FROM}'"), "id", -1, "search_log_id", "created_at"), source="deletions", batch=0)
+    return state.failing().select(F.col("field").alias("ref_field"), "key", F.when(F.col("first_us").isNull(), "missing").otherwise("late").alias("state"), "refs")
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_failed(spark, d), "day")
 
@@ -82,7 +99,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return Hierarchy(table(spark, d, "categories")).descendants()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_visits, p4_found, p4_cells, p4_features, p5_found, p5_report, p6_found, p6_wide, p6_failures, p7_found, p7_roots, p7_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_visits, p4_found, p4_cells, p4_features, p5_found, p5_changes, p5_report, p6_found, p6_wide, p6_failures, p7_found, p7_roots, p7_descendants)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')".format
 _EVENTS = f"""ev AS (
@@ -136,6 +153,11 @@ ORACLE = {
     "p4_cells": _CELLS + "SELECT entity, entity_id, event_type, count(*) AS n, max(t) AS last_us, coalesce(sum(v), 0) AS total FROM long GROUP BY ALL",
     "p4_features": _CELLS + "SELECT entity, entity_id, count(*) AS n_events, max(t) AS last_us" + "".join(f", count(*) FILTER (event_type = '{t}') AS n_{t}, max(t) FILTER (event_type = '{t}') AS last_us_{t}, coalesce(sum(v) FILTER (event_type = '{t}'), 0) AS total_{t}" for t in ("PRODUCT_VIEW", "PRODUCT_CLICK", "SEARCH", "ADD_TO_CART")) + " FROM long GROUP BY ALL",
     "p5_found": _FAILED + "SELECT event_id, ref_field, state FROM failed",
+    "p5_changes": f"""WITH ev AS (SELECT {_KEY('id')} AS id, min(search_log_id) AS l, min(product_id) AS p, min(created_at) AS t FROM search_events GROUP BY 1, CASE WHEN {_KEY('id')} IS NULL THEN uuid() END),
+ refs AS (SELECT 'search_log_id' AS ref_field, {_KEY('l')} AS key, t FROM ev UNION ALL SELECT 'product_id', {_KEY('p')}, t FROM ev),
+ found AS (SELECT 'search_log_id' AS ref_field, {_KEY('id')} AS key, created_at AS seen FROM search_query_logs WHERE created_at >= '{KEPT_FROM}' UNION ALL SELECT 'product_id', {_KEY('product_id')}, make_timestamptz(0) FROM product_search_index WHERE indexed_at IS NOT NULL),
+ f AS (SELECT ref_field, key, min(seen) AS seen FROM found GROUP BY 1, 2), r AS (SELECT ref_field, key, min(t) AS named, count(*) AS refs FROM refs WHERE key IS NOT NULL GROUP BY 1, 2)
+ SELECT r.ref_field, r.key, CASE WHEN seen IS NULL THEN 'missing' ELSE 'late' END AS state, refs FROM r LEFT JOIN f ON r.ref_field = f.ref_field AND r.key = f.key WHERE seen IS NULL OR seen > named""",
     "p5_report": _FAILED + "SELECT ref_field, date_trunc('day', t) AS period, state, count(*) AS refs, count(DISTINCT key) AS keys FROM failed GROUP BY ALL",
     "p6_found": _RESOLVED + "SELECT variant_id, definition_id, value FROM cells WHERE value IS NOT NULL",
     "p6_wide": _RESOLVED + """SELECT variant_id, max(value) FILTER (code = 'color') AS a_color, max(value) FILTER (code = 'size') AS a_size, max(try_cast(value AS DOUBLE)) FILTER (code = 'weight') AS a_weight, max(try_cast(value AS DOUBLE)) FILTER (code = 'width') AS a_width,

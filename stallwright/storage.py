@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import json
 import tempfile
+import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def sweep(spark: SparkSession, older_than_s: float) -> int:
+    """Remove this application's scratch folders last written before that; for sessions that run many queries and are done with the old ones."""
+    fs, root = _fs(spark, shared_dir(spark))
+    oldest = time.time() - older_than_s
+    gone = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() / 1000 < oldest] if fs.exists(root) else []
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
+
+
 class Table:
     """A DataFrame written once to the shared folder; reading it back has no lineage."""
 
@@ -81,79 +93,167 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class StoreConflict(RuntimeError):
+    """Another writer committed the version this one was about to commit; reopen the store and apply again."""
+
+
 class BucketStore:
     """A persistent table of additive counters, split into hash buckets by its keys.
 
     ``apply(deltas)`` adds signed deltas: it reads only the buckets that hold a changed
-    key, merges, drops rows whose counters are all zero, and writes those buckets under
-    a new version. A manifest names the current folder of each bucket; it is written last,
-    so a failed merge leaves the former version in force. A bucket is
-    ``pmod(hash(keys), buckets)``, which is also how Spark hash-partitions the merge,
-    so each task writes whole buckets.
+    key, merges, drops rows whose counters are all zero, and writes those buckets to a
+    folder of a name never used before. A manifest then names the current folder of each
+    bucket. It appears by a rename that fails if that version exists, so
+
+    * a writer that dies leaves the former version in force, and what it left behind stops
+      nobody (``vacuum`` removes it);
+    * of two writers of one version only one wins, the other gets ``StoreConflict``;
+    * a batch named by ``source`` and ``batch`` is recorded in the manifest that holds its
+      effect, and applying it again changes nothing: a replayed stream counts once.
+
+    The last ``keep`` versions stay readable; what only older ones used is removed.
+
+    A bucket is ``pmod(hash(keys), buckets)``, which is also how Spark hash-partitions the
+    merge, so each task writes whole buckets. ``rebucket`` changes their number.
 
     Nulls among the keys form a key of their own; null deltas count as zero; an empty
     delta leaves the store as it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], counters: list[str], buckets: int | None = None):
-        self.spark, self.path, self.keys, self.counters = spark, path.rstrip("/"), keys, counters
-        held = self._manifest()
-        self.version: int = held["version"] if held else 0
-        self.buckets: int = held["buckets"] if held else (buckets or default_buckets(spark))
-        self.places: dict[int, str] = {int(b): p for b, p in held["places"].items()} if held else {}
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], counters: list[str], buckets: int | None = None, keep: int = 2):
+        self.spark, self.path, self.keys, self.counters, self.keep = spark, path.rstrip("/"), keys, counters, keep
+        self._load(buckets)
+
+    def refresh(self) -> "BucketStore":
+        """Go on from the version now in force, which may be another writer's."""
+        self._load()
+        return self
+
+    def _load(self, buckets: int | None = None) -> None:
+        names = self._manifests()
+        held = json.loads(self._text(names[-1])) if names else {}
+        if held and held["schema"] != self.schema:
+            raise ValueError(f"{self.path} holds ({held['schema']}), not ({self.schema})")
+        self.version: int = held.get("version", 0)
+        self.buckets: int = held.get("buckets") or buckets or default_buckets(self.spark)
+        self.places: dict[int, str] = {int(b): p for b, p in held.get("places", {}).items()}
+        self.applied: dict[str, int] = held.get("applied", {})
 
     @property
     def schema(self) -> str:
         return ", ".join([*(f"{k} {t}" for k, t in self.keys.items()), *(f"{c} bigint" for c in self.counters)])
 
-    def _manifest(self) -> dict | None:
-        fs, folder = _fs(self.spark, self.path)
-        if not fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-        names = [n for n in names if n.startswith("manifest-")]
-        if not names:
-            return None
-        stream = fs.open(_fs(self.spark, f"{self.path}/{names[-1]}")[1])
+    def _names(self, folder: str = "") -> list[str]:
+        fs, where = _fs(self.spark, f"{self.path}/{folder}".rstrip("/"))
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _manifests(self) -> list[str]:
+        return [n for n in self._names() if n.startswith("manifest-")]
+
+    def _text(self, name: str) -> str:
+        fs, where = _fs(self.spark, f"{self.path}/{name}")
+        stream = fs.open(where)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)
 
-    def _commit(self) -> None:
-        fs, final = _fs(self.spark, f"{self.path}/manifest-{self.version:08d}.json")
-        _, draft = _fs(self.spark, f"{self.path}/.draft-{uuid.uuid4().hex}")
+    def _commit(self, kept: dict[int, str], counts: DataFrame, applied: dict[str, int], buckets: int) -> None:
+        """Write ``counts`` and name its folders beside those kept, as the next version."""
+        folder = f"v{self.version + 1:012d}-{uuid.uuid4().hex}"
+        try:
+            self._publish(kept | self._write(counts, buckets, folder), applied, buckets)
+        except Exception:
+            _delete_quietly(self.spark, f"{self.path}/{folder}")
+            raise
+        self._forget()
+
+    def _publish(self, places: dict[int, str], applied: dict[str, int], buckets: int) -> None:
+        jvm, version = self.spark._jvm, self.version + 1
+        text = json.dumps({"version": version, "schema": self.schema, "buckets": buckets, "places": places, "applied": applied})
+        fs, draft = _fs(self.spark, f"{self.path}/.draft-{uuid.uuid4().hex}")
+        _, final = _fs(self.spark, f"{self.path}/manifest-{version:012d}.json")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": self.version, "buckets": self.buckets, "places": self.places}).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        fs.rename(draft, final)
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # without overwriting
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(final), plain)
+        except Exception as e:
+            fs.delete(draft, False)
+            if fs.exists(final):
+                raise StoreConflict(f"version {version} of {self.path} is another writer's") from e
+            raise
+        self.version, self.places, self.applied, self.buckets = version, places, applied, buckets
+
+    def _forget(self) -> None:
+        """Remove the manifests before the last ``keep``, and the bucket folders that only they named."""
+        names = self._manifests()
+        old, kept = names[: -self.keep], names[-self.keep :]
+        used = {p for n in kept for p in json.loads(self._text(n))["places"].values()}
+        folders = {p.rpartition("/")[0] for p in used}
+        for n in old:
+            for place in set(json.loads(self._text(n))["places"].values()) - used:
+                folder = place.rpartition("/")[0]
+                _delete_quietly(self.spark, place if folder in folders else folder)
+            _delete_quietly(self.spark, f"{self.path}/{n}")
+
+    def vacuum(self) -> list[str]:
+        """Remove every folder and draft that no manifest names: what writers that died left. No writer may be at work."""
+        used = {p for n in self._manifests() for p in json.loads(self._text(n))["places"].values()}
+        gone = []
+        for name in self._names():
+            if name.startswith(".draft-"):
+                gone.append(name)
+            elif name.startswith("v"):
+                gone += [f"{name}/{b}" for b in self._names(name) if b.startswith("bucket=") and f"{self.path}/{name}/{b}" not in used]
+                if not any(p.startswith(f"{self.path}/{name}/") for p in used):
+                    gone.append(name)
+        for name in gone:
+            _delete_quietly(self.spark, f"{self.path}/{name}")
+        return gone
+
+    def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """The current counters, of all buckets or of those named."""
-        paths = [self.places[b] for b in sorted(self.places) if buckets is None or b in set(buckets)]
+        wanted = None if buckets is None else set(buckets)
+        paths = [self.places[b] for b in sorted(self.places) if wanted is None or b in wanted]
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def apply(self, deltas: DataFrame) -> "BucketStore":
+    def _write(self, counts: DataFrame, buckets: int, folder: str) -> dict[int, str]:
+        """The folders of the buckets written; tasks already hold whole buckets if Spark's partitions are as many."""
+        bucket = F.pmod(F.hash(*self.keys), F.lit(buckets)).alias("bucket")
+        rows = counts.select(*self.keys, *self.counters, bucket)
+        if buckets != default_buckets(self.spark):
+            rows = rows.repartition(buckets, "bucket")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return {int(n.split("=")[1]): f"{self.path}/{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+
+    def holds(self, source: str, batch: int) -> bool:
+        """Whether that batch of a source is in the counts."""
+        return self.applied.get(source, -1) >= batch
+
+    def apply(self, deltas: DataFrame, source: str | None = None, batch: int | None = None) -> "BucketStore":
+        """Add the deltas; with ``source`` and ``batch`` (growing numbers) once only."""
+        if source is not None and self.holds(source, batch):
+            return self
         keys, totals = list(self.keys), [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in self.counters]
-        bucket = F.pmod(F.hash(*keys), F.lit(self.buckets)).alias("bucket")
-        changes = deltas.select(*keys, *self.counters)
+        changes, touched, staged = deltas.select(*keys, *self.counters), [], None
         if self.places:
             staged = Table(changes.groupBy(*keys).agg(*totals), "deltas")
+            bucket = F.pmod(F.hash(*keys), F.lit(self.buckets)).alias("bucket")
             touched = [r["bucket"] for r in staged.df.select(bucket).distinct().collect()]  # at most one row a bucket
             changes = staged.df.unionByName(self.read(touched))
         merged = changes.groupBy(*keys).agg(*totals).filter(" OR ".join(f"{c} <> 0" for c in self.counters))
-        self.version += 1
-        target = f"{self.path}/v{self.version:08d}"
-        merged.select(*keys, *self.counters, bucket).write.partitionBy("bucket").parquet(target)
-        fs, folder = _fs(self.spark, target)
-        written = {int(n.split("=")[1]): f"{target}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith("bucket=")}
-        if self.places:
-            for b in touched:  # a bucket whose counters all became zero has no folder now
-                self.places.pop(b, None)
+        kept = {b: p for b, p in self.places.items() if b not in set(touched)}  # a bucket whose counters all became zero has no folder now
+        self._commit(kept, merged, self.applied | ({} if source is None else {source: batch}), self.buckets)
+        if staged is not None:
             staged.drop()
-        self.places |= written
-        self._commit()
+        return self
+
+    def rebucket(self, buckets: int) -> "BucketStore":
+        """The same counts in another number of buckets."""
+        self._commit({}, self.read(), self.applied, buckets)
         return self

@@ -6,8 +6,10 @@ checkpoint.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stallwright.functions.keys import norm_key, norm_type
 from stallwright.operators.recommend import EVENT_WEIGHTS, HALF_LIFE_DAYS
 from stallwright.operators.references import ReferenceState, existence_deltas, reference_deltas
+from stallwright.operators.sessions import HALF_HOUR_US
+from stallwright.storage import StoreConflict
 
 DAY_US = 86_400_000_000
 
@@ -36,9 +40,9 @@ def daily_rollup(events: DataFrame, late: str = "1 day") -> DataFrame:
     return unique_stream(events, late).groupBy(F.window("time", "1 day"), "source").agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "PRODUCT_VIEW").alias("views"), F.count_if(F.col("kind") == "PURCHASE").alias("purchases")).select(F.to_date("window.start").alias("day"), "source", "events", "views", "purchases")
 
 
-def visits(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Visits by Spark's own session windows, emitted when the watermark has passed their end. A gap of exactly ``gap`` starts a new one here."""
-    return unique_stream(events, late).filter("subject IS NOT NULL").groupBy(F.session_window("time", gap), "subject").agg(F.count("*").alias("events"), F.min("time").alias("started"), F.max("time").alias("ended")).select("subject", "started", "ended", "events")
+def visits(events: DataFrame, gap_us: int = HALF_HOUR_US, late: str = "1 day") -> DataFrame:
+    """Visits by Spark's own session windows, emitted when the watermark has passed their end. As in the batch operator, only a gap of more than ``gap_us`` starts a new one."""
+    return unique_stream(events, late).filter("subject IS NOT NULL").groupBy(F.session_window("time", f"{gap_us} microseconds"), "subject").agg(F.count("*").alias("events"), F.min("time").alias("started"), F.max("time").alias("ended")).select("subject", "started", "ended", "events")
 
 
 def interest(events: DataFrame) -> DataFrame:
@@ -50,11 +54,11 @@ def interest(events: DataFrame) -> DataFrame:
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         weight, at, signals = state.get if state.exists else (0.0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("us")
-        for us, kind in zip(rows["us"], rows["kind"]):
-            add = EVENT_WEIGHTS.get(kind)
-            if add is None:
-                continue
+        # 16 bytes an event are held of a key's events in one batch, whose size the trigger bounds
+        parts = [(f["us"].to_numpy("int64"), f["kind"].map(EVENT_WEIGHTS).to_numpy("float64")) for f in frames]
+        at_us, adds = (np.concatenate(x) for x in zip(*parts))
+        for k in np.argsort(at_us, kind="stable").tolist():
+            us, add = int(at_us[k]), float(adds[k])
             if signals and us > at:
                 weight *= 0.5 ** ((us - at) / (HALF_LIFE_DAYS * DAY_US))
             elif signals and us < at:  # a late event counts by its age
@@ -63,24 +67,41 @@ def interest(events: DataFrame) -> DataFrame:
         state.update((float(weight), int(at), int(signals)))
         yield pd.DataFrame([(*key, weight, signals)], columns=["subject", "product_id", "weight", "signals"])
 
-    rows = unique_stream(events).filter("subject IS NOT NULL AND product_id IS NOT NULL").select("subject", "product_id", "kind", F.unix_micros("time").alias("us"))
+    rows = unique_stream(events).filter(F.col("subject").isNotNull() & F.col("product_id").isNotNull() & F.col("kind").isin(list(EVENT_WEIGHTS))).select("subject", "product_id", "kind", F.unix_micros("time").alias("us"))
     return rows.groupBy("subject", "product_id").applyInPandasWithState(fold, "subject string, product_id string, weight double, signals bigint", "weight double, at bigint, signals bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 class OrphanFollower:
-    """Keeps a ReferenceState from two streams of added rows by ``foreachBatch``."""
+    """Keeps a ReferenceState from streams of added rows by ``foreachBatch``.
 
-    def __init__(self, state: ReferenceState):
-        self.state, self.done = state, {}
+    The state's manifest records with the counts which batch of which stream they hold (a
+    stream is named by its checkpoint), so a batch that is replayed after a restart, by this
+    follower or a new one over the same state, changes nothing. Streams that share a state
+    take turns; a writer elsewhere makes a batch start again from the version it left.
+    """
 
-    def _apply(self, name: str, batch: int, deltas: DataFrame) -> None:
-        if self.done.get(name, -1) >= batch:
-            return
-        self.state.apply(deltas)
-        self.done[name] = batch
+    TRIES = 20
 
-    def follow_references(self, rows: DataFrame, field: str, checkpoint: str):
-        return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, k: self._apply("references", k, reference_deltas(df, field))).start()
+    def __init__(self, state: ReferenceState):
+        self.state, self.lock = state, threading.Lock()
 
-    def follow_records(self, rows: DataFrame, key: str, checkpoint: str):
-        return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, k: self._apply("records", k, existence_deltas(df, key))).start()
+    def _apply(self, name: str, batch: int, deltas: DataFrame) -> None:
+        with self.lock:
+            for attempt in range(self.TRIES):
+                self.state.store.refresh()
+                try:
+                    self.state.apply(deltas, source=name, batch=batch)
+                    return
+                except StoreConflict:
+                    if attempt == self.TRIES - 1:
+                        raise
+
+    def _follow(self, rows: DataFrame, checkpoint: str, deltas):
+        return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, k: self._apply(checkpoint, k, deltas(df))).start()
+
+    def follow_references(self, rows: DataFrame, field: str, checkpoint: str, time: str | None = None):
+        return self._follow(rows, checkpoint, lambda df: reference_deltas(df, field, 1, field, time))
+
+    def follow_records(self, rows: DataFrame, key: str, checkpoint: str, field: str, time: str | None = None):
+        """Records with ``key``, to which the references in ``field`` point."""
+        return self._follow(rows, checkpoint, lambda df: existence_deltas(df, key, 1, field, time))

@@ -11,7 +11,7 @@ from stallwright.operators.features import entity_features
 from stallwright.operators.hierarchy import Hierarchy, resolve_hierarchy
 from stallwright.operators.references import ReferenceState, existence_deltas, failed_references, orphan_report, reference_deltas
 from stallwright.operators.sessions import sessionize, shopper_visits
-from stallwright.storage import BucketStore, scratch
+from stallwright.storage import BucketStore, StoreConflict, scratch
 
 EVENT = "id string, event_type string, user_id string, session_id string, product_id string, context string, created_at timestamp, subject string, kind string"
 GAP = 1_800_000_000
@@ -128,12 +128,12 @@ def test_references(spark):
     refs = [("e1", " K1", at(5)), ("e1", "k1", at(5)), ("e2", "gone", at(5)), ("e3", "", at(5)), ("e4", None, at(5)), ("e5", "late", at(5)), ("e6", "late", at(50)), (None, "gone", at(1)), ("e7", "gone", None), ("e8", "late", None)]
     rows = spark.createDataFrame([(*r, "clash", None, "clash") for r in refs], REF)
     records = spark.createDataFrame([("K1 ", at(9)), ("k1", at(1)), ("late", at(20)), (None, at(0))], "key string, at timestamp")
-    got = failed_references(rows, "id", "created_at", "ref", records, "key", "at")
+    got = failed_references(rows, "id", "created_at", {"ref": (records, "key", "at")})
     assert {(r.event_id, r.state) for r in got.collect()} == {("e2", "missing"), ("e5", "late"), (None, "missing"), ("e7", "missing")}
     report = {(r.state, r.refs, r["keys"]) for r in orphan_report(got).collect()}
     assert ("late", 1, 1) in report
-    assert failed_references(rows.limit(0), "id", "created_at", "ref", records, "key", "at").count() == 0
-    assert failed_references(rows, "id", "created_at", "ref", records.limit(0), "key", "at").count() == 7
+    assert failed_references(rows.limit(0), "id", "created_at", {"ref": (records, "key", "at")}).count() == 0
+    assert failed_references(rows, "id", "created_at", {"ref": (records.limit(0), "key", "at")}).count() == 7
 
 
 def test_reference_state_follows_changes(spark):
@@ -149,6 +149,77 @@ def test_reference_state_follows_changes(spark):
     assert again.store.version == 3 and {r.key for r in again.store.read().collect()} == {"b"}
 
 
+def test_references_in_two_fields_and_times(spark):
+    rows = spark.createDataFrame([("e1", "a", "x", at(5)), ("e2", "b", " ", at(1)), ("e3", "b", "X ", at(9))], "id string, ref string, key string, created_at timestamp")
+    first = spark.createDataFrame([("a", None), ("a", at(90)), ("b", at(4)), ("b", at(7))], "key string, at timestamp")  # of unknown time: it has always been there
+    second = spark.createDataFrame([("other",)], "key string")
+    got = failed_references(rows, "id", "created_at", {"ref": (first, "key", "at"), "key": (second, "key", None)}).collect()
+    assert {(r.event_id, r.ref_field, r.state) for r in got} == {("e2", "ref", "late"), ("e1", "key", "missing"), ("e3", "key", "missing")}
+
+
+def test_late_references_follow_changes(spark):
+    ref = lambda *rows: reference_deltas(spark.createDataFrame(list(rows), "k string, t timestamp"), "k", 1, "f", "t")
+    rec = lambda sign, *rows: existence_deltas(spark.createDataFrame(list(rows), "k string, t timestamp"), "k", sign, "f", "t")
+    state = ReferenceState(spark).apply(ref(("a", at(5)), ("a", at(8)), ("b", at(5))))
+    failing = lambda: {(r.key, r.refs, r.first_us is None) for r in state.failing().collect()}
+    assert failing() == {("a", 2, True), ("b", 1, True)}
+    state.apply(rec(1, ("a", at(7)), ("a", at(2)), ("b", at(5))))
+    assert failing() == set()  # a record of the very time of the reference is in time
+    state.apply(rec(-1, ("a", at(2))))
+    assert failing() == {("a", 2, False)}
+
+
+COUNTS = "k string, n bigint"
+
+
+def counts(spark, *rows):
+    return spark.createDataFrame(list(rows), COUNTS)
+
+
+def store(spark, path, **more):
+    return BucketStore(spark, path, {"k": "string"}, ["n"], **more)
+
+
+def held(s):
+    return {r.k: r.n for r in s.read().collect()}
+
+
+def test_store_goes_on_after_a_writer_died(spark, monkeypatch):
+    path = scratch(spark, "test")
+    first = store(spark, path).apply(counts(spark, ("a", 1), ("b", 2)))
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):  # dies between its folders and its manifest, and cleans up nothing
+        m.setattr(BucketStore, "_publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        first.apply(counts(spark, ("a", 5)))
+    after = store(spark, path)
+    assert held(after) == {"a": 1, "b": 2}
+    after.apply(counts(spark, ("a", 10)))
+    assert held(after) == held(store(spark, path)) == {"a": 11, "b": 2}
+    assert after.vacuum() and not after.vacuum() and held(after) == {"a": 11, "b": 2}
+
+
+def test_store_has_one_winner(spark):
+    path = scratch(spark, "test")
+    store(spark, path).apply(counts(spark, ("a", 1)))
+    one, two = store(spark, path), store(spark, path)
+    one.apply(counts(spark, ("a", 1)))
+    with pytest.raises(StoreConflict):
+        two.apply(counts(spark, ("a", 100)))
+    assert held(two.refresh()) == {"a": 2} and not two.vacuum()  # the loser left nothing
+    assert held(two.apply(counts(spark, ("a", 100)))) == {"a": 102}
+
+
+def test_store_counts_a_batch_once_and_forgets_old_versions(spark):
+    s = store(spark, scratch(spark, "test"))
+    for batch in (0, 1, 1, 0, 2):
+        s.apply(counts(spark, ("a", 1)), "stream", batch)
+    again = store(spark, s.path).apply(counts(spark, ("a", 1)), "stream", 2).apply(counts(spark, ("a", 1)), "other", 0)
+    assert held(again) == {"a": 4} and again.version == 4
+    assert len([n for n in again._names() if n.startswith("v")]) == 2 == len(again._manifests())
+    assert held(again.rebucket(7)) == {"a": 4} and again.buckets == 7 == store(spark, s.path).buckets
+    with pytest.raises(ValueError):
+        BucketStore(spark, s.path, {"k": "string"}, ["n", "m"])
+
+
 def test_bucket_store_merges_like_a_counter(spark):
     from collections import Counter
 
