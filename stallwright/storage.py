@@ -13,7 +13,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -71,12 +71,18 @@ def sweep(spark: SparkSession, older_than_s: float) -> int:
 
 
 class Table:
-    """A DataFrame written once to the shared folder; reading it back has no lineage."""
+    """A DataFrame written once to the shared folder; reading it back has no lineage.
 
-    def __init__(self, df: DataFrame, name: str):
+    Aggregates given as ``seen`` are taken while it is written, and kept by name in ``self.seen``.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **seen: Column):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, name)
-        df.write.parquet(self.path)
+        watch = Observation()
+        watched = df.observe(watch, *(c.alias(n) for n, c in seen.items())) if seen else df
+        watched.write.parquet(self.path)
+        self.seen: dict = watch.get if seen else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -286,9 +286,12 @@ def plain_tree(rows):
     return out
 
 
-def test_hierarchy_against_plain(spark, monkeypatch):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_hierarchy_against_plain(spark, monkeypatch, one_task):
     from stallwright.operators import hierarchy
 
+    monkeypatch.setattr(hierarchy, "ONE_TASK", one_task)
+
     monkeypatch.setattr(hierarchy, "BLOCK", 16)
     monkeypatch.setattr(hierarchy, "FAMILY", 20)
     rng = random.Random(11)
@@ -303,7 +306,11 @@ def test_hierarchy_against_plain(spark, monkeypatch):
     assert pairs == {(a, s, len(p) - 1 - k) for s, p in names.items() for k, a in enumerate(p[:-1])}
 
 
-def test_hierarchy_edges(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_hierarchy_edges(spark, monkeypatch, one_task):
+    from stallwright.operators import hierarchy
+
+    monkeypatch.setattr(hierarchy, "ONE_TASK", one_task)
     schema = "slug string, parent string"
     assert resolve_hierarchy(spark.createDataFrame([], schema)).count() == 0
     only = resolve_hierarchy(spark.createDataFrame([("a", "b"), ("b", "a")], schema)).collect()
