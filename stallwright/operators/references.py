@@ -10,7 +10,7 @@ all rows name at one time is one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stallwright.functions.keys import micros, norm_key
@@ -49,9 +49,10 @@ class ReferenceState:
         self.store.apply(merged, source, batch)
         return self
 
-    def failing(self) -> DataFrame:
+    def failing(self, watch: Observation | None = None) -> DataFrame:
         """``(field, key, refs, first_us)`` of the keys with a reference that fails now: ``first_us`` is null
-        if the key does not exist, else the time from which it does, after its first reference."""
+        if the key does not exist, else the time from which it does, after its first reference.
+        ``watch`` sees the number of all references as ``total``."""
         there = F.col("found") > 0
         keys = self.store.read().groupBy("field", "key").agg(
             F.sum("refs").alias("refs"),
@@ -60,6 +61,8 @@ class ReferenceState:
             F.min(F.when(there, F.col("at"))).alias("first_us"),
             F.min(F.when(F.col("refs") > 0, F.col("at"))).alias("named_us"),
         )
+        if watch is not None:
+            keys = keys.observe(watch, F.coalesce(F.sum("refs"), F.lit(0)).alias("total"))
         bad = keys.filter("refs > 0 AND (found <= 0 OR (NOT always AND first_us > named_us))")
         return bad.select("field", "key", "refs", F.when(F.col("found") > 0, F.col("first_us")).alias("first_us"))
 
@@ -93,8 +96,9 @@ def failed_references(rows: DataFrame, id_column: str, time_column: str, fields:
     refs = once.select("row_id", "time", each).select("row_id", "time", "r.field", "r.key").filter("key IS NOT NULL")
     named = refs.select("field", "key", micros("time").alias("at"), F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("found"))
     state = ReferenceState(rows.sparkSession).apply(named, *(existence_deltas(table, key, 1, f, time) for f, (table, key, time) in fields.items()))
-    total = state.store.read().agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
-    failing, most = state.failing(), max(1.0, total * HOT_SHARE)
+    watch = Observation()
+    failing = Table(state.failing(watch), "failing").df
+    most = max(1.0, watch.get["total"] * HOT_SHARE)
     hot, cold = failing.filter(F.col("refs") > most).drop("refs"), failing.filter(F.col("refs") <= most).drop("refs")
     joined = refs.join(F.broadcast(hot), ["field", "key"]).unionByName(refs.join(cold.hint("shuffle_merge"), ["field", "key"]))  # at most 1 / HOT_SHARE keys are hot
     bad = joined.filter(F.col("first_us").isNull() | (F.col("first_us") > micros("time")))
