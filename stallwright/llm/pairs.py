@@ -12,7 +12,7 @@ are made by separate tasks. Every count stays exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stallwright.functions.keys import norm_key
@@ -22,8 +22,8 @@ from stallwright.storage import BucketStore, Table, scratch
 LONG = 1000
 #: More long baskets than this are joined by a shuffle, not a broadcast.
 FEW = 10_000
-#: Items beyond this number are joined to the pairs by a shuffle, not a broadcast.
-FEW_ITEMS = 200_000
+#: Items beyond this number, or of more characters, are joined to the pairs by a shuffle, not a broadcast.
+FEW_ITEMS, FEW_ITEM_CHARS = 200_000, 1 << 23
 
 
 def memberships(rows: DataFrame, basket: str, item: str) -> DataFrame:
@@ -55,9 +55,11 @@ class PairCounts:
         code = F.xxhash64("item") if self.hashed else F.col("item")
         staged = Table(members.select("basket", "item", code.alias("code")), "members")
         rows = staged.df
-        sizes = Table(rows.groupBy("basket").agg(F.count("*").alias("size")).filter(F.col("size") > LONG), "long")
+        whole = rows.groupBy("basket").agg(F.count("*").alias("size"))
+        counted = Observation()
+        sizes = Table(whole.observe(counted, F.count("*").alias("baskets")).filter(F.col("size") > LONG), "long", long=F.count("*"))
         taken = {r["basket"]: r["slot"] for r in self.held.read().collect()}  # at most min_count - 1
-        n_long = sizes.df.count()
+        n_long = sizes.seen["long"]
         if n_long and sign > 0:
             free = [s for s in range(1, len(self.slots) + 1) if s not in taken.values()]
             largest = sizes.df.orderBy(F.desc("size"), "basket").limit(len(free)).collect()
@@ -67,7 +69,7 @@ class PairCounts:
         one = F.lit(sign).cast("bigint")
         in_slot = F.create_map(*(x for b, s in new.items() for x in (F.lit(b), F.lit(s))))[F.col("basket")] if new else F.lit(None).cast("int")
         marks = [F.sum(F.when(F.col("slot") == k + 1, one).otherwise(0)).alias(c) for k, c in enumerate(self.slots)]
-        self.items.apply(rows.withColumn("slot", in_slot).groupBy("code", "item").agg((F.count("*") * sign).alias("n"), *marks).unionByName(self._baskets(rows, sign)))
+        self.items.apply(rows.withColumn("slot", in_slot).groupBy("code", "item").agg((F.count("*") * sign).alias("n"), *marks).unionByName(self._baskets(sign * counted.get["baskets"])))
         rest = rows.withColumn("slot", in_slot).filter("slot IS NULL").drop("slot") if new else rows
         self.pairs.apply(self._pairs(rest, sizes.df, n_long, one))
         if new:
@@ -79,26 +81,21 @@ class PairCounts:
         sizes.drop()
         return self
 
-    def _baskets(self, rows: DataFrame, sign: int) -> DataFrame:
+    def _baskets(self, n: int) -> DataFrame:
         """The number of baskets, as the count of the null item."""
-        total = rows.agg((F.count_distinct("basket") * sign).alias("n"))
-        nothing = F.lit(None)
-        return total.select(nothing.cast(self.items.keys["code"]).alias("code"), nothing.cast("string").alias("item"), "n", *(F.lit(0).cast("bigint").alias(c) for c in self.slots))
+        return self.spark.createDataFrame([(None, None, n, *([0] * len(self.slots)))], self.items.schema)
 
     def _pairs(self, rows: DataFrame, sizes: DataFrame, n_long: int, one) -> DataFrame:
         if n_long:
             cut = sizes.select("basket", F.ceil(F.col("size") / LONG).alias("blocks"))
             rows = rows.join(F.broadcast(cut) if n_long <= FEW else cut, "basket", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("code"), F.col("blocks"))))
-            blocks = rows.filter("block IS NOT NULL").groupBy("basket", "block").agg(F.collect_list("code").alias("codes"))
+            blocks = rows.filter("block IS NOT NULL").groupBy("basket", "block", "blocks").agg(F.collect_list("code").alias("codes"))
             rows = rows.filter("block IS NULL")
         short = rows.groupBy("basket").agg(F.array_sort(F.collect_list("code")).alias("codes"))
         at = short.filter(F.size("codes") > 1).select("codes", F.explode(F.sequence(F.lit(1), F.size("codes") - 1)).alias("i"))
         pairs = at.select(F.element_at("codes", F.col("i")).alias("a"), F.explode(F.slice("codes", F.col("i") + 1, F.size("codes"))).alias("b"))
         if n_long:
-            other = blocks.select("basket", F.col("block").alias("block2"), F.col("codes").alias("codes2"))
-            left = blocks.join(other, "basket").filter("block <= block2").withColumn("a", F.explode("codes"))
-            crossed = left.select("block", "block2", "a", F.explode("codes2").alias("b")).filter("block < block2 OR a < b")
-            pairs = pairs.unionByName(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            pairs = pairs.unionByName(block_pairs(blocks, ["basket"]).select("a", "b"))
         return pairs.groupBy("a", "b").agg((F.count("*") * one).alias("n"))
 
     @property
@@ -110,35 +107,81 @@ class PairCounts:
         row = self.items.read().filter("item IS NULL").select("n").first()
         return row[0] if row else 0
 
-    def scores(self, min_lift: float = 0.0, touched: DataFrame | None = None) -> DataFrame:
-        """``(item_a, item_b, n, n_a, n_b, lift)`` of the pairs in at least ``min_count`` baskets.
+    def _few(self) -> bool:
+        held = self.items.read().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
+        return held["n"] <= FEW_ITEMS and held["chars"] <= FEW_ITEM_CHARS
 
-        ``lift`` is n * N / (n_a * n_b). ``touched(item)`` limits the work to the pairs of items
-        whose counts changed. Ties and order: the smaller name is item_a.
-        """
+    def counts(self, touched: DataFrame | None = None) -> DataFrame:
+        """``(item_a, item_b, n, n_a, n_b)`` of the pairs in at least ``min_count`` baskets, of all items or
+        of those pairs that hold an item of ``touched(item)``, found before anything is joined to them."""
         items = self.items.read().filter("item IS NOT NULL")
         slots = self.slots if self.held.places else []
         pairs = self.pairs.read().filter(F.col("n") >= self.min_count - len(slots))
-        small = items.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS
+        few = self._few()
+        if touched is not None:
+            names = touched.select(norm_key("item").alias("item")).distinct()
+            codes = Table(items.join(names, "item", "left_semi").select("code"), "touched").df
+            first, second = codes.select(F.col("code").alias("a")), codes.select(F.col("code").alias("b"))
+            pairs = pairs.join(first, "a", "left_semi").unionByName(pairs.join(second, "b", "left_semi").join(first, "a", "left_anti"))
 
         def side(which: str) -> DataFrame:
             own = items.select(F.col("code").alias(which), F.col("item").alias(f"item_{which}"), F.col("n").alias(f"n_{which}"), *(F.col(c).alias(f"{c}_{which}") for c in slots))
-            return F.broadcast(own) if small else own
+            return F.broadcast(own) if few else own
 
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         n = F.col("n")
         for c in slots:
             n = n + F.col(f"{c}_a") * F.col(f"{c}_b")
-        scored = both.withColumn("n", n).filter(F.col("n") >= self.min_count).withColumn("lift", F.col("n") * F.lit(float(self.baskets)) / (F.col("n_a") * F.col("n_b")))
-        scored = scored.filter(F.col("n") * F.lit(float(self.baskets)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
+        kept = both.withColumn("n", n).filter(F.col("n") >= self.min_count)
         swap = F.col("item_a") > F.col("item_b")
-        out = scored.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), "n", F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "lift")
-        if touched is None:
-            return out
-        names = touched.select(norm_key("item").alias("item")).distinct()
-        hit_a = out.join(names.withColumnRenamed("item", "item_a"), "item_a", "left_semi")
-        hit_b = out.join(names.withColumnRenamed("item", "item_b"), "item_b", "left_semi").join(names.withColumnRenamed("item", "item_a"), "item_a", "left_anti")
-        return hit_a.unionByName(hit_b)
+        return kept.select(F.least("item_a", "item_b").alias("item_a"), F.greatest("item_a", "item_b").alias("item_b"), "n", F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
+
+    def scores(self, min_lift: float = 0.0, counts: DataFrame | None = None) -> DataFrame:
+        """``(item_a, item_b, n, n_a, n_b, lift)`` of the pairs in at least ``min_count`` baskets.
+
+        ``lift`` is n * N / (n_a * n_b). ``counts`` are pair counts taken before, as those of
+        ``PairScores``. Ties and order: the smaller name is item_a.
+        """
+        whole = F.lit(float(self.baskets))
+        scored = (self.counts() if counts is None else counts).withColumn("lift", F.col("n") * whole / (F.col("n_a") * F.col("n_b")))
+        return scored.filter(F.col("n") * whole >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
+
+
+class PairScores:
+    """The scored pairs of a ``PairCounts`` as a written table, of which a change recomputes what it affects.
+
+    A changed basket affects the pairs of its items. The number of baskets, which enters every
+    lift, is not part of the table and comes in when it is read.
+    """
+
+    def __init__(self, counts: PairCounts):
+        self.of, self.table = counts, Table(counts.counts(), "scores")
+
+    def refresh(self, touched: DataFrame) -> "PairScores":
+        """Recompute the pairs that hold an item of ``touched(item)``."""
+        names = Table(touched.select(norm_key("item").alias("item")).distinct(), "names").df
+        kept = self.table.df
+        for c in ("item_a", "item_b"):
+            kept = kept.join(names.withColumnRenamed("item", c), c, "left_anti")
+        new = Table(kept.select(self.table.df.columns).unionByName(self.of.counts(names)), "scores")
+        self.table.drop()
+        self.table = new
+        return self
+
+    def read(self, min_lift: float = 0.0) -> DataFrame:
+        return self.of.scores(min_lift, self.table.df)
+
+
+def block_pairs(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """``(*group, a, b)``, a < b, of all pairs of codes within a group, from ``(*group, block, blocks, codes)``.
+
+    Each pair of blocks is a row of its own before any codes are joined to it, so the pairs of
+    one large group are made by many tasks.
+    """
+    firsts = blocks.select(*group, "block", F.explode(F.sequence(F.col("block").cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("block2"), F.col("codes").alias("one"))
+    both = firsts.join(blocks.select(*group, F.col("block").cast("bigint").alias("block2"), F.col("codes").alias("two")), [*group, "block2"])
+    each = both.select(*group, "block", "block2", F.explode("one").alias("x"), "two").select(*group, "block", "block2", "x", F.explode("two").alias("y"))
+    return each.filter("block < block2 OR x < y").select(*group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def count_pairs(rows: DataFrame, basket: str, item: str, min_count: int = 5) -> PairCounts:
