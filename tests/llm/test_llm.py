@@ -58,6 +58,15 @@ def test_terms_follow_changes(spark):
     assert vocabulary.changes(new, new).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10**6, 0])
+def test_terms_of_hot_records(spark, monkeypatch, hot):
+    monkeypatch.setattr(vocabulary, "HOT_TEXTS", hot)  # 0: every record of more than a thousandth of the texts takes the way of hot ones
+    rows = ROWS + [("hot", f"word{k % 7} every", "red") for k in range(300)]
+    counts = vocabulary.TermCounts(spark).add(products(spark, rows))
+    want, n = plain_terms(rows)
+    assert {r.term: (r.occurrences, r.records) for r in counts.counts().collect()} == want and counts.size == n
+
+
 def test_bands(spark):
     rows = [(f"p{k}", "every " + ("some" if k < 3 else "x"), None) for k in range(30)]
     counts = vocabulary.TermCounts(spark).add(products(spark, rows))
@@ -111,7 +120,22 @@ def test_pairs_follow_changes(spark, monkeypatch, long):
     want = plain_pairs(new, 3)
     assert scored(counts) == want
     touched = spark.createDataFrame([("i1",)], "item string")
-    assert {(r.item_a, r.item_b) for r in counts.scores(0.0, touched).collect()} == {p for p in want if "i1" in p}
+    assert {(r.item_a, r.item_b) for r in counts.counts(touched).collect()} == {p for p in want if "i1" in p}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_pair_scores_recompute_what_changed(spark, monkeypatch, few):
+    monkeypatch.setattr(pairs, "FEW_ITEM_CHARS", few)
+    old = shop(random.Random(7))
+    new = [r for r in old if r[0] != "s3"] + [("s4", "fresh"), ("more", "i1"), ("more", "i2")]
+    then, now = members(spark, old), members(spark, new)
+    changed = then.exceptAll(now).unionByName(now.exceptAll(then)).select("basket").distinct()
+    counts = pairs.PairCounts(spark, min_count=3).apply(then)
+    scores = pairs.PairScores(counts)
+    was, is_now = then.join(changed, "basket", "left_semi"), now.join(changed, "basket", "left_semi")
+    counts.apply(was, -1).apply(is_now)
+    got = scores.refresh(was.unionByName(is_now)).read().collect()
+    assert {(r.item_a, r.item_b): (r.n, r.n_a, r.n_b, round(r.lift, 9)) for r in got} == plain_pairs(new, 3) and len(got) == len(plain_pairs(new, 3))
 
 
 def test_no_pairs(spark):
@@ -123,6 +147,7 @@ SAME = [
     ("Price 12", "Ｐｒｉｃｅ　１２"), ("café", "café"), ("office fluff", "oﬃce ﬂuﬀ"), ("ab", "a​b"), ("ab", "a­b﻿"), ("a b", "a b"), ("a b", "a b"),
     ("scope", "ѕсоре"), ("HELP", "НЕLР"), ("Zoom", "Ζооm"), ("ё", "ё"), ("naïve", "nаїve".replace("і", "i")), ("ṩ", "ṩ"),
 ]
+SAME += [("Ѵѵ", "Vv"), ("Ӕӕ", "Ææ"), ("Әә", "Əə"), ("Өө", "Ɵɵ"), ("Σ", "Ʃ"), ("ɩ", "ι"), ("ӡ", "ʒ"), ("ѱ", "ψ"), ("ф", "φ"), ("a‑b", "a‐b"), ("𝐀𝟏", "A1"), ("µ", "μ")]
 APART = [("cafe", "café"), ("a", "A"), ("x2", "x3"), ("x²", "x2"), ("one", "two"), ("a b", "ab"), ("l1", "ll"), ("É", "È"), ("и", "й")]
 
 
@@ -158,6 +183,26 @@ def test_lookalike_pairs(spark):
     assert {tuple(r) for r in skeleton.lookalike_pairs(docs).collect()} == {(1, 2), (1, 3), (2, 3), (10, 11)}
     assert {tuple(r) for r in skeleton.look_classes(docs).collect()} == {(1, 1, 5, 3), (2, 1, 5, 3), (3, 1, 5, 3), (4, 1, 5, 3), (9, 9, 1, 1), (10, 10, 2, 2), (11, 10, 2, 2)}
     assert skeleton.lookalike_pairs(docs.limit(0)).count() == 0
+    dashes = documents(spark, [(1, "it’s 5–6"), (2, "it's 5-6"), (3, "it\u055as 5-6")])
+    assert skeleton.lookalike_pairs(dashes).count() == 0
+    assert {tuple(r) for r in skeleton.lookalike_pairs(dashes, marks=True).collect()} == {(1, 2)}
+    assert skeleton.lookalike_pairs(dashes, marks=True, shapes={"\u055a": "'"}).count() == 3
+
+
+def test_every_shape_meets_its_prototype():
+    for char, shape in (skeleton.SAME_SHAPE | skeleton.SAME_MARKS).items():
+        assert skeleton.skeleton(f"x{char}y", skeleton.LETTERS_AND_MARKS) == skeleton.skeleton(f"x{shape}y", skeleton.LETTERS_AND_MARKS), char
+
+
+def test_pairs_of_one_look_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(skeleton, "LONG", 7)
+    docs = documents(spark, [(k, "so" + "\u200b" * k) for k in range(40)] + [(99, "so")])
+    got = [tuple(r) for r in skeleton.lookalike_pairs(docs).collect()]
+    assert sorted(got) == list(itertools.combinations(range(40), 2))
+
+
+def test_consistent_texts_of_nothing(spark):
+    docs = documents(spark, [(5, None)])
     assert {r.doc_id: r.text for r in skeleton.consistent_texts(docs).collect()}[5] is None
 
 
@@ -195,10 +240,23 @@ def test_leaks(spark, monkeypatch, shard):
     docs += [(100, None), (101, " "), (102, "so tiny - full WIDTH text; here"), (103, docs[3][1]), (3, docs[3][1])]
     got = leakage.leaks(documents(spark, docs).repartition(2), spark.createDataFrame(items, "item_id bigint, item_text string"), 5)
     assert {(r.doc_id, r.item_id): (r.words, r.doc_word, r.item_word) for r in got.collect()} == plain_leaks(docs, items, 5)
+    short = {i for i, t in items if len(list(leakage.words(t or ""))) < 5}
+    assert {r.item_id for r in leakage.short_items(spark.createDataFrame(items, "item_id bigint, item_text string"), 5).collect()} == short
     clean = leakage.without_leaks(documents(spark, docs), got)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in plain_leaks(docs, items, 5)}
 
 
+def test_one_long_item_does_not_widen_the_others(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    items = [(k, f"short item {k} of a few words and no more than ten") for k in range(3000)] + [(9999, long)]
+    test = leakage.TestSet(items, 10)
+    assert test.codes.nbytes + test.suffixes.nbytes + test.owner.nbytes + test.start.nbytes < 3_000_000 and test.width == 20_000
+    docs = documents(spark, [(1, " ".join(long.split()[4000:15_000])), (2, items[7][1]), (3, "nothing")])
+    got = leakage.leaks(docs, spark.createDataFrame(items, "item_id bigint, item_text string"))
+    assert {(r.doc_id, r.item_id, r.words, r.item_word) for r in got.collect()} == {(1, 9999, 11_000, 4000), (2, 7, 12, 0)}
+
+
 def test_no_leaks(spark):
     nothing = spark.createDataFrame([], "item_id bigint, item_text string")
     some = spark.createDataFrame([(1, "too short")], "item_id bigint, item_text string")
@@ -254,8 +312,24 @@ def test_mixture_with_shortage(spark):
     assert Mixture(sized(spark), targets.limit(0)).shares().count() == 0
 
 
+def test_weights_of_each_level_and_siblings_before_ancestors(spark):
+    rows = [(k, "big", "en", 100) for k in range(10)] + [(k, "big", "fr", 100) for k in range(10, 12)] + [(k, "rare", "en", 100) for k in range(20, 30)]
+    sized = spark.createDataFrame([(d, s, lang, s, t) for d, s, lang, t in rows], "doc_id bigint, domain string, language string, source string, tokens bigint")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("rare", 0.5, 1)], "source string, target_share double, max_repeats int")
+    even = {"language": spark.createDataFrame([("en", 1.0), ("fr", 1.0)], "language string, weight double")}
+    mix = Mixture(sized, targets, weights=even, total=1000.0)
+    assert mix.weight == {("big", "en", "big"): 0.25, ("big", "fr", "big"): 0.25, ("rare", "en", "rare"): 0.5}
+    assert mix.budget == {("big", "en", "big"): 300.0, ("big", "fr", "big"): 200.0, ("rare", "en", "rare"): 500.0}  # the sibling takes what French lacks
+    assert {r.source: (r.tokens, r.share) for r in mix.shares().collect()} == {"big": (500, 0.5), "rare": (500, 0.5)}
+    assert {tuple(r) for r in mix.budget_table().collect()} >= {("big", "fr", "big", 0.25, 250.0, 200.0, 200.0)}
+    more = Mixture(sized, targets, weights=even, total=2100.0)  # rare is full as a whole, so the other domain takes its part
+    assert {r.source: r.tokens for r in more.shares().collect()} == {"big": 1100, "rare": 1000}
+    own = {"language": spark.createDataFrame([("big", "en", 3.0), ("big", "fr", 1.0)], "domain string, language string, weight double"), "domain": spark.createDataFrame([("big", 0.8), ("rare", 0.2)], "domain string, weight double")}
+    assert Mixture(sized, targets, weights=own, total=100.0).budget == {("big", "en", "big"): pytest.approx(60.0), ("big", "fr", "big"): pytest.approx(20.0), ("rare", "en", "rare"): pytest.approx(20.0)}
+
+
 def test_sizes_in_tokens(spark):
     rows = [(1, "Hello world", "EN ", "Product Copy"), (1, "Hello world", "en", "product_copy"), (2, None, None, "newsletter"), (3, "x", None, "newsletter"), (4, "y", "fr", None), (None, "y", "fr", "newsletter"), (5, "a" * 300_000, "en", "odd")]
     got = {r.doc_id: (r.domain, r.language, r.source, r.tokens) for r in sized_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert got[1] == ("catalog", "en", "product_copy", 2) and got[3][:3] == ("editorial", "und", "newsletter")
+    assert got[1] == ("product_copy", "en", "product_copy", 2) and got[3][:3] == ("newsletter", "und", "newsletter")
     assert set(got) == {1, 3, 5} and got[5][0] == "odd" and got[5][3] > 1000
