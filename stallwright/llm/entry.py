@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallwright.llm.leakage import leaks, without_leaks
-from stallwright.llm.mixture import Mixture, sized_documents
-from stallwright.llm.pairs import PairCounts, count_pairs, memberships
+from stallwright.llm.mixture import Mixture, sized_documents, tempered
+from stallwright.llm.pairs import PairCounts, PairScores, count_pairs, memberships
 from stallwright.llm.skeleton import consistent_texts, look_classes, lookalike_pairs
 from stallwright.llm.vocabulary import TermCounts, banded, changes, records
 from stallwright.sources.tables import table
+from stallwright.storage import materialize
 
 FIELDS = ["name", "attribute_text", "tag_text"]
 #: Where the incremental queries cut the tables into a first load and later changes.
@@ -49,9 +50,11 @@ def p2_changes(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "analytics_events")
     now, then = memberships(events, "session_id", "product_id"), memberships(events.filter(F.col("created_at") < CUT), "session_id", "product_id")
     changed = now.join(then, ["basket", "item"], "left_anti").select("basket").distinct()
+    was, new = then.join(changed, "basket", "left_semi"), now.join(changed, "basket", "left_semi")
     counts = PairCounts(spark, min_count=5).apply(then)
-    counts.apply(then.join(changed, "basket", "left_semi"), -1).apply(now.join(changed, "basket", "left_semi"))
-    return counts.scores().select("item_a", "item_b", "n", "n_a", "n_b", "lift")
+    scores = PairScores(counts)
+    counts.apply(was, -1).apply(new)
+    return scores.refresh(was.unionByName(new)).read().select("item_a", "item_b", "n", "n_a", "n_b", "lift")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,8 +77,10 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(documents, leaks(documents, table(spark, d, "eval_items"))).select("doc_id", "source", "lang")
 
 
-def _mixture(spark: SparkSession, d: str) -> Mixture:
-    return Mixture(sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+def _mixture(spark: SparkSession, d: str, **how) -> Mixture:
+    """Each source gives its target; within it, languages weigh the square root of their tokens, so small ones come up short and their siblings take the rest."""
+    sized = materialize(sized_documents(table(spark, d, "documents")), "documents")
+    return Mixture(sized, table(spark, d, "mix_targets"), weights={"language": tempered(sized, "language")}, **how)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +91,28 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def p9_budgets(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).budget_table()
+
+
+def p9_fixed_size(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mixture as large as the corpus: sources that can't give theirs are short, and the others take the rest."""
+    sized = materialize(sized_documents(table(spark, d, "documents")), "documents")
+    whole = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    return Mixture(sized, table(spark, d, "mix_targets"), weights={"language": tempered(sized, "language")}, total=float(whole)).shares()
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """``(source, reached, within_cap, siblings_filled)`` of each source with records: its share is its target but for half a record a
+    leaf, no record is used more often than allowed, and where a language is short the others of the source take its part."""
+    mix = _mixture(spark, d)
+    largest = mix.sized.groupBy("source").agg(F.max("tokens").alias("largest"))
+    leaves = mix.budget_table().groupBy("source").agg(F.count("*").alias("leaves"), F.sum("wanted").alias("wanted"), F.sum("budget").alias("budget"))
+    rows = mix.shares().join(largest, "source").join(leaves, "source")
+    reached = F.abs(F.col("tokens") - F.col("wanted")) <= F.col("leaves") * F.col("largest") / 2 + 1
+    return rows.select("source", reached.alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("wanted") - F.col("budget")) < 1).alias("siblings_filled"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -98,7 +125,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return consistent_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_vocabulary, p2_found, p2_changes, p8_found, p8_passages, p8_items, p8_clean, p9_mixture, p9_shares, p10_found, p10_classes, p10_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_vocabulary, p2_found, p2_changes, p8_found, p8_passages, p8_items, p8_clean, p9_mixture, p9_shares, p9_budgets, p9_fixed_size, p9_checks, p10_found, p10_classes, p10_texts)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')".format
 _TERMS = f"""WITH fields AS (
@@ -121,5 +148,7 @@ ORACLE = {
     "p1_terms": _TERMS + "SELECT * FROM counts",
     "p1_vocabulary": _BANDS + "SELECT * FROM bands",
     "p2_found": _PAIRS + "SELECT item_a AS product_a, item_b AS product_b FROM scored WHERE n * total >= 8 * n_a * n_b",
+    "p9_checks": f"""WITH held AS (SELECT DISTINCT translate({_KEY('source')}, ' -', '__') AS source FROM documents WHERE length(text) > 0)
+ SELECT translate({_KEY('m.source')}, ' -', '__') AS source, true AS reached, true AS within_cap, true AS siblings_filled FROM mix_targets m JOIN held ON held.source = translate({_KEY('m.source')}, ' -', '__') WHERE target_share > 0""",
     "p2_changes": _PAIRS + "SELECT item_a, item_b, n, n_a, n_b, n * total::DOUBLE / (n_a * n_b) AS lift FROM scored",
 }
