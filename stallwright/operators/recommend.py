@@ -39,8 +39,8 @@ def basket_pairs(members: DataFrame, least: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least)
 
 
-def co_occurrence(members: DataFrame, least: int = 2, min_lift: float = 1.05, min_support: float = 0.0, top: int = 24) -> DataFrame:
-    """``(item, companion, pairs, support, confidence, lift, rank)`` in both directions, the ``top`` companions of each item."""
+def co_occurrence(members: DataFrame, least: int = 2, min_lift: float = 1.05, min_support: float = 0.0, top: int | None = 24) -> DataFrame:
+    """``(item, companion, pairs, support, confidence, lift, rank)`` in both directions, the ``top`` companions of each item or all of them."""
     members = materialize(members.select("basket", "item"), "members")  # read three times
     singles = members.groupBy("item").agg(F.count("*").alias("n"))
     total = members.agg(F.count_distinct("basket").alias("total"))
@@ -52,7 +52,8 @@ def co_occurrence(members: DataFrame, least: int = 2, min_lift: float = 1.05, mi
     kept = rows.filter((lift >= min_lift) & (F.col("pairs") / F.col("total") >= min_support))
     scored = kept.select("item", "companion", "pairs", F.round(F.col("pairs") / F.col("total"), 6).alias("support"), F.round(confidence, 6).alias("confidence"), F.round(lift, 6).alias("lift"))
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("lift"), F.desc("confidence"), F.desc("pairs"), "companion"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", rank)
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def basket_affinity(members: DataFrame, relations: DataFrame, top: int = 12) -> DataFrame:
@@ -100,28 +101,43 @@ def cross_sell(relations: DataFrame, groups: DataFrame) -> DataFrame:
     return right.filter(~F.col("g1").eqNullSafe(F.col("g2"))).select("item", "companion", "lift")
 
 
-def product_counters(events: DataFrame) -> DataFrame:
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    return events.filter("product_id IS NOT NULL").groupBy("product_id").agg(count("PRODUCT_VIEW").alias("views"), count("ADD_TO_CART").alias("carts"), count("WISHLIST_ADD").alias("wishes"), count("PURCHASE").alias("purchases"))
+def product_counters(events: DataFrame, days: int | None = None) -> DataFrame:
+    """``(product_id, views, carts, wishes, purchases)``, of all events or those of the last ``days``."""
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    rows = events.filter("product_id IS NOT NULL")
+    if days is not None:
+        rows = rows.crossJoin(events.agg(F.max("time_us").alias("now"))).filter(F.col("time_us") >= F.col("now") - days * DAY_US)  # now is one row
+    return rows.groupBy("product_id").agg(count("PRODUCT_VIEW", "PRODUCT_CLICK").alias("views"), count("ADD_TO_CART").alias("carts"), count("WISHLIST_ADD").alias("wishes"), count("PURCHASE").alias("purchases"))
 
 
 def activity(prefix: str = "") -> Column:
     return sum((F.col(prefix + c) * w for c, w in POPULARITY_WEIGHTS.items()), F.lit(0))
 
 
-def popularity(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(scope, scope_key, product_id, score, conversion, rank)``: a product's place overall, in its category and in its brand."""
-    scored = product_counters(events).withColumn("score", F.round(F.log1p(activity()), 4)).withColumn("conversion", F.when(F.col("views") > 0, F.round(F.least(F.lit(1.0), F.col("purchases") / F.col("views")), 6)).otherwise(F.lit(0.0)))
+def popularity(events: DataFrame, catalog: DataFrame, days: int = 30) -> DataFrame:
+    """``(scope, scope_key, product_id, score, conversion, rank)``: a product's place overall, in its category and in its brand, by the events of the last ``days``."""
+    scored = product_counters(events, days).withColumn("score", F.round(F.log1p(activity()), 4)).withColumn("conversion", F.when(F.col("views") > 0, F.round(F.least(F.lit(1.0), F.col("purchases") / F.col("views")), 6)).otherwise(F.lit(0.0)))
     known = scored.join(catalog.select("product_id", "brand_name", "category_path"), "product_id", "left")
     scopes = F.array(F.struct(F.lit("GLOBAL").alias("scope"), F.lit("all").alias("scope_key")), F.struct(F.lit("CATEGORY").alias("scope"), F.col("category_path").alias("scope_key")), F.struct(F.lit("BRAND").alias("scope"), F.col("brand_name").alias("scope_key")))
     each = known.select("product_id", "score", "conversion", F.explode(scopes).alias("s")).select("s.scope", "s.scope_key", "product_id", "score", "conversion").filter("scope_key IS NOT NULL")
-    return each.withColumn("rank", F.row_number().over(W.partitionBy("scope", "scope_key").orderBy(F.desc("score"), "product_id"))).filter("rank <= 100")
+    return placed(each, ["scope", "scope_key"], [F.desc("score"), F.asc("product_id")])
+
+
+def placed(rows: DataFrame, group: list[str], order: list[Column], slices: int = 64) -> DataFrame:
+    """``rows`` with their ``rank`` in the group, all of them. A group of any size is ranked by many tasks:
+    range partitions in the order, numbered each by itself, then moved up by what stands before them."""
+    ordered = rows.repartitionByRange(slices, *(F.col(c) for c in group), *order).sortWithinPartitions(*group, *order).withColumn("_part", F.spark_partition_id())
+    kept = materialize(ordered, "ordered")
+    within = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+    before = kept.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
+    return kept.withColumn("_within", within).join(before, [*group, "_part"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("int")).drop("_within", "_before", "_part")
 
 
 def trending(events: DataFrame, recent_days: int = 2, base_days: int = 30, least: int = 20) -> DataFrame:
     """``(product_id, recent, base, trend)`` of the products whose daily activity of late exceeds that of the whole window."""
     now = events.agg(F.max("time_us").alias("now"))
-    weight = F.when(F.col("kind") == "PRODUCT_VIEW", 1).when(F.col("kind") == "ADD_TO_CART", 6).when(F.col("kind") == "WISHLIST_ADD", 5).when(F.col("kind") == "PURCHASE", 25).otherwise(0)
+    weight = F.when(F.col("kind").isin("PRODUCT_VIEW", "PRODUCT_CLICK"), 1).when(F.col("kind") == "ADD_TO_CART", 6).when(F.col("kind") == "WISHLIST_ADD", 5).when(F.col("kind") == "PURCHASE", 25).otherwise(0)
     rows = events.filter("product_id IS NOT NULL AND time_us IS NOT NULL").crossJoin(now).withColumn("age", F.col("now") - F.col("time_us"))  # now is one row
     sums = rows.filter(F.col("age") < base_days * DAY_US).groupBy("product_id").agg(F.sum(F.when(F.col("age") < recent_days * DAY_US, weight).otherwise(0)).alias("recent"), F.sum(weight).alias("base"))
     ratio = (F.col("recent") / recent_days) / (F.col("base") / base_days + 5)

@@ -24,8 +24,10 @@ QUERIES = {
 
 KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')".format
 KIND = f"upper(translate({KEY('{0}')}, ' -', '__'))".format
-LOGS = f"""logs AS (SELECT DISTINCT {KEY('id')} AS id, {KEY('normalized_query')} AS query, result_count, took_ms, {KEY('session_hash')} AS session, {KEY('corrected_query')} AS corrected, was_corrected, ranking_version, experiment_variant, created_at FROM search_query_logs),
- acts AS (SELECT DISTINCT {KEY('id')} AS id, {KEY('search_log_id')} AS log_id, {KEY('product_id')} AS product_id, position, {KIND('event_type')} AS kind, {KEY('session_hash')} AS session, created_at FROM search_events)"""
+LOGS = f"""logs AS (SELECT {KEY('id')} AS id, created_at, {KEY('normalized_query')} AS query, result_count, took_ms, {KEY('session_hash')} AS session, {KEY('corrected_query')} AS corrected, was_corrected, {KEY('ranking_version')} AS ranking_version, {KEY('experiment_variant')} AS experiment_variant, {KEY('filter_signature')} AS filters FROM search_query_logs
+  WHERE {KEY('id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {KEY('id')} ORDER BY created_at NULLS FIRST, query NULLS FIRST, result_count NULLS FIRST, took_ms NULLS FIRST, session NULLS FIRST, corrected NULLS FIRST, was_corrected NULLS FIRST, ranking_version NULLS FIRST, experiment_variant NULLS FIRST, filters NULLS FIRST) = 1),
+ acts AS (SELECT {KEY('id')} AS id, created_at, {KEY('search_log_id')} AS log_id, {KEY('product_id')} AS product_id, position, {KIND('event_type')} AS kind, {KEY('session_hash')} AS session FROM search_events
+  WHERE {KEY('id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {KEY('id')} ORDER BY created_at NULLS FIRST, log_id NULLS FIRST, product_id NULLS FIRST, position NULLS FIRST, kind NULLS FIRST, session NULLS FIRST) = 1)"""
 EVENTS = f"""ev AS (SELECT *, coalesce(user_id, session_id) AS subject FROM (
  SELECT {KEY('id')} AS event_id, min(epoch_us(created_at)) AS time_us, min({KEY('user_id')}) AS user_id, min({KEY('session_id')}) AS session_id, min({KEY('product_id')}) AS product_id,
   min({KEY('source')}) AS source, min({KIND('event_type')}) AS kind, min({KIND('recommendation_type')}) AS placement FROM analytics_events GROUP BY 1, CASE WHEN {KEY('id')} IS NULL THEN uuid() END))"""

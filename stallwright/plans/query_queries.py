@@ -14,7 +14,7 @@ from stallwright.operators.attributes import filled_cells, wide_attributes
 from stallwright.operators.hierarchy import resolve_hierarchy
 from stallwright.plans.core_queries import _RESOLVED, _TREE
 from stallwright.plans.log_queries import EVENTS, KEY
-from stallwright.plans.recommend_queries import _COVIEW, _W, co_view
+from stallwright.plans.recommend_queries import _COVIEW_ALL, _W, co_view
 from stallwright.plans.search_queries import _SUGGEST, CAT, TOK, _queries
 from stallwright.sources.domain import behaviour, catalog, query_logs
 from stallwright.sources.tables import table
@@ -61,7 +61,7 @@ def recommendations(s, d):
     best, now = top.agg(F.max("pop").alias("best")), items.agg(F.max("indexed_at").alias("now"))
     side = items.select(F.col("product_id").alias("companion"), "brand_name", "category_path", "rating_average", "rating_count", "indexed_at").join(top.select(F.col("product_id").alias("companion"), "pop"), "companion", "left")
     seeds = items.select(F.col("product_id").alias("item"), F.col("brand_name").alias("b0"), F.col("category_path").alias("c0"))
-    rows = co_view(s, d).join(side, "companion").join(seeds, "item").crossJoin(best).crossJoin(now)  # one row each
+    rows = co_view(s, d, None).join(side, "companion").join(seeds, "item").crossJoin(best).crossJoin(now)  # one row each
     context = 0.7 * F.coalesce((F.col("category_path") == F.col("c0")).cast("int"), F.lit(0)) + 0.3 * F.coalesce((F.col("brand_name") == F.col("b0")).cast("int"), F.lit(0))
     score = C.recommendation_score(relevance=F.log1p("lift") / F.log(F.lit(21.0)), popularity=F.col("pop") / F.col("best"), quality=C.quality(F.col("rating_average"), F.col("rating_count")), freshness=C.freshness(F.unix_micros("now") - F.unix_micros("indexed_at")), context=context)
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), "companion"))
@@ -123,7 +123,7 @@ ORACLE = {
  round(least(10.0::DOUBLE, 3.33::DOUBLE * log10(coalesce(rating_count, 0) + 1)), 6) AS review_volume, round(CASE WHEN compare_at_paise > 0 AND price_paise < compare_at_paise THEN least(0.9::DOUBLE, (compare_at_paise - price_paise)::DOUBLE / compare_at_paise) ELSE 0 END, 6) AS discount_depth,
  round(CASE WHEN price_paise BETWEEN 50000 AND 500000 THEN 1 WHEN price_paise < 50000 THEN greatest(0, 1 - 0.6::DOUBLE * (50000 - price_paise)::DOUBLE / 50000) ELSE greatest(0, 1 - (price_paise - 500000)::DOUBLE / 500000) END, 6) AS affinity,
  (10 ** (length(price_paise::VARCHAR) - 1))::BIGINT || '-' || (10 ** length(price_paise::VARCHAR))::BIGINT AS band FROM a""",
-    "recommendations": f"""WITH {_COVIEW}, {CAT}, pop AS (SELECT product_id, ln(1 + sum({_W})) AS pop FROM ev WHERE product_id IS NOT NULL GROUP BY 1), q AS (SELECT *, CASE WHEN isnan(rating_average) THEN NULL ELSE rating_average END AS r FROM cat),
+    "recommendations": f"""WITH {_COVIEW_ALL}, {CAT}, pop AS (SELECT product_id, ln(1 + sum({_W})) AS pop FROM ev WHERE product_id IS NOT NULL GROUP BY 1), q AS (SELECT *, CASE WHEN isnan(rating_average) THEN NULL ELSE rating_average END AS r FROM cat),
  s AS (SELECT item, companion, round(100 * least(1, ln(1 + lift) / ln(21)) + 18 * coalesce(pop / (SELECT max(pop) FROM pop), 0) + 14 * CASE WHEN b.r IS NULL OR coalesce(b.rating_count, 0) = 0 THEN 0.35 ELSE b.r / 5 * (b.rating_count::DOUBLE / (b.rating_count + 10)) END
   + 8 * greatest(0, 1 - (epoch_us((SELECT max(indexed_at) FROM cat)) - epoch_us(b.indexed_at)) / 7776000000000.0) + 35 * (0.7 * coalesce((a.category_path = b.category_path)::INT, 0) + 0.3 * coalesce((a.brand_name = b.brand_name)::INT, 0)), 4) AS score
   FROM rel JOIN q a ON a.product_id = item JOIN q b ON b.product_id = companion LEFT JOIN pop ON pop.product_id = companion)

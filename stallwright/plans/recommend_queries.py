@@ -24,22 +24,25 @@ def _baskets(s, d, item="p_name"):
 
 
 def _viewed(s, d):
-    rows = behaviour(s, d).filter("kind = 'PRODUCT_VIEW' AND session_id IS NOT NULL AND product_id IS NOT NULL")
-    return rows.select(F.col("session_id").alias("basket"), F.col("product_id").alias("item")).distinct()
+    """Distinct (subject, product) of views and clicks; the subject is the user, or the session where no user is known."""
+    rows = behaviour(s, d).filter("kind IN ('PRODUCT_VIEW', 'PRODUCT_CLICK') AND subject IS NOT NULL AND product_id IS NOT NULL")
+    return rows.select(F.col("subject").alias("basket"), F.col("product_id").alias("item")).distinct()
 
 
-def co_view(s, d):
-    return R.co_occurrence(_viewed(s, d), 3, 1.2)
+def co_view(s, d, top=24):
+    return R.co_occurrence(_viewed(s, d), 3, 1.2, top=top)
 
 
 def cross_sell(s, d):
+    """All companions of another category, by lift the first 24 of each item."""
     groups = catalog(s, d).select(F.col("product_id").alias("item"), F.col("category_path").alias("grp"))
-    return R.cross_sell(co_view(s, d), groups)
+    rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("lift"), "companion"))
+    return R.cross_sell(co_view(s, d, None), groups).withColumn("rank", rank).filter("rank <= 24")
 
 
 def basket_affinity(s, d):
     members = materialize(_baskets(s, d), "members")
-    return R.basket_affinity(members, R.co_occurrence(members, 2, 1.0))
+    return R.basket_affinity(members, R.co_occurrence(members, 2, 1.0, top=None))
 
 
 def _purchases(s, d):
@@ -165,35 +168,35 @@ QUERIES = {
 }
 
 
-def _pairs_sql(members: str, least: int, lift: float) -> str:
+def _pairs_sql(members: str, least: int, lift: float, top: int | None = 24) -> str:
     return f"""{members}, one AS (SELECT item, count(*) AS n FROM m GROUP BY 1), tot AS (SELECT count(DISTINCT basket) AS total FROM m),
  two AS (SELECT a.item, b.item AS companion, count(*) AS pairs FROM m a JOIN m b ON a.basket = b.basket AND a.item <> b.item GROUP BY ALL HAVING count(*) >= {least}),
  rel AS (SELECT item, companion, pairs, round(pairs::DOUBLE / total, 6) AS support, round(pairs::DOUBLE / n1, 6) AS confidence, round(pairs * total::DOUBLE / (n1 * n2), 6) AS lift,
-  row_number() OVER (PARTITION BY item ORDER BY lift DESC, confidence DESC, pairs DESC, companion) AS rank FROM (SELECT two.*, x.n AS n1, y.n AS n2, total FROM two JOIN one x ON x.item = two.item JOIN one y ON y.item = companion, tot WHERE pairs * total::DOUBLE / (x.n * y.n) >= {lift}) QUALIFY rank <= 24)"""
+  row_number() OVER (PARTITION BY item ORDER BY lift DESC, confidence DESC, pairs DESC, companion) AS rank FROM (SELECT two.*, x.n AS n1, y.n AS n2, total FROM two JOIN one x ON x.item = two.item JOIN one y ON y.item = companion, tot WHERE pairs * total::DOUBLE / (x.n * y.n) >= {lift}){'' if top is None else f' QUALIFY rank <= {top}'})"""
 
 
 _ORDERS = "m AS (SELECT DISTINCT l_orderkey AS basket, p_name AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus <> 'P')"
-_VIEWS = f"{EVENTS}, m AS (SELECT DISTINCT session_id AS basket, product_id AS item FROM ev WHERE kind = 'PRODUCT_VIEW' AND session_id IS NOT NULL AND product_id IS NOT NULL)"
-_COVIEW = _pairs_sql(_VIEWS, 3, 1.2)
-_W = "CASE kind WHEN 'PRODUCT_VIEW' THEN 1 WHEN 'ADD_TO_CART' THEN 6 WHEN 'WISHLIST_ADD' THEN 5 WHEN 'PURCHASE' THEN 25 ELSE 0 END"
+_VIEWS = f"{EVENTS}, m AS (SELECT DISTINCT subject AS basket, product_id AS item FROM ev WHERE kind IN ('PRODUCT_VIEW', 'PRODUCT_CLICK') AND subject IS NOT NULL AND product_id IS NOT NULL)"
+_COVIEW, _COVIEW_ALL = _pairs_sql(_VIEWS, 3, 1.2), _pairs_sql(_VIEWS, 3, 1.2, None)
+_W = "CASE kind WHEN 'PRODUCT_VIEW' THEN 1 WHEN 'PRODUCT_CLICK' THEN 1 WHEN 'ADD_TO_CART' THEN 6 WHEN 'WISHLIST_ADD' THEN 5 WHEN 'PURCHASE' THEN 25 ELSE 0 END"
 _EW = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in R.EVENT_WEIGHTS.items()) + " END"
 _KINDS = ", ".join(f"'{k}'" for k in R.EVENT_WEIGHTS)
-_BYCAT = f"{CAT}, bc AS (SELECT category_path, product_id, seller_id, brand_name, popularity, row_number() OVER (PARTITION BY category_path ORDER BY popularity DESC, product_id) AS rank FROM cat WHERE category_path IS NOT NULL QUALIFY rank <= 200)"
+_BYCAT = f"{CAT}, bc AS (SELECT category_path, product_id, seller_id, brand_name, popularity, row_number() OVER (PARTITION BY category_path ORDER BY popularity DESC, product_id) AS rank FROM cat WHERE category_path IS NOT NULL)"
 _SHOWN = f"""{EVENTS}, shown AS (SELECT subject AS request, product_id AS item, row_number() OVER (PARTITION BY subject ORDER BY max(time_us) DESC, product_id) AS rank FROM ev WHERE kind = 'PRODUCT_VIEW' AND subject IS NOT NULL AND product_id IS NOT NULL AND time_us IS NOT NULL GROUP BY subject, product_id QUALIFY rank <= 10)"""
 _SIM = "(0.3 + 0.18 * coalesce((a.brand_name = b.brand_name)::INT, 0) + 0.18 * coalesce(len(list_intersect(a.att, b.att))::DOUBLE / nullif(len(list_distinct(a.att || b.att)), 0), 0) + 0.07 * coalesce(CASE WHEN a.price_paise > 0 AND b.price_paise > 0 THEN least(a.price_paise, b.price_paise)::DOUBLE / greatest(a.price_paise, b.price_paise) END, 0) + 0.05 * coalesce(len(list_intersect(a.wrd, b.wrd))::DOUBLE / nullif(len(list_distinct(a.wrd || b.wrd)), 0), 0)) / 0.78"
 
 ORACLE = {
     "co_purchase_lift": "WITH " + _pairs_sql(_ORDERS, 2, 1.05) + " SELECT * FROM rel",
     "co_view_pairs": f"WITH {_COVIEW} SELECT * FROM rel",
-    "cross_sell": f"WITH {_COVIEW}, {CAT} SELECT item, companion, lift FROM rel LEFT JOIN cat x ON x.product_id = item LEFT JOIN cat y ON y.product_id = companion WHERE x.category_path IS DISTINCT FROM y.category_path",
+    "cross_sell": f"WITH {_COVIEW_ALL}, {CAT} SELECT item, companion, lift, row_number() OVER (PARTITION BY item ORDER BY lift DESC, companion) AS rank FROM rel LEFT JOIN cat x ON x.product_id = item LEFT JOIN cat y ON y.product_id = companion WHERE x.category_path IS DISTINCT FROM y.category_path QUALIFY row_number() OVER (PARTITION BY item ORDER BY lift DESC, companion) <= 24",
     "upsell_range_join": f"""WITH {CAT}, p AS (SELECT *, row_number() OVER (PARTITION BY category_path ORDER BY popularity DESC, product_id) AS place FROM cat WHERE category_path IS NOT NULL AND price_paise > 0)
- SELECT a.product_id, b.product_id AS upsell_id, row_number() OVER (PARTITION BY a.product_id ORDER BY b.place) AS rank FROM p a JOIN p b ON a.category_path = b.category_path AND b.place <= 200 AND b.price_paise >= 1.1::DOUBLE * a.price_paise AND b.price_paise <= 1.8::DOUBLE * a.price_paise AND a.product_id <> b.product_id QUALIFY rank <= 12""",
-    "basket_affinity": "WITH " + _pairs_sql(_ORDERS, 2, 1.0) + """, f AS (SELECT basket, companion, sum(lift::DECIMAL(18, 6))::DOUBLE AS affinity FROM m JOIN rel USING (item) GROUP BY ALL)
+ SELECT a.product_id, b.product_id AS upsell_id, row_number() OVER (PARTITION BY a.product_id ORDER BY b.place) AS rank FROM p a JOIN p b ON a.category_path = b.category_path AND b.price_paise >= 1.1::DOUBLE * a.price_paise AND b.price_paise <= 1.8::DOUBLE * a.price_paise AND a.product_id <> b.product_id QUALIFY rank <= 12""",
+    "basket_affinity": "WITH " + _pairs_sql(_ORDERS, 2, 1.0, None) + """, f AS (SELECT basket, companion, sum(lift::DECIMAL(18, 6))::DOUBLE AS affinity FROM m JOIN rel USING (item) GROUP BY ALL)
  SELECT f.*, row_number() OVER (PARTITION BY f.basket ORDER BY affinity DESC, companion) AS rank FROM f ANTI JOIN m ON f.basket = m.basket AND companion = m.item QUALIFY rank <= 12""",
-    "popularity_scopes": f"""WITH {EVENTS}, {CAT}, c AS (SELECT product_id, count(*) FILTER (kind = 'PRODUCT_VIEW') AS v, count(*) FILTER (kind = 'PURCHASE') AS p, round(ln(1 + sum({_W})), 4) AS score FROM ev WHERE product_id IS NOT NULL GROUP BY 1),
+    "popularity_scopes": f"""WITH {EVENTS}, {CAT}, c AS (SELECT product_id, count(*) FILTER (kind IN ('PRODUCT_VIEW', 'PRODUCT_CLICK')) AS v, count(*) FILTER (kind = 'PURCHASE') AS p, round(ln(1 + sum({_W})), 4) AS score FROM ev WHERE product_id IS NOT NULL AND time_us >= (SELECT max(time_us) FROM ev) - 2592000000000 GROUP BY 1),
  j AS (SELECT c.product_id, score, CASE WHEN v > 0 THEN round(least(1, p::DOUBLE / v), 6) ELSE 0 END AS conversion, brand_name, category_path FROM c LEFT JOIN cat USING (product_id)),
  e AS (SELECT 'GLOBAL' AS scope, 'all' AS scope_key, product_id, score, conversion FROM j UNION ALL SELECT 'CATEGORY', category_path, product_id, score, conversion FROM j UNION ALL SELECT 'BRAND', brand_name, product_id, score, conversion FROM j)
- SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY score DESC, product_id) AS rank FROM e WHERE scope_key IS NOT NULL QUALIFY rank <= 100""",
+ SELECT *, row_number() OVER (PARTITION BY scope, scope_key ORDER BY score DESC, product_id) AS rank FROM e WHERE scope_key IS NOT NULL""",
     "trending": f"""WITH {EVENTS}, r AS (SELECT product_id, (SELECT max(time_us) FROM ev) - time_us AS age, {_W} AS w FROM ev WHERE product_id IS NOT NULL AND time_us IS NOT NULL),
  c AS (SELECT product_id, sum(CASE WHEN age < 172800000000 THEN w ELSE 0 END)::BIGINT AS recent, sum(w)::BIGINT AS base FROM r WHERE age < 2592000000000 GROUP BY 1)
  SELECT product_id, recent, base, round(ln((recent / 2.0) / (base / 30.0 + 5)), 4) AS trend FROM c WHERE recent >= 20 AND (recent / 2.0) / (base / 30.0 + 5) > 1""",
@@ -210,7 +213,7 @@ ORACLE = {
  g AS (SELECT *, day - lag(day) OVER (PARTITION BY customer, item ORDER BY day) AS gap FROM p), s AS (SELECT customer, item, count(gap) AS gaps, quantile_cont(gap, 0.5)::DOUBLE AS median_days, max(day) AS last FROM g GROUP BY 1, 2)
  SELECT customer, item, gaps, median_days, median_days - ((SELECT max(day) FROM p) - last) AS due_in, round(least(0.95::DOUBLE, gaps::DOUBLE / (gaps + 2)), 6) AS confidence FROM s WHERE gaps > 0 AND median_days - ((SELECT max(day) FROM p) - last) <= 36500""",
     "content_similarity_topk": f"""WITH {CAT}, r AS (SELECT product_id, category_path, brand_name, price_paise, {TOK('attribute_text')} AS att, {TOK('name')} AS wrd, row_number() OVER (PARTITION BY category_path ORDER BY popularity DESC, product_id) AS place FROM cat WHERE category_path IS NOT NULL)
- SELECT a.product_id, b.product_id AS similar_id, round({_SIM}, 6) AS score, row_number() OVER (PARTITION BY a.product_id ORDER BY score DESC, b.product_id) AS rank FROM r a JOIN r b ON a.category_path = b.category_path AND b.place <= 73 AND a.product_id <> b.product_id QUALIFY rank <= 24""",
+ SELECT a.product_id, b.product_id AS similar_id, round({_SIM}, 6) AS score, row_number() OVER (PARTITION BY a.product_id ORDER BY score DESC, b.product_id) AS rank FROM r a JOIN r b ON a.category_path = b.category_path AND a.product_id <> b.product_id QUALIFY rank <= 24""",
     "seller_share_cap": f"""WITH {_BYCAT}, o AS (SELECT *, coalesce(seller_id IS NOT NULL AND row_number() OVER (PARTITION BY category_path, seller_id ORDER BY rank) > 2, false) AS over_ FROM bc)
  SELECT category_path, product_id, row_number() OVER (PARTITION BY category_path ORDER BY over_, rank) AS final FROM o QUALIFY final <= 8""",
     "fallback_ladder": f"""WITH {_COVIEW}, {_BYCAT}, t AS (SELECT product_id, row_number() OVER (ORDER BY popularity DESC, product_id) AS place FROM cat QUALIFY place <= 13),

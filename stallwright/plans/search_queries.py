@@ -83,7 +83,7 @@ _BM25 = f"""WITH {LOGS}, {POSTED}, q AS (SELECT DISTINCT query, {TOK('query')}[:
  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, product_id) AS rank FROM sc QUALIFY rank <= 10"""
 _SUGGEST = f"""WITH {LOGS}, {CAT}, r AS (SELECT lower(trim(name)) AS term, 'PRODUCT' AS kind, least(600.0, 6 * coalesce(popularity, 0))::DOUBLE AS weight FROM cat UNION ALL SELECT lower(trim(brand_name)), 'BRAND', 500 FROM cat
  UNION ALL SELECT lower(trim(split_part(category_path, '/', -1))), 'CATEGORY', 450 FROM cat UNION ALL SELECT query, 'QUERY', least(1000, 10 * count(*)) FROM logs WHERE result_count > 0 AND query IS NOT NULL GROUP BY 1)
- SELECT term, (max(struct_pack(w := weight, k := kind))).k AS kind, round(max(weight), 4) AS weight FROM r WHERE term <> '' GROUP BY 1 ORDER BY weight DESC, term LIMIT 2000"""
+ SELECT term, (max(struct_pack(w := weight, k := kind))).k AS kind, round(max(weight), 4) AS weight FROM r WHERE term <> '' GROUP BY 1"""
 
 ORACLE = {
     "index_postings": f"WITH {POSTED} SELECT * FROM posted",

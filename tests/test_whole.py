@@ -29,7 +29,7 @@ def test_autocomplete_finds_light_terms(spark, tmp_path):
     items = _catalog(spark, 5000).withColumn("indexed_at", F.timestamp_seconds(F.lit(0)))
     items.write.parquet(f"{tmp_path}/product_search_index.parquet")
     rows = [(q, q, 1) for q in ("a000", "z02", "absent")]
-    blank = [F.lit(None).cast("string").alias(c) for c in ("took_ms", "session_hash", "corrected_query", "was_corrected", "ranking_version", "experiment_variant", "created_at")]
+    blank = [F.lit(None).cast("string").alias(c) for c in ("took_ms", "session_hash", "corrected_query", "was_corrected", "ranking_version", "experiment_variant", "filter_signature", "created_at")]
     spark.createDataFrame(rows, "id string, normalized_query string, result_count int").select("*", *blank).write.parquet(f"{tmp_path}/search_query_logs.parquet")
     got = entry.queries()["autocomplete"](spark, str(tmp_path)).collect()
     lists = {p: [r["term"] for r in sorted(got, key=lambda r: r["rank"]) if r["prefix"] == p] for p in ("a00", "z02", "abs")}
