@@ -1,8 +1,8 @@
 """A field-weighted inverted index as DataFrames, and batches of queries ranked over it.
 
 The index is three tables: postings (product, field, term, tf), documents (length and
-nudges) and vocabulary (term, df), which a search writes once. A batch of queries is expanded against the vocabulary
-(exact; the last word by prefix; a word without either by one edit), joined to the postings
+nudges) and vocabulary (term, df); ``index`` stores them. A batch of queries is expanded against the vocabulary
+(exact; the last word by prefix; a word without either by few edits), joined to the postings
 on the term, and summed per query and product. A hot term is one key of that join, whose
 posting side adaptive execution splits.
 """
@@ -11,20 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwright.functions.text import damerau_levenshtein, gram_dice, jaro_winkler_similarity, tokens
+from stallwright.functions.text import damerau_levenshtein, dice, gram_dice, jaro_winkler, jaro_winkler_similarity, ngrams, protected, tokens
 from stallwright.operators.attributes import MAX_OPTIONS
-from stallwright.storage import default_buckets, materialize
+from stallwright.storage import default_buckets
 
 # Field weights and BM25 parameters.
 FIELD_WEIGHTS = {"name": 4.0, "brand_name": 2.5, "category_path": 2.5, "tag_text": 1.6, "attribute_text": 1.6, "sku_text": 1.4, "description_text": 1.0}
 K1, B = 1.2, 0.75
 POPULARITY_NUDGE, RATING_NUDGE = 0.001, 0.01
 # Expansions of one query word, words of one query.
-MAX_PREFIX, MAX_FUZZY, MAX_WORDS, MIN_FUZZY_LENGTH = 32, 16, 8, 4
+MAX_PREFIX, MAX_FUZZY, MAX_WORDS, MIN_FUZZY_LENGTH, LONG_WORD = 32, 16, 8, 4, 7
 # Values compared at once; letters, digits and the hyphen are of different classes.
 MATCH_BLOCK, LETTER_CLASSES = 500, 79
 # Upper ends of the price bands, in minor units.
@@ -38,11 +38,16 @@ def postings(catalog: DataFrame) -> DataFrame:
     return each.groupBy("product_id", "field", "term").agg(F.count("*").alias("tf"))
 
 
+def nudge():
+    """What a product's popularity and rating add to any of its scores."""
+    rating = F.coalesce(F.nanvl("rating_average", F.lit(None).cast("double")), F.lit(0.0))
+    return F.least(F.coalesce("popularity", F.lit(0.0)), F.lit(100.0)) * POPULARITY_NUDGE + F.greatest(F.lit(0.0), F.least(rating, F.lit(5.0))) * RATING_NUDGE
+
+
 def documents(catalog: DataFrame, posted: DataFrame) -> DataFrame:
     """``(product_id, length, nudge)``; a product without words has length 0."""
     lengths = posted.groupBy("product_id").agg(F.sum("tf").alias("length"))
-    nudge = F.least(F.coalesce("popularity", F.lit(0.0)), F.lit(100.0)) * POPULARITY_NUDGE + F.greatest(F.lit(0.0), F.least(F.coalesce(F.nanvl("rating_average", F.lit(None).cast("double")), F.lit(0.0)), F.lit(5.0))) * RATING_NUDGE
-    return catalog.select("product_id", nudge.alias("nudge")).join(lengths, "product_id", "left").select("product_id", F.coalesce("length", F.lit(0)).alias("length"), "nudge")
+    return catalog.select("product_id", nudge().alias("nudge")).join(lengths, "product_id", "left").select("product_id", F.coalesce("length", F.lit(0)).alias("length"), "nudge")
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:
@@ -64,37 +69,77 @@ def _by_prefix(prefixes: DataFrame, words: DataFrame) -> DataFrame:
     return cut.join(prefixes, "prefix")
 
 
-def _blocks(term: str):
-    """Keys of which two terms one edit apart share one: each term with one letter left out, and itself."""
+def _blocks(term: str, edits: int):
+    """Keys of which two terms that few edits apart share one: each term with up to so many letters left out, and itself."""
     size = F.length(term)
-    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col(term), F.lit(1), i - 1), F.substring(F.col(term), i + 1, size)))
-    return F.array_distinct(F.concat(F.array(F.col(term)), without))
 
+    def without(forms):
+        return F.flatten(F.transform(forms, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, size)))))
+
+    forms = last = F.array(F.col(term))
+    for _ in range(edits):
+        last = F.array_distinct(without(last))
+        forms = F.concat(forms, last)
+    return F.array_distinct(forms)
+
+
+def edits_for(word: Column, most: int) -> Column:
+    """The edits that a word may be off: none below four letters, one below seven, then two, never more than ``most``."""
+    size = F.length(word)
+    return F.when(size < MIN_FUZZY_LENGTH, 0).when(size < LONG_WORD, F.least(F.lit(1), F.lit(most))).otherwise(F.least(F.lit(2), F.lit(most)))
 
-def fuzzy_terms(wanted: DataFrame, words: DataFrame, limit: int = MAX_FUZZY) -> DataFrame:
-    """``(word, term, df, distance, rank)``: terms at most one edit from each ``word``.
 
-    Blocking is lossless: two words one insertion, deletion, substitution or swap of neighbours
-    apart share a form with one letter left out (or one is such a form of the other).
+def near_terms(wanted: DataFrame, words: DataFrame, edits: int = 1) -> DataFrame:
+    """``(word, term, df, distance)``: terms at most ``edits`` (one or two) from each ``word``; two edits only for words of seven letters or more.
+
+    Blocking is lossless: two words k insertions, deletions, substitutions or swaps of
+    neighbours apart share a form with up to k letters left out of each.
     """
-    left = wanted.select("word").distinct().withColumn("block", F.explode(_blocks("word")))
-    right = words.select("term", "df").withColumn("block", F.explode(_blocks("term")))
-    near = left.join(right, "block").select("word", "term", "df").distinct().withColumn("distance", damerau_levenshtein("word", "term")).filter("distance <= 1")
+    each = wanted.select("word").distinct()
+
+    def near(own: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+        pairs = own.withColumn("block", F.explode(_blocks("word", k))).join(terms.select("term", "df").withColumn("block", F.explode(_blocks("term", k))), "block")
+        close = pairs.select("word", "term", "df").distinct().filter((F.abs(F.length("word") - F.length("term")) <= k) & (F.levenshtein("word", "term", 2 * k) >= 0))  # a swap counts twice there
+        return close.withColumn("distance", damerau_levenshtein("word", "term")).filter(F.col("distance") <= k)
+
+    if edits < 2:
+        return near(each, words, 1)
+    long = F.length("word") >= LONG_WORD
+    return near(each.filter(~long), words, 1).unionByName(near(each.filter(long), words.filter(F.length("term") >= LONG_WORD - 2), 2))
+
+
+def fuzzy_terms(wanted: DataFrame, words: DataFrame, limit: int = MAX_FUZZY, edits: int = 1) -> DataFrame:
+    """``(word, term, df, distance, rank)``: the nearest ``limit`` terms of each ``word``, then the most frequent."""
     rank = F.row_number().over(W.partitionBy("word").orderBy("distance", F.desc("df"), "term"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return near_terms(wanted, words, edits).withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def spell_corrections(wanted: DataFrame, words: DataFrame) -> DataFrame:
-    """``(word, term, distance, confidence)``: the best correction of each word that is no term, by distance, then frequency."""
-    unknown = wanted.select("word").distinct().filter(F.length("word") >= MIN_FUZZY_LENGTH).join(words.select(F.col("term").alias("word")), "word", "left_anti")
-    best = fuzzy_terms(unknown, words, 1)
-    confidence = F.least(F.lit(1.0), F.lit(0.6) * F.greatest(F.lit(0.0), 1 - F.col("distance") / F.length("word")) + F.lit(0.4) * F.least(F.lit(1.0), F.log10(F.col("df") + 1) / 3))
-    return best.select("word", "term", "distance", F.round(confidence, 3).alias("confidence"))
+def correction_confidence() -> Column:
+    """How sure it is that ``term``, ``distance`` edits from ``word`` and in ``df`` products, was meant."""
+    return F.round(F.least(F.lit(1.0), F.lit(0.6) * F.greatest(F.lit(0.0), 1 - F.col("distance") / F.length("word")) + F.lit(0.4) * F.least(F.lit(1.0), F.log10(F.col("df") + 1) / 3)), 3)
 
 
-def expand(queries: DataFrame, words: DataFrame) -> DataFrame:
-    """``(query, at, n, term, df, fuzzy)``: the terms that each word of each query stands for."""
-    split = queries.select("query", tokens(F.col("query"), MAX_WORDS).alias("words")).filter(F.size("words") > 0)
+def spell_corrections(wanted: DataFrame, words: DataFrame, edits: int = 1, least: float = 0.55) -> DataFrame:
+    """``(word, term, distance, similarity, confidence)``: the best correction of each word that is no term.
+
+    Numbers, words that end in a digit, and those of one or two letters are left alone. The
+    nearest term wins, then the most similar to three places (by Jaro-Winkler or trigrams, at
+    least ``least``), then the most frequent, then the first.
+    """
+    unknown = wanted.select("word").distinct().filter((edits_for(F.col("word"), edits) > 0) & ~protected(F.col("word"))).join(words.select(F.col("term").alias("word")), "word", "left_anti")
+    alike = F.greatest(jaro_winkler("word", "term"), dice(ngrams(F.col("word")), ngrams(F.col("term"))))
+    found = near_terms(unknown, words, edits).filter(F.col("distance") <= edits_for(F.col("word"), edits)).withColumn("similarity", F.round(alike, 3)).filter(F.col("similarity") >= least)
+    rank = F.row_number().over(W.partitionBy("word").orderBy("distance", F.desc("similarity"), F.desc("df"), "term"))
+    return found.withColumn("rank", rank).filter("rank = 1").select("word", "term", "distance", "similarity", correction_confidence().alias("confidence"))
+
+
+def expand(queries: DataFrame, words: DataFrame, edits: int = 1) -> DataFrame:
+    """``(query, at, n, term, df, fuzzy, near)``: the terms that each word of each query stands for, and how near (1: it is the word or begins with it).
+
+    ``queries`` has the text, or also its ``words`` in an array.
+    """
+    own = F.slice("words", 1, MAX_WORDS) if "words" in queries.columns else tokens(F.col("query"), MAX_WORDS)
+    split = queries.select("query", own.alias("words")).filter(F.size("words") > 0)
     each = split.select("query", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     exact = each.join(words.select(F.col("term").alias("word"), "df"), "word").select("query", "at", "n", "word", F.col("word").alias("term"), "df")
     last = each.filter("at = n - 1")
@@ -103,34 +148,8 @@ def expand(queries: DataFrame, words: DataFrame) -> DataFrame:
     prefixed = last.join(begun.withColumnRenamed("prefix", "word"), "word").select("query", "at", "n", "word", "term", "df")
     known = exact.unionByName(prefixed).distinct()
     lost = each.join(known.select("query", "at").distinct(), ["query", "at"], "left_anti").filter(F.length("word") >= MIN_FUZZY_LENGTH)
-    fuzzy = lost.join(fuzzy_terms(lost, words), "word").select("query", "at", "n", "term", "df", F.lit(True).alias("fuzzy"))
-    return known.select("query", "at", "n", "term", "df", F.lit(False).alias("fuzzy")).unionByName(fuzzy)
-
-
-def bm25_search(queries: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:
-    """``(query, product_id, score, fuzzy, rank)``: the products that match every word of a query.
-
-    Queries without words, and with a word that no term stands for, have no hits. Scores are
-    rounded to six places and ties broken by product_id; repeated queries count once.
-    """
-    posted = materialize(postings(catalog), "postings")
-    docs = materialize(documents(catalog, posted), "documents")
-    words = materialize(vocabulary(posted), "vocabulary")
-    sizes = docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    weight = F.create_map(*(x for f, w in FIELD_WEIGHTS.items() for x in (F.lit(f), F.lit(w))))[F.col("field")]
-    ratio = F.when(F.col("mean") > 0, F.col("length") / F.col("mean")).otherwise(F.lit(1.0))
-    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))) * weight
-    # what a term is worth in a product doesn't depend on the query, so it is reckoned once, and spread evenly whatever the term
-    worth = posted.join(words.select("term", "df"), "term").join(docs, "product_id").crossJoin(sizes)  # sizes is one row
-    worth = worth.groupBy("term", "product_id").agg(F.sum(part).alias("part"), F.max("nudge").alias("nudge"))
-    worth = materialize(worth.repartition(default_buckets(queries.sparkSession), "term", "product_id"), "worth")
-    expanded = materialize(expand(queries.select("query").distinct(), words), "expanded")
-    hits = expanded.join(worth, "term")
-    scored = hits.groupBy("query", "n", "product_id").agg(F.sum("part").alias("text"), F.max("nudge").alias("nudge"), F.bit_or(F.expr("shiftleft(1, at)")).alias("met"), F.max("fuzzy").alias("fuzzy")).filter("met = shiftleft(1, n) - 1")
-    ranked = scored.select("query", "product_id", F.round(F.col("text") + F.col("nudge"), 6).alias("score"), "fuzzy")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "product_id"))
-    return ranked.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    fuzzy = lost.join(fuzzy_terms(lost, words, MAX_FUZZY, edits), "word").select("query", "at", "n", "term", "df", F.lit(True).alias("fuzzy"), (1 - F.col("distance") / F.greatest(F.length("word"), F.length("term"))).alias("near"))
+    return known.select("query", "at", "n", "term", "df", F.lit(False).alias("fuzzy"), F.lit(1.0).alias("near")).unionByName(fuzzy)
 
 
 class _Letters:
@@ -166,35 +185,42 @@ class _Letters:
 def match_attributes(values: DataFrame, wanted: DataFrame, least: float = 0.6, limit: int = 5) -> DataFrame:
     """``(wanted, value, similarity)``: values like each wanted one, by the larger of Jaro-Winkler and trigram Dice.
 
-    Each distinct wanted value meets every distinct value, in blocks of the array of values that every
-    task has; a pair isn't scored only if its common letters rule out ``least``.
+    If both sides have a ``key``, only values of the same attribute are compared, and the
+    result has it too. Each distinct wanted value meets every distinct value of its key, in
+    blocks of the array of values that every task has; a pair isn't scored only if its common
+    letters rule out ``least``.
     """
-    spark = wanted.sparkSession
+    spark, keyed = wanted.sparkSession, "key" in values.columns and "key" in wanted.columns
 
     def clean(df, c):
-        return df.select(F.lower(c).alias(c)).filter(F.length(c) > 0).distinct()
+        key = F.coalesce("key", F.lit("")) if keyed else F.lit("")
+        return df.select(key.alias("key"), F.lower(c).alias(c)).filter(F.length(c) > 0).distinct()
 
-    held = [r["value"] for r in clean(values, "value").limit(MAX_OPTIONS + 1).collect()]
+    held = clean(values, "value").limit(MAX_OPTIONS + 1).collect()
     if len(held) > MAX_OPTIONS:
         raise ValueError(f"more than {MAX_OPTIONS} values")
-    shared = spark.sparkContext.broadcast(held)  # at most MAX_OPTIONS
+    by_key: dict[str, list[str]] = {}
+    for r in held:
+        by_key.setdefault(r["key"], []).append(r["value"])
+    shared = spark.sparkContext.broadcast(by_key)  # at most MAX_OPTIONS
 
     def compare(batches):
-        blocks = [_Letters(shared.value[k : k + MATCH_BLOCK]) for k in range(0, len(shared.value), MATCH_BLOCK)]
+        blocks = {k: [_Letters(v[i : i + MATCH_BLOCK]) for i in range(0, len(v), MATCH_BLOCK)] for k, v in shared.value.items()}
         for batch in batches:
-            texts = batch["wanted"].tolist()
-            for k in range(0, len(texts), MATCH_BLOCK):
-                left = _Letters(texts[k : k + MATCH_BLOCK])
-                for right in blocks:
-                    pairs = [(left.texts[i], right.texts[j]) for i, j in left.near(right, least)]
-                    scores = [max(jaro_winkler_similarity(x, y), gram_dice(x, y)) for x, y in pairs]
-                    yield pd.DataFrame({"wanted": [x for x, _ in pairs], "value": [y for _, y in pairs], "similarity": scores}).astype({"similarity": "float64"})
+            for key, rows in batch.groupby("key", sort=False):
+                texts = rows["wanted"].tolist()
+                for k in range(0, len(texts), MATCH_BLOCK):
+                    left = _Letters(texts[k : k + MATCH_BLOCK])
+                    for right in blocks.get(key, []):
+                        pairs = [(left.texts[i], right.texts[j]) for i, j in left.near(right, least)]
+                        scores = [max(jaro_winkler_similarity(x, y), gram_dice(x, y)) for x, y in pairs]
+                        yield pd.DataFrame({"key": [key] * len(pairs), "wanted": [x for x, _ in pairs], "value": [y for _, y in pairs], "similarity": scores}).astype({"key": object, "wanted": object, "value": object, "similarity": "float64"})
 
     each = clean(wanted, "wanted").repartition(default_buckets(spark))  # few bytes but many pairs; by the key it would fall together with the exchange before, which is coalesced
-    near = each.mapInPandas(compare, "wanted string, value string, similarity double")
+    near = each.mapInPandas(compare, "key string, wanted string, value string, similarity double")
     scored = near.withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= least)
-    rank = F.row_number().over(W.partitionBy("wanted").orderBy(F.desc("similarity"), "value"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
+    rank = F.row_number().over(W.partitionBy("key", "wanted").orderBy(F.desc("similarity"), "value"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank", *([] if keyed else ["key"]))
 
 
 def price_facet(catalog: DataFrame) -> DataFrame:

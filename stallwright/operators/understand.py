@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallwright.functions.text import tokens
+from stallwright.functions.text import collapsed, identifier, tokens
+from stallwright.operators.search import spell_corrections
+from stallwright.storage import materialize
 
 # Words without meaning for a search; plural and short forms; comparators; suffixes of amounts.
 STOP_WORDS = ["the", "a", "an", "and", "or", "for", "with", "in", "on", "of", "to", "is", "are", "best", "good", "cheap", "buy", "new", "online", "price", "prices", "rate", "rates"]
@@ -45,7 +47,7 @@ def search_words(query: Column) -> Column:
     """The words that carry meaning: without price phrases and stop words, long runs of a letter cut to two, plurals folded. All words if none would be left."""
     text = F.regexp_replace(F.lower(query), rf"(?:\b(?:{MAX_PRICE}|{MIN_PRICE}|between)\s+{_AMOUNT})(?:\s+(?:to|and)\s+{_AMOUNT})?", " ")
     short = F.create_map(*(F.lit(x) for pair in SHORT_FORMS.items() for x in pair))
-    clean = lambda c: F.transform(tokens(c), lambda w: F.regexp_replace(w, r"(.)\1{2,}", "$1$1"))
+    clean = lambda c: F.transform(tokens(c), collapsed)
     kept = F.filter(clean(text), lambda w: ~w.isin(STOP_WORDS))
     return F.transform(F.when(F.size(kept) > 0, kept).otherwise(clean(query)), lambda w: F.coalesce(short[w], w))
 
@@ -62,7 +64,9 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def _phrases(queries: DataFrame) -> DataFrame:
-    words = queries.select("query", search_words(F.col("query")).alias("words")).filter(F.size("words") > 0)
+    """All runs of up to PHRASE words; ``queries`` has the text, or also its ``words``."""
+    own = F.col("words") if "words" in queries.columns else search_words(F.col("query"))
+    words = queries.select("query", own.alias("words")).filter(F.size("words") > 0)
     at = words.select("query", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("start"))
     spans = at.select("query", "words", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(PHRASE), F.size("words") - F.col("start") + 1))).alias("size"))
     return spans.select("query", F.size("words").alias("n"), "start", "size", F.array_join(F.slice("words", F.col("start"), F.col("size")), " ").alias("phrase"))
@@ -105,10 +109,55 @@ def extract_entities(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return kept.select("query", "s.phrase", "s.start", "s.size", F.explode("s.meanings").alias("m")).select("query", "phrase", "start", "size", "m.kind", "m.value", "m.confidence")
 
 
+# Words that name whom something is for.
+GENDERS = {"men": "men", "mens": "men", "men's": "men", "man": "men", "male": "men", "women": "women", "womens": "women", "women's": "women", "woman": "women", "female": "women", "unisex": "unisex", "boys": "boys", "girls": "girls", "kids": "kids", "baby": "baby"}
+
+
+def gender(word: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in GENDERS.items() for x in pair))[F.lower(word)]
+
+
+def intent(code: Column, words: Column, brands: Column, categories: Column) -> Column:
+    """NAVIGATIONAL, BRAND, CATEGORY, PRODUCT or BROAD, from whether it is a code, the number of words and of brands and categories named."""
+    brand, category = brands > 0, categories > 0
+    return F.when(code, "NAVIGATIONAL").when(words == 0, "BROAD").when(brand & ~category & (words <= 2), "BRAND").when(category, "CATEGORY").when(brand, "BRAND").when(words >= 3, "PRODUCT").otherwise("BROAD")
+
+
 def intents(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """``(query, intent)``: IDENTIFIER, BRAND, CATEGORY, PRODUCT or BROAD, from the confident entities and the words left."""
-    identifier = F.col("query").rlike(r"^[0-9]{8,14}$") | (F.col("query").rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{4,63}$") & F.col("query").rlike("[0-9]"))
-    kinds = entities.filter(F.col("confidence") >= APPLY).groupBy("query").agg(F.max((F.col("kind") == "BRAND").cast("int")).alias("brand"), F.max((F.col("kind") == "CATEGORY").cast("int")).alias("category"))
-    rows = queries.join(kinds, "query", "left")
-    intent = F.when(identifier, "IDENTIFIER").when((F.col("brand") == 1) & (F.col("category") == 1), "PRODUCT").when(F.col("brand") == 1, "BRAND").when(F.col("category") == 1, "CATEGORY").when(F.size(search_words(F.col("query"))) >= 3, "PRODUCT").otherwise("BROAD")
-    return rows.select("query", intent.alias("intent"))
+    """``(query, intent)``."""
+    named = entities.groupBy("query").agg(F.count_if(F.col("kind") == "BRAND").alias("brands"), F.count_if(F.col("kind") == "CATEGORY").alias("categories"))
+    rows = queries.select("query").distinct().join(named, "query", "left")
+    return rows.select("query", intent(identifier(F.col("query")), F.size(search_words(F.col("query"))), F.coalesce("brands", F.lit(0)), F.coalesce("categories", F.lit(0))).alias("intent"))
+
+
+def plan_queries(queries: DataFrame, vocabulary: DataFrame, synonyms: DataFrame, entries: DataFrame, edits: int = 2, apply: float = 0.62) -> DataFrame:
+    """One row per query of what it asks for.
+
+    ``query``, ``code`` (it is a bare identifier), ``least`` and ``most`` (price), ``words``
+    (meaningful, with corrections of confidence ``apply`` or more in place), ``corrected`` and
+    ``suggested`` (``word>term``, those below it), ``canonical``, ``groups`` (each word with its
+    synonyms' words), ``brand``, ``category``, ``attributes`` (what it names with a confidence
+    of at least APPLY), ``genders`` and ``intent``. An identifier is its only word and is never
+    corrected; a query without words has empty lists.
+    """
+    least, most = price_limits(F.col("query"))
+    code = identifier(F.col("query"))
+    base = materialize(queries.select("query").filter("query IS NOT NULL").distinct().select("query", code.alias("code"), F.when(~code, least).alias("least"), F.when(~code, most).alias("most"), F.when(code, F.array(F.lower("query"))).otherwise(search_words(F.col("query"))).alias("said")), "queries")
+    each = base.select("query", "code", F.posexplode("said").alias("at", "word"))
+    better = materialize(spell_corrections(each.filter("NOT code").select("word"), vocabulary, edits), "corrections")
+    fixed = each.join(better, "word", "left").withColumn("sure", F.coalesce(F.col("confidence") >= apply, F.lit(False)) & ~F.col("code"))
+    note = F.concat("word", F.lit(">"), "term")
+    ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("at", value.alias("v"))))), lambda x: x["v"])
+    own = fixed.groupBy("query").agg(ordered(F.when(F.col("sure"), F.col("term")).otherwise(F.col("word"))).alias("words"), ordered(F.when(F.col("sure"), note)).alias("corrected"), ordered(F.when(~F.col("sure") & ~F.col("code"), note)).alias("suggested"))
+    words = materialize(base.drop("said").join(own, "query", "left").select("query", "code", "least", "most", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("words", "corrected", "suggested"))), "words")
+    means = synonyms.select("term", F.explode(tokens(F.col("means"))).alias("m")).groupBy(F.col("term").alias("word")).agg(F.array_sort(F.collect_set("m")).alias("also"))
+    groups = words.select("query", F.posexplode("words").alias("at", "word")).join(means, "word", "left").groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.array_distinct(F.concat(F.array("word"), F.coalesce("also", F.array().cast("array<string>")))).alias("g")))), lambda x: x["g"]).alias("groups"))
+    named = extract_entities(words.filter("NOT code").select("query", "words"), entries).filter(F.col("confidence") >= APPLY)
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("start", "value"))).getField("value")
+    found = named.groupBy("query").agg(first("BRAND").alias("brand"), first("CATEGORY").alias("category"), F.array_sort(F.collect_set(F.when(F.col("kind") == "ATTRIBUTE", F.col("value")))).alias("attributes"), F.count_if(F.col("kind") == "BRAND").alias("brands"), F.count_if(F.col("kind") == "CATEGORY").alias("categories"))
+    rows = words.join(groups, "query", "left").join(found, "query", "left")
+    return rows.select(
+        "query", "code", "least", "most", "words", "corrected", "suggested", F.array_join(F.array_sort(F.array_distinct("words")), " ").alias("canonical"), F.coalesce("groups", F.array().cast("array<array<string>>")).alias("groups"),
+        "brand", "category", F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"), F.array_sort(F.array_distinct(F.array_compact(F.transform("words", gender)))).alias("genders"),
+        intent(F.col("code"), F.size("words"), F.coalesce("brands", F.lit(0)), F.coalesce("categories", F.lit(0))).alias("intent"),
+    )

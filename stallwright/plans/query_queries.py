@@ -15,7 +15,7 @@ from stallwright.operators.hierarchy import resolve_hierarchy
 from stallwright.plans.core_queries import _RESOLVED, _TREE
 from stallwright.plans.log_queries import EVENTS, KEY
 from stallwright.plans.recommend_queries import _COVIEW_ALL, _W, co_view
-from stallwright.plans.search_queries import _SUGGEST, CAT, TOK, _queries
+from stallwright.plans.search_queries import _CODE, _ENTRIES, _MEANS, _NAMED, _SUGGEST, CAT, LOGS, PRICED, SAID, TOK, _queries
 from stallwright.sources.domain import behaviour, catalog, query_logs
 from stallwright.sources.tables import table
 
@@ -110,7 +110,14 @@ QUERIES = {
 }
 
 _EW = "CASE kind " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in R.EVENT_WEIGHTS.items()) + " END"
+_SPANS = "spans AS (SELECT query, array_to_string(words[s:s + z - 1], ' ') AS phrase FROM (SELECT query, words, unnest(range(1, len(words) + 1)) AS s FROM said) x, range(1, 5) r(z) WHERE s + z - 1 <= len(words))"
 ORACLE = {
+    "query_price_limits": f"WITH {LOGS}, {PRICED} SELECT * FROM priced WHERE least IS NOT NULL OR most IS NOT NULL",
+    "query_words": f"WITH {LOGS}, {SAID} SELECT query, array_to_string(words, ' ') AS words FROM said",
+    "synonym_expand": f"WITH {LOGS}, {SAID}, {_SPANS} SELECT DISTINCT query, phrase, m.means AS means FROM spans JOIN (SELECT unnest({_MEANS}) AS m) ON phrase = m.term",
+    "query_entities": f"WITH RECURSIVE {LOGS}, {CAT}, {SAID}, {_ENTRIES}, phrased AS (SELECT * FROM said), {_NAMED} SELECT query, phrase, start, size, kind, value, confidence FROM named",
+    "query_intents": f"""WITH RECURSIVE {LOGS}, {CAT}, {SAID}, {_ENTRIES}, phrased AS (SELECT * FROM said), {_NAMED}, k AS (SELECT query, count(*) FILTER (kind = 'BRAND') AS b, count(*) FILTER (kind = 'CATEGORY') AS c FROM named GROUP BY 1)
+ SELECT query, CASE WHEN {_CODE} THEN 'NAVIGATIONAL' WHEN len(words) = 0 THEN 'BROAD' WHEN b > 0 AND c = 0 AND len(words) <= 2 THEN 'BRAND' WHEN c > 0 THEN 'CATEGORY' WHEN b > 0 THEN 'BRAND' WHEN len(words) >= 3 THEN 'PRODUCT' ELSE 'BROAD' END AS intent FROM said LEFT JOIN k USING (query)""",
     "lexicon": f"""WITH {CAT}, h AS (SELECT value, count(*) AS products FROM (SELECT unnest(list_distinct({TOK('attribute_text')})) AS value FROM cat) GROUP BY 1),
  e AS (SELECT 'BRAND' AS kind, brand_name AS value, count(*) AS products FROM cat GROUP BY 2 UNION ALL SELECT 'CATEGORY', split_part(category_path, '/', -1), count(*) FROM cat GROUP BY 2
   UNION ALL SELECT 'ATTRIBUTE', o.value, coalesce(products, 0) FROM (SELECT DISTINCT lower(trim(slug)) AS value FROM attribute_options) o LEFT JOIN h ON h.value = o.value),

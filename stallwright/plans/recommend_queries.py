@@ -216,6 +216,11 @@ ORACLE = {
  SELECT a.product_id, b.product_id AS similar_id, round({_SIM}, 6) AS score, row_number() OVER (PARTITION BY a.product_id ORDER BY score DESC, b.product_id) AS rank FROM r a JOIN r b ON a.category_path = b.category_path AND a.product_id <> b.product_id QUALIFY rank <= 24""",
     "seller_share_cap": f"""WITH {_BYCAT}, o AS (SELECT *, coalesce(seller_id IS NOT NULL AND row_number() OVER (PARTITION BY category_path, seller_id ORDER BY rank) > 2, false) AS over_ FROM bc)
  SELECT category_path, product_id, row_number() OVER (PARTITION BY category_path ORDER BY over_, rank) AS final FROM o QUALIFY final <= 8""",
+    "diversity_cap": f"""WITH RECURSIVE {_BYCAT}, r AS (SELECT *, row_number() OVER (PARTITION BY category_path ORDER BY rank) AS k FROM (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY category_path, seller_id, brand_name ORDER BY rank) <= 8)),
+ w AS (SELECT category_path, 0::BIGINT AS k, NULL::VARCHAR AS product_id, []::VARCHAR[] AS sellers, []::VARCHAR[] AS brands, false AS kept FROM (SELECT DISTINCT category_path FROM r)
+  UNION ALL SELECT r.category_path, r.k, r.product_id, CASE WHEN fits THEN sellers || [seller_id] ELSE sellers END, CASE WHEN fits THEN brands || [brand_name] ELSE brands END, fits FROM (
+   SELECT r.*, w.sellers, w.brands, (seller_id IS NULL OR len(list_filter(w.sellers, lambda x: x = seller_id)) < 2) AND (brand_name IS NULL OR len(list_filter(w.brands, lambda x: x = brand_name)) < 3) AS fits FROM w JOIN r ON r.category_path = w.category_path AND r.k = w.k + 1) r)
+ SELECT category_path, product_id, row_number() OVER (PARTITION BY category_path ORDER BY kept DESC, k)::INT AS final FROM w WHERE k > 0 QUALIFY final <= 8""",
     "fallback_ladder": f"""WITH {_COVIEW}, {_BYCAT}, t AS (SELECT product_id, row_number() OVER (ORDER BY popularity DESC, product_id) AS place FROM cat QUALIFY place <= 13),
  x AS (SELECT item AS seed, companion AS product_id, rank AS place, 0 AS rung FROM rel UNION ALL SELECT c.product_id, b.product_id, b.rank, 1 FROM cat c JOIN bc b ON c.category_path = b.category_path AND b.rank <= 13 UNION ALL SELECT c.product_id, t.product_id, t.place, 2 FROM cat c, t),
  f AS (SELECT seed, product_id, min(struct_pack(rung := rung, place := place)) AS k FROM x WHERE seed <> product_id GROUP BY 1, 2)

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stallwright.functions import text as T
+from stallwright.functions.keys import norm_key
+from stallwright.operators import index as I
+from stallwright.operators import pipeline as P
 from stallwright.operators import search as S
+from stallwright.operators import understand as U
+from stallwright.operators.attributes import filled_cells, wide_attributes
+from stallwright.plans.core_queries import _RESOLVED
 from stallwright.plans.log_queries import KEY, LOGS
 from stallwright.sources.domain import catalog, query_logs
-from stallwright.sources.tables import table
+from stallwright.sources.tables import fingerprint, table
+from stallwright.storage import materialize
+
+#: The stored index of each data folder, as long as the folder's files are the same.
+_INDEXES: dict[tuple[str, str], tuple[str, I.SearchIndex]] = {}
+
+
+def stored_index(s, d, fresh: bool = False) -> I.SearchIndex:
+    """The index of a folder's catalog: stored when first asked for, and again when the files have changed."""
+    key, now = (s.sparkContext.applicationId, d), fingerprint(s, d, "product_search_index")
+    if fresh or key not in _INDEXES or _INDEXES[key][0] != now:
+        _INDEXES[key] = (now, I.SearchIndex(s).upsert(catalog(s, d)))
+    return _INDEXES[key][1]
 
 
 def _queries(s, d):
@@ -16,13 +34,108 @@ def _queries(s, d):
 
 
 def _words(s, d):
-    return S.vocabulary(S.postings(catalog(s, d)))
+    return stored_index(s, d).vocabulary()
 
 
 def _stored_terms(s, d):
     return table(s, d, "search_vocabulary").select(F.lower(F.trim("term")).alias("word")).distinct()
 
 
+def index_build(s, d):
+    """The whole index built anew: one row of what it holds."""
+    index = stored_index(s, d, True)
+    return index.words.read().agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("products"), F.count("term").alias("words"), F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("tf"))
+
+
+#: Where the incremental query cuts the catalog into a first load and later changes.
+CUT = "2025-11-15"
+
+
+def index_changes(s, d):
+    """The words after a first load, an upsert of all that was indexed later, and the removal of what is archived."""
+    rows = table(s, d, "product_search_index").withColumn("product_id", norm_key("product_id"))
+    last = catalog(s, d)
+    first = materialize(rows.filter(F.col("product_id").isNotNull() & (F.col("indexed_at") < CUT)).groupBy("product_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "product_id")), F.struct("indexed_at", "name")).alias("r")).select("product_id", "r.*"), "first")
+    index = I.SearchIndex(s).upsert(first)
+    index.upsert(last.filter(F.col("indexed_at") >= CUT)).remove(last.filter("status = 'ARCHIVED'"))
+    return index.vocabulary()
+
+
+def index_status(s, d):
+    """The state of the index against the products of variants, and against logged clicks after they were indexed."""
+    known = table(s, d, "variant_attributes").select(norm_key("product_id").alias("product_id")).filter("product_id IS NOT NULL")
+    changed = table(s, d, "search_events").select(norm_key("product_id").alias("product_id"), F.col("created_at").alias("at")).filter("product_id IS NOT NULL")
+    return stored_index(s, d).status(known, changed)
+
+
+def _attribute_index(s, d):
+    variants = table(s, d, "variant_attributes")
+    cells = filled_cells(wide_attributes(variants, table(s, d, "attribute_definitions"), table(s, d, "attribute_options")))
+    owners = variants.select(norm_key("variant_id").alias("variant_id"), norm_key("product_id").alias("product_id")).filter("variant_id IS NOT NULL AND product_id IS NOT NULL")
+    return I.attribute_index(cells, owners, table(s, d, "attribute_definitions"))
+
+
+def match_attribute(s, d):
+    """The first ten products of every option of every listed attribute."""
+    codes = table(s, d, "attribute_definitions").select(norm_key("id").alias("definition_id"), F.col("code").alias("key"))
+    wanted = table(s, d, "attribute_options").select(norm_key("definition_id").alias("definition_id"), F.lower(F.trim("slug")).alias("value")).join(F.broadcast(codes), "definition_id")  # definitions are bounded
+    return I.match_attribute(_attribute_index(s, d), wanted)
+
+
+def fuzzy_attributes(s, d):
+    """For every distinct value of a variant the five listed values of its own attribute that are most like it."""
+    options = table(s, d, "attribute_options").select(norm_key("definition_id").alias("key"), F.col("slug").alias("value"))
+    return S.match_attributes(options, table(s, d, "variant_attributes").select(norm_key("definition_id").alias("key"), F.col("value_key").alias("wanted")))
+
+
+def _plans(s, d):
+    entries = materialize(U.lexicon(catalog(s, d), table(s, d, "attribute_options")), "lexicon")
+    return materialize(U.plan_queries(_queries(s, d), _words(s, d), U.synonym_table(s), entries), "plans")
+
+
+def query_plan(s, d):
+    rows = _plans(s, d)
+    flat = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("query", "code", "least", "most", flat("words"), flat("corrected"), flat("suggested"), "canonical", F.array_join(F.transform("groups", lambda g: F.array_join(g, "|")), ",").alias("groups"), "brand", "category", flat("attributes"), flat("genders"), "intent")
+
+
+def _requests(s, d):
+    plans = _plans(s, d)
+    return plans, materialize(P.requests_of(query_logs(s, d).filter("query IS NOT NULL").select("query", "filters"), plans), "requests")
+
+
+def _found(s, d):
+    plans, requests = _requests(s, d)
+    return plans, requests, P.candidates(requests, stored_index(s, d))
+
+
+def _now(s, d):
+    return catalog(s, d).agg(F.max("indexed_at").alias("now"))
+
+
+def search_layered_score(s, d):
+    """Every logged request: its ten best products with the layers of their scores."""
+    found = P.search(_found(s, d)[2], _now(s, d))
+    return found.withColumn("matched_on", F.array_join("matched_on", ","))
+
+
+def search_filtered(s, d):
+    """Every logged request: how many products it finds with its filters, and without them."""
+    _, requests, found = _found(s, d)
+    kept = found.groupBy("query", "filters").agg(F.count("*").alias("matched"), F.count_if(F.expr(" AND ".join(f"pass_{n}" for n in P._PASSES))).alias("total"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return requests.select("query", "filters").join(kept, ["query", "filters"], "left").select("query", "filters", zero("matched"), zero("total"))
+
+
+def search_facets(s, d):
+    return P.facets(_found(s, d)[2])
+
+
+def zero_result_recovery(s, d):
+    plans, requests, found = _found(s, d)
+    return P.recover(requests, P.search(found, _now(s, d), 1), plans, query_logs(s, d), catalog(s, d))
+
+
 def canonical_queries(s, d):
     return query_logs(s, d).filter("query IS NOT NULL").groupBy(T.canonical(F.col("query")).alias("canonical")).agg(F.count("*").alias("searches"), F.count_distinct("query").alias("spellings"))
 
@@ -41,13 +154,24 @@ def experiment_buckets(s, d):
 
 QUERIES = {
     "index_postings": lambda s, d: S.postings(catalog(s, d)),
-    "index_vocabulary": _words,
+    "index_vocabulary": lambda s, d: S.vocabulary(S.postings(catalog(s, d))),
     "index_documents": lambda s, d: S.documents(catalog(s, d), S.postings(catalog(s, d))).select("product_id", "length", F.round("nudge", 6).alias("nudge")),
-    "bm25_search": lambda s, d: S.bm25_search(_queries(s, d), catalog(s, d)),
+    "index_build": index_build,
+    "index_changes": index_changes,
+    "index_status": index_status,
+    "match_attribute": match_attribute,
+    "bm25_search": lambda s, d: stored_index(s, d).search(_queries(s, d)),
+    "bm25_by_postings": lambda s, d: stored_index(s, d).search(_queries(s, d), df="posted"),
+    "lexical_search": lambda s, d: P.lexical_search(_queries(s, d), catalog(s, d)),
+    "query_plan": query_plan,
+    "search_layered_score": search_layered_score,
+    "search_filtered": search_filtered,
+    "search_facets": search_facets,
+    "zero_result_recovery": zero_result_recovery,
     "complete_prefix": lambda s, d: S.complete_prefix(_stored_terms(s, d).select(F.substring("word", 1, 3).alias("prefix")), _words(s, d), 8),
     "fuzzy_terms": lambda s, d: S.fuzzy_terms(_stored_terms(s, d), _words(s, d)),
-    "spell_corrections": lambda s, d: S.spell_corrections(_stored_terms(s, d), _words(s, d)),
-    "fuzzy_attributes": lambda s, d: S.match_attributes(table(s, d, "attribute_options").select(F.col("slug").alias("value")), table(s, d, "variant_attributes").select(F.col("value_key").alias("wanted"))),
+    "spell_corrections": lambda s, d: S.spell_corrections(_stored_terms(s, d), _words(s, d), 2),
+    "fuzzy_attributes": fuzzy_attributes,
     "canonical_queries": canonical_queries,
     "text_similarity": text_similarity,
     "experiment_buckets": experiment_buckets,
@@ -85,15 +209,119 @@ _SUGGEST = f"""WITH {LOGS}, {CAT}, r AS (SELECT lower(trim(name)) AS term, 'PROD
  UNION ALL SELECT lower(trim(split_part(category_path, '/', -1))), 'CATEGORY', 450 FROM cat UNION ALL SELECT query, 'QUERY', least(1000, 10 * count(*)) FROM logs WHERE result_count > 0 AND query IS NOT NULL GROUP BY 1)
  SELECT term, (max(struct_pack(w := weight, k := kind))).k AS kind, round(max(weight), 4) AS weight FROM r WHERE term <> '' GROUP BY 1"""
 
+_GRAMS = "list_distinct([substring({0}, i, 3) FOR i IN range(1, greatest(length({0}) - 1, 2))])".format
+_CORRECT = f"""unknown AS (SELECT word, CASE WHEN length(word) >= 7 THEN 2 ELSE 1 END AS most FROM want WHERE length(word) >= 4 AND NOT regexp_full_match(word, '[0-9]+') AND NOT (regexp_matches(word, '[a-z]') AND regexp_matches(word, '[0-9]$')) AND word NOT IN (SELECT term FROM voc)),
+ close AS (SELECT word, term, df, damerau_levenshtein(word, term)::INT AS distance, round(greatest(jaro_winkler_similarity(word, term), 2.0 * len(list_intersect({_GRAMS('word')}, {_GRAMS('term')})) / (len({_GRAMS('word')}) + len({_GRAMS('term')}))), 3) AS similarity
+  FROM unknown JOIN voc ON abs(length(word) - length(term)) <= most AND damerau_levenshtein(word, term) <= most),
+ better AS (SELECT word, term, distance, similarity, round(least(1, 0.6 * greatest(0, 1 - distance::DOUBLE / length(word)) + 0.4 * least(1, log10(df + 1) / 3)), 3) AS confidence FROM close WHERE similarity >= 0.55 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, similarity DESC, df DESC, term) = 1)"""
+#: The words of a query, without its price, as the plan of it has them.
+AMOUNT = r"((?:₹|rs\.?|inr)?\s*[0-9][0-9,]*(?:\.[0-9]{1,2})?(?:\s*(?:k|l|lakhs?|cr|crores?))?)\b"
+_MINOR = """(try_cast(replace(regexp_extract({0}, '([0-9][0-9,]*(?:\\.[0-9]{{1,2}})?)', 1), ',', '') AS DECIMAL(18,2)) * CASE regexp_extract({0}, '([a-z]+)\\s*$', 1) WHEN 'k' THEN 1000 WHEN 'l' THEN 100000 WHEN 'lakh' THEN 100000 WHEN 'lakhs' THEN 100000 WHEN 'cr' THEN 10000000 WHEN 'crore' THEN 10000000 WHEN 'crores' THEN 10000000 ELSE 1 END * 100)::BIGINT""".format
+_SPAN, _LOW, _HIGH = rf"(?:between\s+)?{AMOUNT}\s+(?:to|and)\s+{AMOUNT}", rf"\b(?:{U.MIN_PRICE})\s+{AMOUNT}", rf"\b(?:{U.MAX_PRICE})\s+{AMOUNT}"
+_LIMIT = lambda pattern, k: _MINOR(f"nullif(regexp_extract(query, '{pattern}', {k}), '')")
+PRICED = f"""priced AS (SELECT query, CASE WHEN lo > hi THEN hi ELSE lo END AS least, CASE WHEN lo > hi THEN lo ELSE hi END AS most FROM (
+  SELECT query, coalesce({_LIMIT(_SPAN, 1)}, {_LIMIT(_LOW, 1)}) AS lo, coalesce({_LIMIT(_SPAN, 2)}, {_LIMIT(_HIGH, 1)}) AS hi FROM (SELECT DISTINCT query FROM logs WHERE query IS NOT NULL)))"""
+_COLLAPSE = "array_to_string([CASE WHEN i > 2 AND {0}[i] = {0}[i - 1] AND {0}[i] = {0}[i - 2] THEN '' ELSE {0}[i] END FOR i IN range(1, length({0}) + 1)], '')".format
+_SHORT = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in U.SHORT_FORMS.items()) + " ELSE w END"
+_PRICE_TEXT = rf"(?:\b(?:{U.MAX_PRICE}|{U.MIN_PRICE}|between)\s+{AMOUNT})(?:\s+(?:to|and)\s+{AMOUNT})?"
+_CLEAN = lambda text: f"list_transform({TOK(text)}, lambda t: {_COLLAPSE('t')})"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in U.STOP_WORDS) + "]"
+SAID = f"""said AS (SELECT query, list_transform(CASE WHEN len(kept) > 0 THEN kept ELSE {_CLEAN('query')} END, lambda w: {_SHORT}) AS words
+  FROM (SELECT query, list_filter({_CLEAN(f"regexp_replace(query, '{_PRICE_TEXT}', ' ', 'g')")}, lambda w: NOT list_contains({_STOPS}, w)) AS kept FROM (SELECT DISTINCT query FROM logs WHERE query IS NOT NULL)))"""
+_CODE = "(regexp_matches(query, '[0-9]') AND (regexp_full_match(query, '[0-9]{8,14}') OR regexp_full_match(query, '[A-Za-z0-9][A-Za-z0-9_-]{4,63}')))"
+_ENTRIES = f"""h AS (SELECT value, count(*) AS products FROM (SELECT unnest(list_distinct({TOK('attribute_text')})) AS value FROM cat) GROUP BY 1),
+ e AS (SELECT 'BRAND' AS kind, brand_name AS value, count(*) AS products FROM cat GROUP BY 2 UNION ALL SELECT 'CATEGORY', split_part(category_path, '/', -1), count(*) FROM cat GROUP BY 2
+  UNION ALL SELECT 'ATTRIBUTE', o.value, coalesce(products, 0) FROM (SELECT DISTINCT lower(trim(slug)) AS value FROM attribute_options) o LEFT JOIN h ON h.value = o.value),
+ t AS (SELECT array_to_string({TOK("regexp_replace(value, '-[0-9]+$', '')")}, ' ') AS term, kind, value, max(products) AS products FROM e WHERE value IS NOT NULL GROUP BY ALL),
+ lexicon AS (SELECT *, count(*) OVER (PARTITION BY term) AS ambiguity FROM t WHERE term <> '')"""
+#: What the phrases of ``phrased(query, words)`` name: the longest first, sure ones keep others off their words.
+_NAMED = """spans AS (SELECT query, len(words) AS n, s AS start, z AS size, array_to_string(words[s:s + z - 1], ' ') AS phrase FROM (SELECT query, words, unnest(range(1, len(words) + 1)) AS s FROM phrased) x, range(1, 5) r(z) WHERE s + z - 1 <= len(words)),
+ meant AS (SELECT spans.*, kind, value, ambiguity, round(least(1, (0.6::DOUBLE / ambiguity + 0.4 * least(1, log10(products + 1) / 3)) * CASE WHEN n <= 2 THEN 1.0 ELSE 0.85 END), 3) AS confidence FROM spans JOIN lexicon ON phrase = term),
+ numbered AS (SELECT query, start, size, phrase, sum(DISTINCT 0)::INT AS z, list_sum([1::BIGINT << i::BIGINT FOR i IN range(start, start + size)])::BIGINT AS bits, bool_or(ambiguity = 1 AND confidence >= 0.6) AS takes, row_number() OVER (PARTITION BY query ORDER BY size DESC, start) AS k FROM meant GROUP BY query, start, size, phrase),
+ walked AS (SELECT query, 0::BIGINT AS k, 0::BIGINT AS mask, false AS free FROM (SELECT DISTINCT query FROM numbered) UNION ALL SELECT w.query, n.k, CASE WHEN (w.mask & n.bits) = 0 AND n.takes THEN w.mask | n.bits ELSE w.mask END, (w.mask & n.bits) = 0 FROM walked w JOIN numbered n ON n.query = w.query AND n.k = w.k + 1),
+ named AS (SELECT m.query, m.phrase, m.start, m.size, kind, value, confidence FROM walked w JOIN numbered n ON n.query = w.query AND n.k = w.k AND free JOIN meant m ON m.query = n.query AND m.start = n.start AND m.size = n.size)"""
+_MEANS = "[" + ", ".join(f"{{'term': '{a}', 'means': '{b}'}}" for a, b in sorted({(a, b) for a, b, _ in U.SYNONYMS} | {(b, a) for a, b, two in U.SYNONYMS if two})).replace("{{", "{").replace("}}", "}") + "]"
+_GENDER = "CASE lower(w) " + " ".join("WHEN '{}' THEN '{}'".format(a.replace("'", "''"), b) for a, b in U.GENDERS.items()) + " END"
+_PLAN = f"""{LOGS}, {POSTED}, {PRICED}, {SAID}, coded AS (SELECT query, {_CODE} AS code, CASE WHEN {_CODE} THEN [query] ELSE words END AS words FROM said),
+ want AS (SELECT DISTINCT unnest(words) AS word FROM coded WHERE NOT code), {_CORRECT},
+ each AS (SELECT query, code, at_, words[at_] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS at_ FROM coded) x),
+ fixed AS (SELECT query, list(CASE WHEN confidence >= 0.62 AND NOT code THEN term ELSE word END ORDER BY at_) AS words, list(word || '>' || term ORDER BY at_) FILTER (confidence >= 0.62 AND NOT code) AS corrected, list(word || '>' || term ORDER BY at_) FILTER (confidence < 0.62 AND NOT code) AS suggested FROM each LEFT JOIN better USING (word) GROUP BY 1),
+ {_ENTRIES}, phrased AS (SELECT fixed.query, fixed.words FROM fixed JOIN coded USING (query) WHERE NOT code), {_NAMED},
+ sure AS (SELECT query, arg_min(value, start) FILTER (kind = 'BRAND') AS brand, arg_min(value, start) FILTER (kind = 'CATEGORY') AS category, list_sort(list_distinct(list(value) FILTER (kind = 'ATTRIBUTE'))) AS attributes, count(*) FILTER (kind = 'BRAND') AS brands, count(*) FILTER (kind = 'CATEGORY') AS categories FROM named WHERE confidence >= 0.6 GROUP BY 1),
+ means AS (SELECT x.term AS word, list_sort(list_distinct(flatten(list({TOK('x.means')})))) AS also FROM (SELECT unnest({_MEANS}) AS x) GROUP BY 1),
+ groups AS (SELECT query, string_agg(g, ',' ORDER BY at_) AS groups FROM (SELECT fe.query, at_, array_to_string([word] || list_filter(coalesce(also, []), lambda m: m <> word), '|') AS g FROM (SELECT query, at_, words[at_] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS at_ FROM fixed) y) fe LEFT JOIN means USING (word)) z GROUP BY 1),
+ plans AS (SELECT coded.query, code, CASE WHEN NOT code THEN least END AS least, CASE WHEN NOT code THEN most END AS most, coalesce(fixed.words, []) AS words, corrected, suggested, coalesce(groups, '') AS groups, brand, category, coalesce(attributes, []) AS attributes,
+  CASE WHEN code THEN 'NAVIGATIONAL' WHEN len(coalesce(fixed.words, [])) = 0 THEN 'BROAD' WHEN coalesce(brands, 0) > 0 AND coalesce(categories, 0) = 0 AND len(fixed.words) <= 2 THEN 'BRAND' WHEN categories > 0 THEN 'CATEGORY' WHEN brands > 0 THEN 'BRAND' WHEN len(fixed.words) >= 3 THEN 'PRODUCT' ELSE 'BROAD' END AS intent
+  FROM coded JOIN priced USING (query) LEFT JOIN fixed USING (query) LEFT JOIN groups USING (query) LEFT JOIN sure USING (query))"""
+_FOUND = f"""{_PLAN}, asked AS (SELECT query, CASE WHEN code THEN {TOK('query')} ELSE words END[:8] AS qw FROM plans), eachw AS (SELECT query, len(qw) AS n, at_, qw[at_ + 1] AS word FROM (SELECT *, unnest(range(len(qw))) AS at_ FROM asked) a),
+ pre AS (SELECT word, term, df FROM (SELECT DISTINCT word FROM eachw WHERE at_ = n - 1) JOIN voc ON starts_with(term, word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY term) <= 32),
+ known AS (SELECT query, at_, n, word AS term FROM eachw JOIN voc ON word = term UNION SELECT query, at_, n, term FROM eachw JOIN pre USING (word) WHERE at_ = n - 1),
+ lost AS (SELECT * FROM eachw ANTI JOIN known USING (query, at_) WHERE length(word) >= 4),
+ fz AS (SELECT word, term, damerau_levenshtein(word, term) AS dist FROM (SELECT DISTINCT word FROM lost) JOIN voc ON abs(length(word) - length(term)) <= 1 AND damerau_levenshtein(word, term) <= 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, df DESC, term) <= 16),
+ x AS (SELECT *, false AS fuzzy, 1.0::DOUBLE AS near FROM known UNION ALL SELECT query, at_, n, term, true, 1 - dist::DOUBLE / greatest(length(word), length(term)) FROM lost JOIN fz USING (word)),
+ hit AS (SELECT query, product_id, max(x.fuzzy) AS fuzzy, min(near) AS closeness FROM x JOIN (SELECT DISTINCT product_id, term FROM posted) p USING (term) GROUP BY query, n, product_id HAVING count(DISTINCT at_) = n),
+ sig AS (SELECT DISTINCT query, coalesce(filters, '') AS filters FROM logs WHERE query IS NOT NULL),
+ req AS (SELECT sig.query, sig.filters, code, words, brand, category, attributes AS named, coalesce(nullif(regexp_extract('|' || filters, '\\|sort:([^|]*)', 1), ''), 'relevance') AS sort,
+  list_filter(string_split(regexp_extract('|' || filters, '\\|color:([^|]*)', 1), ','), lambda v: v <> '') AS attrs,
+  CASE WHEN flo IS NULL AND fhi IS NULL THEN least ELSE flo END AS least, CASE WHEN flo IS NULL AND fhi IS NULL THEN most ELSE fhi END AS most
+  FROM (SELECT *, try_cast(nullif(regexp_extract('|' || filters, '\\|price:([0-9]*)-', 1), '') AS BIGINT) AS flo, try_cast(nullif(regexp_extract('|' || filters, '\\|price:[0-9]*-([0-9]*)', 1), '') AS BIGINT) AS fhi FROM sig) sig JOIN plans USING (query)),
+ found AS (SELECT req.*, hit.fuzzy, closeness, cat.* EXCLUDE (category_id), (brand IS NULL OR coalesce(lower(trim(brand_name)) = lower(brand), false)) AS p_brand, (category IS NULL OR coalesce(contains(lower(category_path), lower(category)), false)) AS p_category,
+  (coalesce(price_paise >= least, least IS NULL) AND coalesce(price_paise <= most, most IS NULL)) AS p_price, (len(attrs) = 0 OR list_bool_or([contains(lower(attribute_text), v) FOR v IN attrs])) AS p_attr
+  FROM req JOIN hit USING (query) JOIN cat USING (product_id) WHERE is_searchable)"""
+_TOTALS = """sgn AS (SELECT *, lower(coalesce(name, '')) AS nm, CASE WHEN isnan(rating_average) THEN NULL ELSE rating_average END AS stars, list_filter(words, lambda w: length(w) > 2) AS longer FROM found WHERE p_brand AND p_category AND p_price AND p_attr),
+ s2 AS (SELECT *, code AND (contains(lower(coalesce(sku_text, '')), query) OR nm = query) AS b_sku, nm = query AS b_exact, starts_with(nm, query) AS b_prefix, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: contains(nm, w)))::DOUBLE / len(words) ELSE 0 END AS coverage,
+  len(list_filter(longer, lambda w: contains(lower(coalesce(description_text, '')), w))) > 0 AS b_desc, coalesce(lower(trim(brand_name)) = lower(brand), false) AS b_brand, coalesce(contains(lower(coalesce(category_path, '')), lower(category)), false) AS b_cat,
+  len(list_filter(named, lambda v: contains(lower(coalesce(attribute_text, '')), lower(v)))) AS n_attr, len(list_filter(longer, lambda w: contains(lower(coalesce(tag_text, '')), w))) AS n_tag, coalesce(status = 'ACTIVE', false) AS in_stock FROM sgn),
+ s3 AS (SELECT *, CASE WHEN b_sku THEN 1000 ELSE 0 END + CASE WHEN b_exact THEN 400 WHEN b_prefix THEN 220 ELSE 0 END + 120 * coverage + CASE WHEN b_desc THEN 20 ELSE 0 END AS t_text, CASE WHEN b_brand THEN 160 ELSE 0 END + CASE WHEN b_cat THEN 120 ELSE 0 END + 90 * least(n_attr, 3) + 60 * least(n_tag, 3) AS t_entity,
+  0.25 * greatest(0, least(100, coalesce(popularity, 0))) AS t_com, 8 * CASE WHEN stars IS NULL THEN 3 ELSE greatest(0, least(5, stars)) END + 2 * least(10::DOUBLE, 3.33::DOUBLE * log10(coalesce(rating_count, 0) + 1)) + 5 * greatest(0, 1 - (epoch_us((SELECT max(indexed_at) FROM cat)) - epoch_us(indexed_at)) / 31536000000000.0) AS t_qual FROM s2),
+ s4 AS (SELECT *, CASE WHEN in_stock THEN 0 ELSE 150 END + CASE WHEN fuzzy THEN 0.55 * t_text * (1 - closeness) ELSE 0 END AS t_pen FROM s3),
+ res AS (SELECT query, filters, product_id, round(t_text, 3)::DOUBLE AS text, round(t_entity, 3)::DOUBLE AS entity, round(t_com, 3)::DOUBLE AS commerce, round(t_qual, 3)::DOUBLE AS quality, round(t_pen, 3)::DOUBLE AS penalties, round(greatest(0, t_text + t_entity + t_com + t_qual - t_pen), 3)::DOUBLE AS total, fuzzy, in_stock,
+  array_to_string(list_filter([CASE WHEN b_sku THEN 'sku' END, CASE WHEN b_exact THEN 'name:exact' WHEN b_prefix THEN 'name:prefix' WHEN coverage > 0 THEN 'name:token' END, CASE WHEN b_brand THEN 'brand' END, CASE WHEN b_cat THEN 'category' END, CASE WHEN n_attr > 0 THEN 'attribute:' || n_attr END, CASE WHEN n_tag > 0 THEN 'tag' END, CASE WHEN b_desc THEN 'description' END, CASE WHEN fuzzy THEN 'fuzzy' END], lambda m: m IS NOT NULL), ',') AS matched_on, sort,
+  row_number() OVER (PARTITION BY query, filters ORDER BY CASE sort WHEN 'newest' THEN epoch_us(indexed_at)::DOUBLE ELSE round(greatest(0, t_text + t_entity + t_com + t_qual - t_pen), 3) END DESC NULLS LAST, product_id) AS rank FROM s4)"""
+
 ORACLE = {
     "index_postings": f"WITH {POSTED} SELECT * FROM posted",
     "index_vocabulary": f"WITH {POSTED} SELECT * FROM voc",
     "index_documents": f"WITH {POSTED} SELECT product_id, length, round(nudge, 6) AS nudge FROM docs",
+    "index_build": f"WITH {POSTED} SELECT (SELECT count(*) FROM cat) AS products, count(*) AS words, sum(tf)::BIGINT AS tf FROM voc",
+    "index_changes": f"WITH {POSTED.replace('FROM product_search_index WHERE', 'FROM product_search_index WHERE')} SELECT term, count(DISTINCT product_id) AS df, sum(posted.tf)::BIGINT AS tf FROM posted JOIN cat USING (product_id) WHERE NOT (status = 'ARCHIVED') GROUP BY 1",
+    "index_status": f"""WITH {POSTED}, v AS (SELECT DISTINCT {KEY('product_id')} AS p FROM variant_attributes WHERE {KEY('product_id')} IS NOT NULL)
+ SELECT (SELECT count(*) FROM cat) AS products, (SELECT count(*) FROM cat WHERE is_searchable) AS searchable, (SELECT max(indexed_at) FROM cat) AS last_indexed, (SELECT count(*) FROM voc) AS words, (SELECT count(*) FROM v ANTI JOIN cat ON p = product_id) AS unindexed,
+ (SELECT count(DISTINCT cat.product_id) FROM search_events s JOIN cat ON {KEY('s.product_id')} = cat.product_id WHERE created_at > indexed_at) AS stale""",
+    "match_attribute": _RESOLVED + f""", ix AS (SELECT DISTINCT lower(trim(code)) AS key, value, {KEY('v.product_id')} AS product_id FROM cells JOIN attribute_definitions a ON {KEY('a.id')} = definition_id JOIN variant_attributes v ON {KEY('v.variant_id')} = cells.variant_id WHERE value IS NOT NULL AND {KEY('v.product_id')} IS NOT NULL),
+ w AS (SELECT DISTINCT lower(code) AS key, lower(trim(slug)) AS value FROM attribute_options o JOIN attribute_definitions a ON {KEY('a.id')} = {KEY('o.definition_id')}) SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY product_id) AS rank FROM ix JOIN w USING (key, value) QUALIFY rank <= 10""",
+    "bm25_by_postings": _BM25.replace("count(DISTINCT product_id) AS df", "count(*) AS df"),
+    "lexical_search": f"""WITH {LOGS}, {CAT}, q AS (SELECT DISTINCT query, {TOK('query')}[:8] AS words FROM logs WHERE query IS NOT NULL), t AS (SELECT product_id, popularity, lower(coalesce(name, '')) AS name, lower(concat_ws(' ', brand_name, category_path, sku_text, tag_text, attribute_text)) AS rest FROM cat),
+ h AS (SELECT query, product_id, round(list_sum([CASE WHEN contains(name, w) THEN 4.0 ELSE 1.0 END FOR w IN list_distinct(words)]) + least(coalesce(popularity, 0), 100) * 0.001::DOUBLE, 6)::DOUBLE AS score FROM q, t WHERE len(words) > 0 AND list_bool_and([contains(name, w) OR contains(rest, w) FOR w IN words]))
+ SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, product_id) AS rank FROM h QUALIFY rank <= 10""",
+    "query_plan": f"WITH RECURSIVE {_PLAN} SELECT query, code, least, most, array_to_string(words, ',') AS words, coalesce(array_to_string(corrected, ','), '') AS corrected, coalesce(array_to_string(suggested, ','), '') AS suggested, array_to_string(list_sort(list_distinct(words)), ' ') AS canonical, groups, brand, category, array_to_string(attributes, ',') AS attributes, array_to_string(list_sort(list_distinct(list_filter(list_transform(words, lambda w: {_GENDER}), lambda g: g IS NOT NULL))), ',') AS genders, intent FROM plans",
+    "search_layered_score": f"WITH RECURSIVE {_FOUND}, {_TOTALS} SELECT * FROM res WHERE rank <= 10",
+    "search_facets": f"""WITH RECURSIVE {_FOUND}, entries AS (
+  SELECT query, filters, 'brand' AS axis, lower(trim(brand_name)) AS value, coalesce(lower(trim(brand_name)) = lower(brand), false) AS selected FROM found WHERE p_category AND p_price AND p_attr
+  UNION ALL SELECT query, filters, 'category', lower(category_path), coalesce(contains(lower(category_path), lower(category)), false) FROM found WHERE p_brand AND p_price AND p_attr
+  UNION ALL SELECT query, filters, 'price', ({' + '.join(f'(price_paise >= {e})::INT' for e in S.PRICE_BANDS)})::VARCHAR, false FROM found WHERE p_brand AND p_category AND p_attr
+  UNION ALL SELECT query, filters, 'rating', n::VARCHAR, false FROM found, range(1, 5) r(n) WHERE p_brand AND p_category AND p_price AND p_attr AND rating_average >= n
+  UNION ALL SELECT query, filters, CASE WHEN regexp_matches(v, '(gb|tb)$') THEN 'storage' ELSE 'attribute' END, v, list_contains(attrs, v) FROM (SELECT *, unnest(list_distinct({TOK('attribute_text')})) AS v FROM found WHERE p_brand AND p_category AND p_price) a),
+ tally AS (SELECT query, filters, axis, value, count(*) AS products, bool_or(selected) AS selected FROM entries WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) > 1 OR bool_or(selected) OR axis IN ('price', 'rating'))
+ SELECT *, row_number() OVER (PARTITION BY query, filters, axis ORDER BY selected DESC, products DESC, value) AS rank FROM tally QUALIFY rank <= 50""",
+    "zero_result_recovery": f"""WITH RECURSIVE {_FOUND}, nothing AS (SELECT req.query, req.filters, plans.words, plans.suggested, array_to_string(list_sort(list_distinct(plans.words)), ' ') AS canonical FROM req JOIN plans USING (query) ANTI JOIN (SELECT query, filters FROM found WHERE p_brand AND p_category AND p_price AND p_attr) ok ON ok.query = req.query AND ok.filters = req.filters),
+ worked AS (SELECT query AS offer, count(*) AS n FROM logs WHERE result_count > 0 AND query IS NOT NULL AND created_at > (SELECT max(created_at) FROM logs) - INTERVAL 30 DAYS GROUP BY 1),
+ pairs AS (SELECT DISTINCT a.query, a.filters, offer, n FROM (SELECT query, filters, canonical, unnest(words) AS word FROM nothing) a JOIN (SELECT offer, n, unnest(list_distinct({TOK('offer')})) AS word FROM worked) b USING (word) WHERE offer <> canonical AND offer <> a.query),
+ offers AS (SELECT DISTINCT query, filters, 'CORRECTION' AS kind, split_part(unnest(suggested), '>', 2) AS offer, 1000::BIGINT AS weight FROM nothing UNION ALL SELECT query, filters, 'UNFILTERED', query, 900 FROM nothing WHERE filters <> ''
+  UNION ALL SELECT query, filters, 'RELATED', offer, n + 100 FROM (SELECT *, row_number() OVER (PARTITION BY query, filters ORDER BY n DESC, offer) AS place FROM pairs) p WHERE place <= 6
+  UNION ALL SELECT query, filters, 'POPULAR', product_id, 50 FROM nothing, (SELECT product_id FROM cat WHERE is_searchable ORDER BY popularity DESC NULLS LAST, product_id LIMIT 4) best)
+ SELECT *, row_number() OVER (PARTITION BY query, filters ORDER BY weight DESC, kind, offer) AS rank FROM offers QUALIFY rank <= 12""",
+    "fuzzy_attributes": f"""WITH o AS (SELECT DISTINCT {KEY('definition_id')} AS key, lower(slug) AS value FROM attribute_options WHERE length(slug) > 0), w AS (SELECT DISTINCT {KEY('definition_id')} AS key, lower(value_key) AS wanted FROM variant_attributes WHERE length(value_key) > 0),
+ p AS (SELECT key, wanted, value, jaro_similarity(wanted, value) AS j, CASE WHEN wanted[1] <> value[1] THEN 0 WHEN wanted[1:2] <> value[1:2] OR least(length(wanted), length(value)) = 1 THEN 1 WHEN wanted[1:3] <> value[1:3] OR least(length(wanted), length(value)) = 2 THEN 2 WHEN wanted[1:4] <> value[1:4] OR least(length(wanted), length(value)) = 3 THEN 3 ELSE 4 END AS pre,
+  [substring(wanted, i, 3) FOR i IN range(1, length(wanted) - 1)] AS x, [substring(value, i, 3) FOR i IN range(1, length(value) - 1)] AS y FROM o JOIN w ON coalesce(o.key, '') = coalesce(w.key, '')),
+ s AS (SELECT key, wanted, value, round(greatest(CASE WHEN wanted = value THEN 1 WHEN j = 0 THEN 0 ELSE j + pre * 0.1 * (1 - j) END, CASE WHEN least(length(wanted), length(value)) < 3 THEN (wanted = value)::INT ELSE 2.0 * list_sum([least(len(list_filter(x, lambda t: t = g)), len(list_filter(y, lambda t: t = g))) FOR g IN list_distinct(x)]) / (len(x) + len(y)) END), 6)::DOUBLE AS similarity FROM p)
+ SELECT * FROM s WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY key, wanted ORDER BY similarity DESC, value) <= 5""".replace("SELECT key, wanted, value, jaro", "SELECT coalesce(o.key, '') AS key, wanted, value, jaro"),
+    "experiment_buckets": f"""WITH {LOGS}, h AS (SELECT session, list_reduce([2166136261::BIGINT] || [unicode(c)::BIGINT FOR c IN string_split(session, '')], lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS code FROM (SELECT DISTINCT session FROM logs WHERE session IS NOT NULL)) SELECT (code % 100)::BIGINT AS bucket, count(*) AS sessions FROM h GROUP BY 1""",
+    "search_filtered": f"WITH RECURSIVE {_FOUND} SELECT req.query, req.filters, count(product_id) AS matched, count(*) FILTER (p_brand AND p_category AND p_price AND p_attr) AS total FROM req LEFT JOIN found USING (query, filters) GROUP BY 1, 2",
     "bm25_search": _BM25,
     "complete_prefix": f"WITH {POSTED}, p AS (SELECT DISTINCT left(lower(trim(term)), 3) AS prefix FROM search_vocabulary) SELECT prefix, term, df, row_number() OVER (PARTITION BY prefix ORDER BY df DESC, term) AS rank FROM p JOIN voc ON starts_with(term, prefix) QUALIFY rank <= 8",
     "fuzzy_terms": f"WITH {POSTED}{_FUZZY} SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) AS rank FROM near QUALIFY rank <= 16",
-    "spell_corrections": f"""WITH {POSTED}{_FUZZY} SELECT word, term, distance, round(least(1, 0.6 * greatest(0, 1 - distance::DOUBLE / length(word)) + 0.4 * least(1, log10(df + 1) / 3)), 3) AS confidence FROM near
- WHERE length(word) >= 4 AND word NOT IN (SELECT term FROM voc) QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, df DESC, term) = 1""",
+    "spell_corrections": f"WITH {POSTED}, want AS (SELECT DISTINCT lower(trim(term)) AS word FROM search_vocabulary), {_CORRECT} SELECT word, term, distance, similarity, confidence FROM better",
     "canonical_queries": f"WITH {LOGS} SELECT array_to_string(list_sort(list_distinct({TOK('query')})), ' ') AS canonical, count(*) AS searches, count(DISTINCT query) AS spellings FROM logs WHERE query IS NOT NULL GROUP BY 1",
     "text_similarity": """WITH r AS (SELECT DISTINCT lower(trim(term)) AS a, lower(trim(trigram_text)) AS b FROM search_vocabulary),
  g AS (SELECT *, list_distinct([substring(a, i, 3) FOR i IN range(1, greatest(length(a) - 1, 2))]) AS x, list_distinct([substring(b, i, 3) FOR i IN range(1, greatest(length(b) - 1, 2))]) AS y FROM r)

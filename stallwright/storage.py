@@ -103,13 +103,12 @@ class StoreConflict(RuntimeError):
     """Another writer committed the version this one was about to commit; reopen the store and apply again."""
 
 
-class BucketStore:
-    """A persistent table of additive counters, split into hash buckets by its keys.
+class _Versions:
+    """A table in hash buckets whose changes are new versions of the buckets they touch.
 
-    ``apply(deltas)`` adds signed deltas: it reads only the buckets that hold a changed
-    key, merges, drops rows whose counters are all zero, and writes those buckets to a
-    folder of a name never used before. A manifest then names the current folder of each
-    bucket. It appears by a rename that fails if that version exists, so
+    Changed buckets are written to a folder of a name never used before. A manifest then
+    names the current folder of each bucket. It appears by a rename that fails if that
+    version exists, so
 
     * a writer that dies leaves the former version in force, and what it left behind stops
       nobody (``vacuum`` removes it);
@@ -117,20 +116,17 @@ class BucketStore:
     * a batch named by ``source`` and ``batch`` is recorded in the manifest that holds its
       effect, and applying it again changes nothing: a replayed stream counts once.
 
-    The last ``keep`` versions stay readable; what only older ones used is removed.
-
-    A bucket is ``pmod(hash(keys), buckets)``, which is also how Spark hash-partitions the
-    merge, so each task writes whole buckets. ``rebucket`` changes their number.
-
-    Nulls among the keys form a key of their own; null deltas count as zero; an empty
-    delta leaves the store as it was.
+    The last ``keep`` versions stay readable; what only older ones used is removed. Buckets are
+    ``pmod(hash(keys), buckets)``, which is also how Spark hash-partitions by the keys, so
+    each task writes whole buckets. ``rebucket`` changes their number. Within a bucket rows
+    are sorted by ``sorted_by``, so that filters on those columns skip most of a file.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], counters: list[str], buckets: int | None = None, keep: int = 2):
-        self.spark, self.path, self.keys, self.counters, self.keep = spark, path.rstrip("/"), keys, counters, keep
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int | None, keep: int, sorted_by: tuple[str, ...]):
+        self.spark, self.path, self.schema, self.key_names, self.keep, self.sorted_by = spark, path.rstrip("/"), schema, keys, keep, sorted_by
         self._load(buckets)
 
-    def refresh(self) -> "BucketStore":
+    def refresh(self):
         """Go on from the version now in force, which may be another writer's."""
         self._load()
         return self
@@ -145,10 +141,6 @@ class BucketStore:
         self.places: dict[int, str] = {int(b): p for b, p in held.get("places", {}).items()}
         self.applied: dict[str, int] = held.get("applied", {})
 
-    @property
-    def schema(self) -> str:
-        return ", ".join([*(f"{k} {t}" for k, t in self.keys.items()), *(f"{c} bigint" for c in self.counters)])
-
     def _names(self, folder: str = "") -> list[str]:
         fs, where = _fs(self.spark, f"{self.path}/{folder}".rstrip("/"))
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
@@ -230,10 +222,11 @@ class BucketStore:
 
     def _write(self, counts: DataFrame, buckets: int, folder: str) -> dict[int, str]:
         """The folders of the buckets written; tasks already hold whole buckets if Spark's partitions are as many."""
-        bucket = F.pmod(F.hash(*self.keys), F.lit(buckets)).alias("bucket")
-        rows = counts.select(*self.keys, *self.counters, bucket)
+        rows = counts.select(*counts.columns, self._bucket(buckets))
         if buckets != default_buckets(self.spark):
             rows = rows.repartition(buckets, "bucket")
+        if self.sorted_by:
+            rows = rows.sortWithinPartitions("bucket", *self.sorted_by)
         rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return {int(n.split("=")[1]): f"{self.path}/{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
 
@@ -241,6 +234,34 @@ class BucketStore:
         """Whether that batch of a source is in the counts."""
         return self.applied.get(source, -1) >= batch
 
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.hash(*self.key_names), F.lit(buckets)).alias("bucket")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return [r["bucket"] for r in rows.select(self._bucket(self.buckets)).distinct().collect()]  # at most one row a bucket
+
+    def _replace(self, touched: list[int], rows: DataFrame, source: str | None, batch: int | None) -> None:
+        kept = {b: p for b, p in self.places.items() if b not in set(touched)}  # a bucket left without rows has no folder now
+        self._commit(kept, rows, self.applied | ({} if source is None else {source: batch}), self.buckets)
+
+    def rebucket(self, buckets: int):
+        """The same rows in another number of buckets."""
+        self._commit({}, self.read(), self.applied, buckets)
+        return self
+
+
+class BucketStore(_Versions):
+    """A persistent table of additive counters, split into hash buckets by its keys.
+
+    ``apply(deltas)`` adds signed deltas: it reads only the buckets that hold a changed
+    key, merges and drops rows whose counters are all zero. Nulls among the keys form a key
+    of their own; null deltas count as zero; an empty delta leaves the store as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], counters: list[str], buckets: int | None = None, keep: int = 2, sorted_by: tuple[str, ...] = ()):
+        self.keys, self.counters = keys, counters
+        super().__init__(spark, path, ", ".join([*(f"{k} {t}" for k, t in keys.items()), *(f"{c} bigint" for c in counters)]), list(keys), buckets, keep, sorted_by)
+
     def apply(self, deltas: DataFrame, source: str | None = None, batch: int | None = None) -> "BucketStore":
         """Add the deltas; with ``source`` and ``batch`` (growing numbers) once only."""
         if source is not None and self.holds(source, batch):
@@ -249,17 +270,41 @@ class BucketStore:
         changes, touched, staged = deltas.select(*keys, *self.counters), [], None
         if self.places:
             staged = Table(changes.groupBy(*keys).agg(*totals), "deltas")
-            bucket = F.pmod(F.hash(*keys), F.lit(self.buckets)).alias("bucket")
-            touched = [r["bucket"] for r in staged.df.select(bucket).distinct().collect()]  # at most one row a bucket
+            touched = self._touched(staged.df)
             changes = staged.df.unionByName(self.read(touched))
         merged = changes.groupBy(*keys).agg(*totals).filter(" OR ".join(f"{c} <> 0" for c in self.counters))
-        kept = {b: p for b, p in self.places.items() if b not in set(touched)}  # a bucket whose counters all became zero has no folder now
-        self._commit(kept, merged, self.applied | ({} if source is None else {source: batch}), self.buckets)
+        self._replace(touched, merged, source, batch)
         if staged is not None:
             staged.drop()
         return self
 
-    def rebucket(self, buckets: int) -> "BucketStore":
-        """The same counts in another number of buckets."""
-        self._commit({}, self.read(), self.applied, buckets)
+
+class RowStore(_Versions):
+    """A persistent table of rows by key, of which a change replaces or removes some.
+
+    ``apply(upserts, deletes)`` rewrites only the buckets that hold a changed key. Both
+    have one row per key; a key in both stays; rows without key are left out.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int | None = None, keep: int = 2, sorted_by: tuple[str, ...] = ()):
+        super().__init__(spark, path, schema, keys, buckets, keep, sorted_by)
+        self.columns = spark.createDataFrame([], schema).columns
+
+    def apply(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, source: str | None = None, batch: int | None = None) -> "RowStore":
+        if upserts is None and deletes is None or source is not None and self.holds(source, batch):
+            return self
+        keys, there = self.key_names, " AND ".join(f"{k} IS NOT NULL" for k in self.key_names)
+        nothing = self.spark.createDataFrame([], self.schema)
+        new = (nothing if upserts is None else upserts.select(*self.columns)).filter(there)
+        staged, gone = Table(new, "upserts"), None
+        changed = staged.df.select(*keys)
+        if deletes is not None:
+            gone = Table(deletes.select(*keys).filter(there), "deletes")
+            changed = changed.unionByName(gone.df).distinct()
+        touched = self._touched(changed) if self.places else []
+        rows = staged.df if not touched else staged.df.unionByName(self.read(touched).join(changed, keys, "left_anti").select(*self.columns))
+        self._replace(touched, rows.repartition(*keys) if self.buckets == default_buckets(self.spark) else rows, source, batch)
+        staged.drop()
+        if gone is not None:
+            gone.drop()
         return self
