@@ -29,10 +29,10 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def behaviour(spark: SparkSession, d: str) -> DataFrame:
-    """``(event_id, time_us, user_id, session_id, subject, product_id, kind, source, placement)``, one row per event."""
+    """``(event_id, time_us, user_id, session_id, subject, product_id, kind, source, placement, request_id)``, one row per event."""
     rows = table(spark, d, "analytics_events")
     keys = [norm_key(c).alias(c) for c in ("user_id", "session_id", "product_id", "source")]
-    return unique_events(rows, *keys, norm_type("event_type").alias("kind"), norm_type("recommendation_type").alias("placement")).withColumn("subject", F.coalesce("user_id", "session_id"))
+    return unique_events(rows, *keys, norm_type("event_type").alias("kind"), norm_type("recommendation_type").alias("placement"), norm_key("recommendation_request_id").alias("request_id")).withColumn("subject", F.coalesce("user_id", "session_id"))
 
 
 def catalog(spark: SparkSession, d: str) -> DataFrame:
