@@ -57,9 +57,14 @@ def resolved_values(rows: DataFrame, definitions: DataFrame, options: DataFrame)
 
 
 def attribute_failures(rows: DataFrame, definitions: DataFrame, options: DataFrame) -> DataFrame:
-    """``(variant_id, definition_id, raw, n)``: every text that could not be read, with the number of its rows."""
-    unread = resolved_values(rows, definitions, options).filter("value IS NULL")
-    return unread.groupBy(F.col("entity_id").alias("variant_id"), "definition_id", "raw").agg(F.count("*").alias("n"))
+    """``(variant_id, definition_id, raw, n, reason)``: every text that could not be read (``unreadable``), with
+    the number of its rows, and those of rows that name a definition which isn't there (``unknown``)."""
+    unread = resolved_values(rows, definitions, options).filter("value IS NULL").withColumn("reason", F.lit("unreadable"))
+    known = definitions.select(norm_key("id").alias("definition_id")).filter("definition_id IS NOT NULL").distinct()
+    named = rows.select(norm_key("variant_id").alias("entity_id"), norm_key("definition_id").alias("definition_id"), F.col("value_text").alias("raw")).filter("entity_id IS NOT NULL AND definition_id IS NOT NULL")
+    lost = named.join(_bounded(known, MAX_DEFINITIONS, "definitions"), "definition_id", "left_anti").withColumn("reason", F.lit("unknown"))
+    both = unread.select("entity_id", "definition_id", "raw", "reason").unionByName(lost)
+    return both.groupBy(F.col("entity_id").alias("variant_id"), "definition_id", "raw", "reason").agg(F.count("*").alias("n"))
 
 
 def wide_attributes(rows: DataFrame, definitions: DataFrame, options: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallwright.operators.log_analytics import ratio
+from stallwright.operators.scans import placed
 
 DAY_US = 86_400_000_000
 SHOWN, CLICKED, CARTED, BOUGHT = "PRODUCT_VIEW", "PRODUCT_CLICK", "ADD_TO_CART", "PURCHASE"
@@ -88,7 +89,8 @@ def evaluation(recommended: DataFrame, relevant: DataFrame, groups: DataFrame, p
     number of different items over that of all shown.
     """
     means = quality.agg(F.count("*").alias("requests"), *(F.round(F.avg(c), 6).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("average_precision", "map"), ("ndcg", "ndcg"))))
-    top = popularity.withColumn("_r", F.percent_rank().over(W.orderBy(F.desc("score"), "item"))).filter("_r < 0.1").select("item", F.lit(1).alias("top"))
+    order = placed(popularity.select("item", "score"), [], [F.desc("score"), F.asc("item")])
+    top = order.crossJoin(order.agg(F.max("rank").alias("n"))).filter("rank - 1 < 0.1 * (n - 1)").select("item", F.lit(1).alias("top"))  # n is one row
     shown = recommended.filter(F.col("rank") <= k).join(top, "item", "left").agg(F.count("*").alias("shown"), F.count_distinct("item").alias("items"), F.round(1 - F.count("top") / F.count("*"), 6).alias("novelty"))
     kinds = recommended.filter(F.col("rank") <= k).join(groups, "item", "left").agg(F.count_distinct("grp").alias("groups"))
     rows = means.crossJoin(shown).crossJoin(kinds).crossJoin(catalog_size)  # one row each

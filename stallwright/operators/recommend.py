@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stallwright.functions.text import jaccard, tokens
+from stallwright.operators.scans import placed
 from stallwright.storage import default_buckets, materialize
 
 DAY_US = 86_400_000_000
@@ -123,17 +124,6 @@ def popularity(events: DataFrame, catalog: DataFrame, days: int = 30) -> DataFra
     return placed(each, ["scope", "scope_key"], [F.desc("score"), F.asc("product_id")])
 
 
-def placed(rows: DataFrame, group: list[str], order: list[Column], slices: int = 64) -> DataFrame:
-    """``rows`` with their ``rank`` in the group, all of them. A group of any size is ranked by many tasks:
-    range partitions in the order, numbered each by itself, then moved up by what stands before them."""
-    ordered = rows.repartitionByRange(slices, *(F.col(c) for c in group), *order).sortWithinPartitions(*group, *order).withColumn("_part", F.spark_partition_id())
-    kept = materialize(ordered, "ordered")
-    within = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
-    before = kept.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
-    return kept.withColumn("_within", within).join(before, [*group, "_part"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("int")).drop("_within", "_before", "_part")
-
-
 def trending(events: DataFrame, recent_days: int = 2, base_days: int = 30, least: int = 20) -> DataFrame:
     """``(product_id, recent, base, trend)`` of the products whose daily activity of late exceeds that of the whole window."""
     now = events.agg(F.max("time_us").alias("now"))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stallwright.storage import materialize
+
 # The movements of a ledger, by what they change and in which direction.
 STOCK_IN, STOCK_OUT = ["STOCK_IN", "RETURN", "ADJUST_UP"], ["STOCK_OUT", "SALE", "ADJUST_DOWN"]
 RESERVE, RELEASE = "RESERVED", "RELEASED"
@@ -51,6 +53,17 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], columns: li
     return ordered.mapInArrow(run, schema)
 
 
+def placed(rows: DataFrame, group: list[str], order: list[Column], slices: int = 64) -> DataFrame:
+    """``rows`` with their ``rank`` in the group, all of them. A group of any size is ranked by many tasks:
+    range partitions in the order, numbered each by itself, then moved up by what stands before them."""
+    ordered = rows.repartitionByRange(slices, *(F.col(c) for c in group), *order).sortWithinPartitions(*group, *order).withColumn("_part", F.spark_partition_id())
+    kept = materialize(ordered, "ordered")
+    within = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))
+    before = kept.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
+    return kept.withColumn("_within", within).join(before, [*group, "_part"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("int")).drop("_within", "_before", "_part")
+
+
 def ledger(movements: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Every movement of ``movements(*keys, *order, op, quantity, reference)`` with ``outcome, stock, reserved`` after it.
 
@@ -123,7 +136,7 @@ def floored_sums(rows: DataFrame, keys: list[str], order: list[str], value: str)
     order and their own lows come first, so a key of any size is folded by many tasks.
     """
     part = F.floor(F.col("_n") / 4096)
-    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).withColumn("_part", part)
+    numbered = placed(rows, keys, [F.asc(c) for c in order]).withColumn("_n", F.col("rank") - 1).withColumn("_part", part)
     run = F.sum(value).over(W.partitionBy(*keys, "_part").orderBy("_n"))
     parts = numbered.withColumn("_run", run).groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"), F.min("_run").alias("_low"), F.count("*").alias("_k"))
     before = F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))

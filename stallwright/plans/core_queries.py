@@ -162,7 +162,8 @@ ORACLE = {
     "p6_found": _RESOLVED + "SELECT variant_id, definition_id, value FROM cells WHERE value IS NOT NULL",
     "p6_wide": _RESOLVED + """SELECT variant_id, max(value) FILTER (code = 'color') AS a_color, max(value) FILTER (code = 'size') AS a_size, max(try_cast(value AS DOUBLE)) FILTER (code = 'weight') AS a_weight, max(try_cast(value AS DOUBLE)) FILTER (code = 'width') AS a_width,
  max(value) FILTER (code = 'gift_wrap')::BOOLEAN AS a_gift_wrap, max(value) FILTER (code = 'engraving') AS a_engraving, count(value)::INT AS filled, count(*) FILTER (clash)::INT AS conflicting FROM cells JOIN attribute_definitions a ON a.id = definition_id GROUP BY variant_id""",
-    "p6_failures": _RESOLVED + "SELECT variant_id, definition_id, raw, count(*) AS n FROM vals WHERE value IS NULL GROUP BY ALL",
+    "p6_failures": _RESOLVED + f"""SELECT variant_id, definition_id, raw, 'unreadable' AS reason, count(*) AS n FROM vals WHERE value IS NULL GROUP BY ALL
+ UNION ALL SELECT {_KEY('variant_id')}, {_KEY('definition_id')}, value_text, 'unknown', count(*) FROM variant_attributes WHERE {_KEY('variant_id')} IS NOT NULL AND {_KEY('definition_id')} IS NOT NULL AND {_KEY('definition_id')} NOT IN (SELECT d FROM defs) GROUP BY 1, 2, 3""",
     "p7_found": _TREE + "SELECT slug, path, depth FROM t UNION ALL SELECT slug, path, -1 FROM caught",
     "p7_roots": _TREE + "SELECT slug, root, depth FROM t UNION ALL SELECT slug, NULL, -1 FROM caught",
     "p7_descendants": _TREE + ", up AS (SELECT slug AS ancestor, slug AS descendant, 0::BIGINT AS distance FROM t UNION ALL SELECT t.slug, n.slug, up.distance + 1 FROM up JOIN n ON n.parent = up.descendant JOIN t ON t.slug = up.ancestor) SELECT ancestor, descendant, distance FROM up WHERE distance > 0",

@@ -76,8 +76,9 @@ def stale_categories(s, d):
 
 
 def duplicate_combinations(s, d):
-    """Variants of one product whose filled cells are all the same."""
-    cells = filled_cells(wide_attributes(table(s, d, "variant_attributes"), table(s, d, "attribute_definitions"), table(s, d, "attribute_options")))
+    """Variants of one product that can't be told apart by colour and size."""
+    axes = table(s, d, "attribute_definitions").filter("code IN ('color', 'size')").select(norm_key("id").alias("definition_id"))
+    cells = filled_cells(wide_attributes(table(s, d, "variant_attributes"), table(s, d, "attribute_definitions"), table(s, d, "attribute_options"))).join(F.broadcast(axes), "definition_id", "left_semi")  # definitions are bounded
     combos = cells.groupBy("variant_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "definition_id", "value"))), "|").alias("combo"))
     owners = table(s, d, "variant_attributes").select(norm_key("variant_id").alias("variant_id"), norm_key("product_id").alias("product_id")).filter("variant_id IS NOT NULL AND product_id IS NOT NULL").distinct()
     return owners.join(combos, "variant_id").groupBy("product_id", "combo").agg(F.count("*").alias("variants"), F.min("variant_id").alias("first_variant")).filter("variants > 1")
@@ -136,7 +137,7 @@ ORACLE = {
   FROM rel JOIN q a ON a.product_id = item JOIN q b ON b.product_id = companion LEFT JOIN pop ON pop.product_id = companion)
  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, companion) AS rank FROM s QUALIFY rank <= 12""",
     "stale_categories": _TREE + f", st AS (SELECT DISTINCT {KEY('slug')} AS slug, {KEY('path')} AS stored_path, depth::BIGINT AS stored_depth FROM categories) SELECT st.*, t.path, t.depth FROM st JOIN t ON st.slug = t.slug WHERE stored_path IS DISTINCT FROM t.path OR stored_depth IS DISTINCT FROM t.depth",
-    "duplicate_combinations": _RESOLVED + f""", combos AS (SELECT variant_id, array_to_string(list_sort(list(definition_id || ':' || value)), '|') AS combo FROM cells WHERE value IS NOT NULL GROUP BY 1),
+    "duplicate_combinations": _RESOLVED + f""", combos AS (SELECT variant_id, array_to_string(list_sort(list(definition_id || ':' || value)), '|') AS combo FROM cells WHERE value IS NOT NULL AND definition_id IN (SELECT {KEY('id')} FROM attribute_definitions WHERE code IN ('color', 'size')) GROUP BY 1),
  owners AS (SELECT DISTINCT {KEY('variant_id')} AS variant_id, {KEY('product_id')} AS product_id FROM variant_attributes WHERE {KEY('variant_id')} IS NOT NULL AND {KEY('product_id')} IS NOT NULL)
  SELECT product_id, combo, count(*) AS variants, min(variant_id) AS first_variant FROM owners JOIN combos USING (variant_id) GROUP BY 1, 2 HAVING count(*) > 1""",
     "merged_sessions": f"""WITH {EVENTS}, e AS (SELECT *, {_EW}::DOUBLE AS w FROM ev WHERE session_id IS NOT NULL AND product_id IS NOT NULL), o AS (SELECT session_id, min(user_id) AS owner FROM e WHERE user_id IS NOT NULL GROUP BY 1)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from stallwright.functions.keys import norm_key
 from stallwright.operators import recommend as R
 from stallwright.operators.hierarchy import Hierarchy
-from stallwright.plans.log_queries import EVENTS, KEY
+from stallwright.plans.log_queries import EVENTS, KEY, LOGS
 from stallwright.plans.search_queries import CAT, TOK
-from stallwright.sources.domain import behaviour, catalog
-from stallwright.sources.feed import mark_duplicates, validate
+from stallwright.sources.domain import behaviour, catalog, search_actions
+from stallwright.sources.feed import mark_duplicates, read_feed, read_feed_exact, validate
 from stallwright.sources.tables import table
-from stallwright.storage import materialize
+from stallwright.storage import materialize, scratch
 
 
 def _baskets(s, d, item="p_name"):
@@ -114,8 +114,8 @@ def taxonomy_counts(s, d):
 
 
 def unindexed(s, d):
-    """Products seen in events that the index doesn't have (anti-join)."""
-    seen = behaviour(s, d).filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count("*").alias("events"))
+    """Products named by what follows a search that the index doesn't have (anti-join)."""
+    seen = search_actions(s, d).filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count("*").alias("events"))
     return seen.join(catalog(s, d).select("product_id"), "product_id", "left_anti")
 
 
@@ -131,9 +131,29 @@ def ledger_replay(s, d):
     return lines.groupBy("l_partkey", "l_suppkey").agg(F.sum(F.when(F.col("f") == "R", F.col("q")).otherwise(-F.col("q"))).alias("balance"), F.count_if(F.col("f") == "R").alias("returns"), F.count("*").alias("movements"))
 
 
+def _feed(s, d) -> str:
+    """A dirty feed made of the catalog, written as quoted CSV under headers of other names; every fault comes from a remainder of the rating count."""
+    n = F.coalesce("rating_count", F.lit(0))
+    fault = lambda k, bad, good: F.when(n % k == 0, F.lit(bad)).otherwise(good)
+    price = F.format_string("%d.%02d", F.floor(F.col("price_paise") / 100), F.col("price_paise") % 100)
+    rows = catalog(s, d).select(
+        fault(11, "", F.col("name")).alias(" Product Title "), fault(7, "a b", F.col("sku_text")).alias("Item No"), fault(5, "12.345", price).alias("MRP"), fault(9, "free", price).alias("Offer Price"), fault(13, "-3", n.cast("string")).alias("Qty"),
+        fault(4, "ftp://x", F.concat(F.lit("https://img.example/"), "slug")).alias("Main Image"), fault(6, "nobody", F.lit("who@shop.example")).alias("E-Mail"), F.col("description_text").alias("Story"),
+    )
+    path = scratch(s, "feed")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return path
+
+
 def feed_issues(s, d):
-    rows = table(s, d, "product_search_index").select("name", F.col("sku_text").alias("sku"), (F.col("price_paise") / 100).cast("decimal(18,2)").cast("string").alias("price"), (F.col("compare_at_paise") / 100).cast("decimal(18,2)").cast("string").alias("sale_price"), F.col("rating_count").cast("string").alias("stock"), F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("string").alias("email"))
-    return validate(rows).groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("n"), F.sum("price_minor").alias("price_minor"))
+    """A dirty CSV feed read, its columns named, and validated."""
+    return validate(read_feed(s, _feed(s, d))).groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count("*").alias("n"), F.sum("price_minor").alias("price_minor"))
+
+
+def feed_lines(s, d):
+    """The same feed by the exact reader: rows, lines, and columns of each file, as one row."""
+    rows = read_feed_exact(s, _feed(s, d))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("issue").isNotNull()).alias("broken"), F.max(F.size("fields")).alias("columns"), F.count_if(F.col("fields")[1] == "a b").alias("marked"))
 
 
 def feed_duplicates(s, d):
@@ -164,6 +184,7 @@ QUERIES = {
     "brand_counts": brand_counts,
     "ledger_replay": ledger_replay,
     "feed_issues": feed_issues,
+    "feed_lines": feed_lines,
     "feed_duplicates": feed_duplicates,
 }
 
@@ -236,10 +257,12 @@ ORACLE = {
  n AS (SELECT a.slug, b.slug AS parent FROM raw a LEFT JOIN raw b ON a.parent = b.slug), t AS (SELECT slug FROM n WHERE parent IS NULL UNION ALL SELECT n.slug FROM n JOIN t ON n.parent = t.slug),
  up AS (SELECT slug AS at_, slug FROM t UNION ALL SELECT n.parent, up.slug FROM up JOIN n ON n.slug = up.at_ WHERE n.parent IS NOT NULL)
  SELECT at_ AS slug, count(*) AS products, min(price_paise) AS low FROM cat JOIN ids ON {KEY('category_id')} = cid JOIN up ON up.slug = ids.slug GROUP BY 1""",
-    "unindexed_anti": f"WITH {EVENTS}, {CAT} SELECT product_id, count(*) AS events FROM ev ANTI JOIN cat USING (product_id) WHERE product_id IS NOT NULL GROUP BY 1",
+    "unindexed_anti": f"WITH {LOGS}, {CAT} SELECT product_id, count(*) AS events FROM acts ANTI JOIN cat USING (product_id) WHERE product_id IS NOT NULL GROUP BY 1",
     "brand_counts": f"WITH {CAT} SELECT brand_name, count(*) AS products, sum(coalesce(is_searchable::INT, 0))::BIGINT AS searchable, sum(rating_count)::BIGINT AS ratings FROM cat WHERE brand_name IS NOT NULL GROUP BY 1",
     "ledger_replay": "SELECT l_partkey, l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END)::BIGINT AS balance, count(*) FILTER (l_returnflag = 'R') AS returns, count(*) AS movements FROM lineitem GROUP BY 1, 2",
-    "feed_issues": """WITH r AS (SELECT *, upper(trim(sku_text)) AS sku FROM product_search_index) SELECT array_to_string(list_filter([CASE WHEN trim(name) = '' OR name IS NULL THEN 'name_missing' END, CASE WHEN coalesce(sku, '') = '' THEN 'sku_missing' END,
- CASE WHEN coalesce(sku, '') <> '' AND NOT regexp_full_match(sku, '[A-Z0-9_-]{3,64}') THEN 'sku_invalid' END, CASE WHEN price_paise IS NULL THEN 'price_missing' END, CASE WHEN compare_at_paise > price_paise THEN 'sale_price_above_price' END], lambda x: x IS NOT NULL), ',') AS issues, count(*) AS n, sum(price_paise)::BIGINT AS price_minor FROM r GROUP BY 1""",
+    "feed_issues": f"""WITH {CAT}, r AS (SELECT *, coalesce(rating_count, 0) AS k, upper(trim(sku_text)) AS sku FROM cat) SELECT array_to_string(list_filter([CASE WHEN k % 11 = 0 OR trim(coalesce(name, '')) = '' THEN 'name_missing' END, CASE WHEN k % 7 <> 0 AND coalesce(sku, '') = '' THEN 'sku_missing' END,
+ CASE WHEN k % 7 = 0 OR (coalesce(sku, '') <> '' AND NOT regexp_full_match(sku, '[A-Z0-9_-]{{3,64}}')) THEN 'sku_invalid' END, CASE WHEN k % 5 = 0 THEN 'price_invalid' END, CASE WHEN k % 9 = 0 THEN 'sale_price_invalid' END, CASE WHEN k % 13 = 0 THEN 'stock_invalid' END, CASE WHEN k % 4 = 0 THEN 'image_url_invalid' END, CASE WHEN k % 6 = 0 THEN 'email_invalid' END], lambda x: x IS NOT NULL), ',') AS issues,
+ count(*) AS n, sum(CASE WHEN k % 5 <> 0 THEN price_paise END)::BIGINT AS price_minor FROM r GROUP BY 1""",
+    "feed_lines": f"WITH {CAT} SELECT count(*) AS rows, 0::BIGINT AS broken, 8::INT AS columns, count(*) FILTER (coalesce(rating_count, 0) % 7 = 0) AS marked FROM cat",
     "feed_duplicates": f"""WITH r AS (SELECT DISTINCT upper(trim(sku_text)) AS sku, strftime(indexed_at, '%Y-%m-%d %H:%M:%S.%f') || ' ' || {KEY('product_id')} AS at_ FROM product_search_index) SELECT sku, at_ AS at FROM (SELECT *, min(at_) OVER (PARTITION BY sku) AS first FROM r) WHERE at_ > first AND sku IS NOT NULL""".replace("AS at FROM", "AS \"at\" FROM"),
 }

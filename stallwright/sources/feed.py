@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,105 @@ def read_feed(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame
     return map_columns(raw)
 
 
+# The most bytes of a row, of a bare and of a quoted field, and the most columns.
+MAX_ROW, MAX_BARE, MAX_QUOTED, MAX_COLUMNS = 256 * 1024, 16 * 1024, 64 * 1024, 256
+
+
+def feed_rows(text: str, delimiter: str = ",") -> Iterator[tuple[int, list[str], str | None]]:
+    """``(line, fields, issue)`` of every row of a feed, its first line counting from 1.
+
+    A doubled quote stands for one; a quoted field may hold delimiters and line ends, and what
+    follows its closing quote belongs to it; blank lines are no rows. A row beyond a limit has
+    the issue ROW_TOO_LARGE, one that ends inside quotes UNCLOSED_QUOTE.
+    """
+    token = re.compile(r'"|\r\n|\n|\r|' + re.escape(delimiter))
+    fields: list[str] = []
+    parts: list[str] = []
+    line = start = 1
+    at, quoted, was_quoted = 0, False, False
+
+    def row(issue: str | None = None):
+        large = sum(map(len, fields)) > MAX_ROW or len(fields) > MAX_COLUMNS or any(len(f) > MAX_QUOTED for f in fields)
+        return start, list(fields), issue or ("ROW_TOO_LARGE" if large else None)
+
+    def close() -> None:
+        nonlocal was_quoted
+        fields.append("".join(parts))
+        parts.clear()
+        was_quoted = False
+
+    for m in token.finditer(text):
+        if m.start() < at:
+            continue
+        mark, begin = m.group(), m.start()
+        parts.append(text[at:begin])
+        at = m.end()
+        if quoted:
+            if mark == '"':
+                if text.startswith('"', at):
+                    parts.append('"')
+                    at += 1
+                else:
+                    quoted = False
+            else:
+                parts.append(mark)
+                line += mark != delimiter
+        elif mark == '"':
+            if not was_quoted and not "".join(parts):
+                quoted = was_quoted = True
+            else:
+                parts.append('"')
+        elif mark == delimiter:
+            close()
+        else:
+            blank = not fields and not was_quoted and not "".join(parts)
+            close()
+            if not blank:
+                yield row()
+            fields.clear()
+            line += 1
+            start = line
+    parts.append(text[at:])
+    if fields or was_quoted or "".join(parts):
+        close()
+        yield row("UNCLOSED_QUOTE" if quoted else None)
+
+
+def read_feed_exact(spark: SparkSession, path: str, delimiter: str = ",", max_bytes: int = 256 << 20) -> DataFrame:
+    """``(file, line, fields, issue)`` of every row after the header of each file, with the line it begins in.
+
+    Files are read whole, each by one task, as quotes may span lines; a file beyond
+    ``max_bytes`` is an error. A row of another width than the header's has the issue
+    FIELD_COUNT_MISMATCH. ``read_feed`` splits large files instead, and knows no lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = feed_rows(content.as_py().decode("utf-8-sig", "replace"), delimiter)
+                header = next(rows, None)
+                while header is not None and (part := list(itertools.islice(rows, 4096))):
+                    issues = [i or (None if len(f) == len(header[1]) else "FIELD_COUNT_MISMATCH") for _, f, i in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([n for n, _, _ in part], pa.int64()), pa.array([f for _, f, _ in part], pa.list_(pa.string())), pa.array(issues, pa.string())], names=["file", "line", "fields", "issue"])
+
+    files = spark.read.format("binaryFile").load(path)
+    small = files.select("path", F.when(F.col("length") <= max_bytes, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("feed too large: "), "path"))).alias("content"))
+    return small.mapInArrow(run, "file string, line bigint, fields array<string>, issue string")
+
+
+def read_synonyms(lines: DataFrame) -> DataFrame:
+    """``(line, term, means, both_ways, error)`` of the text ``lines(line, text)`` of a synonym list.
+
+    ``a, b`` and ``a = b`` hold both ways, ``a -> b`` and ``a => b`` one; ``#`` begins a comment;
+    blank lines are left out. A line without two terms, or with the same twice, has an error.
+    """
+    text = F.btrim(F.regexp_replace("text", "#.*$", ""))
+    parts = F.filter(F.transform(F.split(text, r"->|=>|=|,"), lambda x: F.lower(F.btrim(x))), lambda x: x != "")
+    rows = lines.select("line", text.alias("text"), parts.alias("p")).filter("text <> ''")
+    error = F.when(F.size("p") < 2, "two terms are needed").when(F.col("p")[0] == F.col("p")[1], "a term can't stand for itself")
+    return rows.select("line", F.element_at("p", 1).alias("term"), F.try_element_at("p", F.lit(2)).alias("means"), ~F.col("text").rlike("->|=>"), error.alias("error")).toDF("line", "term", "means", "both_ways", "error")
+
+
 def map_columns(raw: DataFrame) -> DataFrame:
     alias = {name: column for column, names in HEADERS.items() for name in names}
     chosen: dict[str, str] = {}

@@ -259,7 +259,7 @@ def test_attributes(spark):
     assert float(by["v2"].a_weight) == 43.5 and by["v3"].a_gift is None and by["v3"].conflicts == ["b"]
     assert by["v3"].failures == {"w": 1} and by["v5"].failures == {"w": 1}
     assert by["v6"].a_weight is None and by["v6"].failures == {"w": 1}
-    assert {(r.variant_id, r.raw) for r in attribute_failures(*attributes(spark, rows)).collect()} == {("v3", "1,000"), ("v4", None), ("v5", ".5")}
+    assert {(r.variant_id, r.raw, r.reason) for r in attribute_failures(*attributes(spark, rows)).collect()} == {("v3", "1,000", "unreadable"), ("v4", None, "unreadable"), ("v5", ".5", "unreadable"), ("v4", "x", "unknown")}
     assert wide_attributes(*attributes(spark, rows[:1])).limit(0).count() == 0
     empty = attributes(spark, rows)
     assert wide_attributes(empty[0].limit(0), empty[1], empty[2]).count() == 0
