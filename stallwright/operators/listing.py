@@ -189,3 +189,77 @@ def location_changes(stored: DataFrame, true: DataFrame) -> DataFrame:
     both = stored.select("slug", F.col("path").alias("old_path")).join(true.select("slug", F.col("path").alias("new_path")), "slug", "full_outer")
     change = F.when(F.col("old_path").isNull() & F.col("new_path").isNull(), None).when(F.col("old_path").isNull(), "ADDED").when(F.col("new_path").isNull(), "REMOVED").when(F.col("old_path") != F.col("new_path"), "MOVED")
     return both.withColumn("change", change).filter("change IS NOT NULL")
+
+
+# The longest texts of a search document.
+TEXT_LIMITS = {"name": 300, "brand_name": 120, "category_path": 300, "tag_text": 500, "attribute_text": 800, "sku_text": 500, "description_text": 4000}
+
+
+def search_documents(catalog: DataFrame) -> DataFrame:
+    """``(product_id, <texts>, trigram_text)``: the texts to be indexed, blanks as one and cut to their limits, and the one for fuzzy matching."""
+    cut = lambda c, n: F.substring(F.btrim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")), 1, n)
+    rows = catalog.select("product_id", *(cut(c, n).alias(c) for c, n in TEXT_LIMITS.items()))
+    parts = F.filter(F.array("name", "brand_name", "attribute_text", "tag_text"), lambda x: x != "")
+    return rows.withColumn("trigram_text", F.substring(F.lower(F.array_join(parts, " ")), 1, 500))
+
+
+def eligible(catalog: DataFrame, category: str | None = None, brand: str | None = None, least: int | None = None, most: int | None = None, in_stock: bool = False, limit: int = 5000) -> DataFrame:
+    """``(product_id)`` of the searchable products that fit, the first ``limit`` by id."""
+    rows = catalog.filter("is_searchable")
+    if category is not None:
+        rows = rows.filter(within_subtree(F.col("category_path"), F.lit(category)))
+    if brand is not None:
+        rows = rows.filter(F.lower(F.trim("brand_name")) == brand.strip().lower())
+    rows = rows if least is None else rows.filter(F.col("price_paise") >= least)
+    rows = rows if most is None else rows.filter(F.col("price_paise") <= most)
+    rows = rows.filter("status = 'ACTIVE'") if in_stock else rows
+    return rows.select("product_id").orderBy("product_id").limit(limit)
+
+
+def history_suggestions(history: DataFrame) -> DataFrame:
+    """``(session, text, weight)``: a session's own searches, the latest the heaviest."""
+    return history.select("session", F.col("query").alias("text"), (HISTORY_WEIGHT - F.col("rank") + 1).alias("weight"))
+
+
+def wishlists(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(subject, product_id, since_us, name, price_paise)``: what is on each list now: added and not removed since; at one time a removal counts last."""
+    acts = events.filter("kind IN ('WISHLIST_ADD', 'WISHLIST_REMOVE') AND subject IS NOT NULL AND product_id IS NOT NULL AND time_us IS NOT NULL")
+    last = acts.groupBy("subject", "product_id").agg(F.max(F.struct("time_us", "kind")).alias("l")).filter("l.kind = 'WISHLIST_ADD'")
+    return last.select("subject", "product_id", F.col("l.time_us").alias("since_us")).join(catalog.select("product_id", "name", "price_paise"), "product_id")
+
+
+def customer_orders(orders: DataFrame, lines: DataFrame, parts: DataFrame, size: int = 10) -> DataFrame:
+    """``(customer, order, rank, day, lines, quantity, first_item)``: the newest orders of each customer with what is in them; orders without lines stay."""
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    newest = orders.select("o_custkey", "o_orderkey", "o_orderdate").withColumn("rank", rank).filter(F.col("rank") <= size)
+    items = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").distinct().groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("bigint").alias("quantity"), F.min(F.struct("l_linenumber", "l_partkey")).getField("l_partkey").alias("p_partkey"))
+    rows = newest.join(items, "o_orderkey", "left").join(parts.select("p_partkey", F.col("p_name").alias("first_item")), "p_partkey", "left")
+    return rows.select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order"), "rank", F.to_date("o_orderdate").alias("day"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("quantity", F.lit(0)).alias("quantity"), "first_item")
+
+
+def path_similarity(a: Column, b: Column) -> Column:
+    """1 for the same path, else the shared beginning against the longer path, at most 0.85; 0 if either is missing."""
+    x, y = F.split(a, "/"), F.split(b, "/")
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda k: F.slice(x, 1, k) == F.slice(y, 1, k)))
+    return F.coalesce(F.when(a == b, 1.0).otherwise(F.least(F.lit(0.85), shared / F.greatest(F.size(x), F.size(y)))), F.lit(0.0))
+
+
+def sitemap(catalog: DataFrame, limit: int = 45_000) -> DataFrame:
+    """``(slug, updated_at)`` of what can be found, the latest first."""
+    return catalog.filter("is_searchable AND slug IS NOT NULL").select("slug", F.col("indexed_at").alias("updated_at")).orderBy(F.desc("updated_at"), "slug").limit(limit)
+
+
+def variant_grid(axes: DataFrame, most: int = 200) -> DataFrame:
+    """``(product_id, combo, values)``: every combination of the values of a product's ``axes(product_id, axis, place, value)``, at most ``most`` of a product, else an error.
+
+    Axes stand in their order; a value that is repeated counts once; a product without axes has none.
+    """
+    each = axes.groupBy("product_id", "axis").agg(F.min("place").alias("place"), F.array_sort(F.collect_set("value")).alias("values"))
+    own = each.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("place", "axis", "values"))).alias("axes"))
+    size = F.aggregate("axes", F.lit(1).cast("bigint"), lambda n, x: n * F.size(x["values"]))
+    checked = own.withColumn("axes", F.when(size <= most, F.col("axes")).otherwise(F.raise_error(F.concat(F.lit("too many variants of "), "product_id"))))
+    start = F.array(F.array().cast("array<string>"))
+    grid = F.aggregate("axes", start, lambda done, x: F.flatten(F.transform(done, lambda d: F.transform(x["values"], lambda v: F.concat(d, F.array(v))))))
+    rows = checked.select("product_id", F.transform("axes", lambda x: x["axis"]).alias("names"), F.explode(grid).alias("values"))
+    combo = F.array_join(F.array_sort(F.zip_with("names", "values", lambda n, v: F.concat(n, F.lit(":"), v))), "|")
+    return rows.select("product_id", combo.alias("combo"), "values")

@@ -23,6 +23,8 @@ POPULARITY_WEIGHTS = {"views": 1, "carts": 6, "wishes": 5, "purchases": 25}
 EVENT_WEIGHTS = {"PURCHASE": 10.0, "RETURN": -4.0, "ADD_TO_CART": 4.0, "WISHLIST_ADD": 3.5, "WISHLIST_REMOVE": -1.5, "REMOVE_FROM_CART": -1.5, "SEARCH_RESULT_CLICK": 1.6, "PRODUCT_CLICK": 1.4, "PRODUCT_VIEW": 1.0, "COMPARE": 1.2, "SHARE": 1.1, "NOT_INTERESTED": -6.0}
 SIMILARITY_WEIGHTS = {"category": 0.3, "brand": 0.18, "attributes": 0.18, "price": 0.07, "text": 0.05}
 HALF_LIFE_DAYS, DECAY_FLOOR = 14, 0.01
+# A basket of more items is long.
+LONG_BASKET = 500
 # Products of a category that are held in one row to be compared.
 POOL = 256
 
@@ -30,14 +32,28 @@ POOL = 256
 def basket_pairs(members: DataFrame, least: int) -> DataFrame:
     """``(a, b, pairs)``, a < b, of distinct ``(basket, item)``.
 
-    Items in fewer than ``least`` baskets can't be in a wanted pair and are dropped first. The
-    pairs of a basket are made in two steps, so no row holds more than one basket.
+    Items in fewer than ``least`` baskets can't be in a wanted pair and are dropped first. A
+    pair wanted n times is in a basket outside any n - 1, so of the baskets of more than
+    LONG_BASKET items the n - 1 largest emit no pairs: their members are marked, and what two
+    items share of them is added to the pairs that the other baskets gave. The pairs of a
+    basket are made in two steps, so no row holds more than one basket.
     """
     frequent = members.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("item")
-    baskets = members.join(frequent, "item", "left_semi").groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
+    kept = materialize(members.select("basket", "item").join(frequent, "item", "left_semi"), "kept")
+    long = [r["basket"] for r in kept.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > LONG_BASKET).orderBy(F.desc("n"), "basket").limit(max(0, least - 1)).collect()]
+    short = kept.filter(~F.col("basket").isin(long)) if long else kept
+    baskets = short.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
     first = baskets.select("items", F.explode(F.sequence(F.lit(1), F.size("items") - 1)).alias("i"))
     both = first.select(F.element_at("items", F.col("i")).alias("a"), F.explode(F.slice("items", F.col("i") + 1, F.size("items"))).alias("b"))
-    return both.groupBy("a", "b").agg(F.count("*").alias("pairs")).filter(F.col("pairs") >= least)
+    counts = both.groupBy("a", "b").agg(F.count("*").alias("pairs"))
+    if not long:
+        return counts.filter(F.col("pairs") >= least)
+    bits = sum((F.when(F.col("basket") == b, F.lit(1 << k)).otherwise(0) for k, b in enumerate(long)), F.lit(0))
+    marks = kept.filter(F.col("basket").isin(long)).groupBy("item").agg(F.sum(bits).cast("bigint").alias("bits"))
+    some = counts.filter(F.col("pairs") >= least - len(long))
+    marked = some.join(marks.withColumnsRenamed({"item": "a", "bits": "x"}), "a", "left").join(marks.withColumnsRenamed({"item": "b", "bits": "y"}), "b", "left")
+    shared = F.bit_count(F.coalesce("x", F.lit(0)).bitwiseAND(F.coalesce("y", F.lit(0))))
+    return marked.select("a", "b", (F.col("pairs") + shared).alias("pairs")).filter(F.col("pairs") >= least)
 
 
 def co_occurrence(members: DataFrame, least: int = 2, min_lift: float = 1.05, min_support: float = 0.0, top: int | None = 24) -> DataFrame:

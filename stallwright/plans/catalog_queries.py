@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stallwright.functions.keys import norm_key
 from stallwright.operators import listing as L
+from stallwright.operators import log_analytics as A
 from stallwright.operators import rec_metrics as M
 from stallwright.operators import recommend as R
 from stallwright.operators import scans as Z
@@ -133,6 +134,20 @@ def vocabulary_stats(s, d):
     return table(s, d, "search_vocabulary").groupBy(F.upper(F.trim("source")).alias("source")).agg(F.count("*").alias("terms"), F.sum("document_count").alias("documents"))
 
 
+def path_similarity(s, d):
+    """How near each stored category path is to its true one."""
+    stored = table(s, d, "categories").select(norm_key("slug").alias("slug"), norm_key("path").alias("stored")).filter("slug IS NOT NULL").groupBy("slug").agg(F.min("stored").alias("stored"))
+    tree = resolve_hierarchy(table(s, d, "categories")).filter("depth >= 0").select("slug", "path")
+    return stored.join(tree, "slug").select("slug", F.round(L.path_similarity(F.col("stored"), F.col("path")), 6).alias("similarity"))
+
+
+def missing_variants(s, d):
+    """Of each product the combinations of the colours and sizes it has, of which no variant is there."""
+    cells = _attribute_index(s, d).filter("key IN ('color', 'size')")
+    grid = L.variant_grid(cells.select("product_id", F.col("key").alias("axis"), F.when(F.col("key") == "color", 0).otherwise(1).alias("place"), "value"), 10_000)
+    return grid.groupBy("product_id").agg(F.count("*").alias("combinations"), F.min("combo").alias("first"))
+
+
 def _events(s, d):
     return behaviour(s, d)
 
@@ -140,6 +155,12 @@ def _events(s, d):
 QUERIES = {
     "listing_sorts": lambda s, d: L.first_pages(catalog(s, d).filter("is_searchable"), SORTS),
     "related_in_category": lambda s, d: L.related_in_category(catalog(s, d)),
+    "search_documents": lambda s, d: L.search_documents(catalog(s, d)),
+    "eligible_products": lambda s, d: L.eligible(catalog(s, d), least=50_000, most=400_000, in_stock=True),
+    "history_suggestions": lambda s, d: L.history_suggestions(A.search_history(query_logs(s, d))),
+    "wishlists": lambda s, d: L.wishlists(behaviour(s, d), catalog(s, d)),
+    "customer_orders": lambda s, d: L.customer_orders(table(s, d, "orders"), table(s, d, "lineitem"), table(s, d, "part")),
+    "sitemap": lambda s, d: L.sitemap(catalog(s, d)),
     "top_brands": lambda s, d: L.top_brands(catalog(s, d)),
     "catalog_facets": lambda s, d: L.variant_facets(_attribute_index(s, d), catalog(s, d)),
     "trending_suggestions": lambda s, d: L.trending_suggestions(query_logs(s, d)),
@@ -152,7 +173,7 @@ QUERIES = {
     "conversion_by_position": lambda s, d: M.by_position(search_actions(s, d)),
     "rec_top_products": lambda s, d: M.top_products(_events(s, d), catalog(s, d)),
     "attribution_recommended": lambda s, d: M.attributed(_events(s, d).filter("event_id IS NOT NULL")),
-} | {f.__name__: f for f in (category_pages, public_categories, category_children, category_moves, category_locations, typed_suggestions, rec_evaluation, rec_table_coverage, ledger_balances, ledger_outcomes, ledger_reconciled, low_stock, stock_summary, rate_limited, interest_state, retained_events, vocabulary_stats)}
+} | {f.__name__: f for f in (path_similarity, missing_variants, category_pages, public_categories, category_children, category_moves, category_locations, typed_suggestions, rec_evaluation, rec_table_coverage, ledger_balances, ledger_outcomes, ledger_reconciled, low_stock, stock_summary, rate_limited, interest_state, retained_events, vocabulary_stats)}
 
 _RECS = EVENTS.replace("min({0}) AS placement".format(KIND("recommendation_type")), f"min({KIND('recommendation_type')}) AS placement, min({KEY('recommendation_request_id')}) AS request_id")
 _COUNTS = "count(*) FILTER (kind = 'PRODUCT_VIEW') AS impressions, count(*) FILTER (kind = 'PRODUCT_CLICK') AS clicks, count(*) FILTER (kind = 'ADD_TO_CART') AS carts, count(*) FILTER (kind = 'PURCHASE') AS purchases"
@@ -172,6 +193,18 @@ _LINES = """ln AS (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumbe
 ORACLE = {
     "listing_sorts": f"WITH {CAT}, {_OPEN} " + " UNION ALL ".join(f"SELECT '{k}' AS sort, row_number() OVER (ORDER BY {o}, product_id) AS rank, product_id FROM open_ QUALIFY rank <= 24" for k, o in _ORDERS.items()),
     "related_in_category": f"WITH {CAT}, {_OPEN} SELECT a.product_id, b.product_id AS related_id, row_number() OVER (PARTITION BY a.product_id ORDER BY coalesce(b.popularity, -1) DESC, b.rating_count DESC, b.product_id) AS rank FROM open_ a JOIN open_ b ON a.category_path = b.category_path AND a.product_id <> b.product_id QUALIFY rank <= 24",
+    "search_documents": f"WITH {CAT}, c AS (SELECT product_id, " + ", ".join(f"left(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')), {n}) AS {c}" for c, n in L.TEXT_LIMITS.items()) + " FROM cat) SELECT *, left(lower(array_to_string(list_filter([name, brand_name, attribute_text, tag_text], lambda x: x <> ''), ' ')), 500) AS trigram_text FROM c",
+    "eligible_products": f"WITH {CAT} SELECT product_id FROM cat WHERE is_searchable AND price_paise BETWEEN 50000 AND 400000 AND status = 'ACTIVE' ORDER BY 1 LIMIT 5000",
+    "history_suggestions": f"""WITH {LOGS}, r AS (SELECT session, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(query, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))), ' ') AS canonical, query, created_at FROM logs WHERE session IS NOT NULL AND query IS NOT NULL),
+ e AS (SELECT session, canonical, max(struct_pack(t := created_at, q := query)) AS last FROM r WHERE canonical <> '' GROUP BY 1, 2), k AS (SELECT session, last.q AS text, row_number() OVER (PARTITION BY session ORDER BY last.t DESC, canonical) AS rank FROM e QUALIFY rank <= 20) SELECT session, text, 2001 - rank AS weight FROM k""",
+    "wishlists": f"WITH {EVENTS}, {CAT}, l AS (SELECT subject, product_id, max(struct_pack(t := time_us, k := kind)) AS m FROM ev WHERE kind IN ('WISHLIST_ADD', 'WISHLIST_REMOVE') AND subject IS NOT NULL AND product_id IS NOT NULL AND time_us IS NOT NULL GROUP BY 1, 2) SELECT subject, product_id, m.t AS since_us, name, price_paise FROM l JOIN cat USING (product_id) WHERE m.k = 'WISHLIST_ADD'",
+    "customer_orders": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders QUALIFY rank <= 10), i AS (SELECT l_orderkey, count(*) AS lines, sum(l_quantity)::BIGINT AS quantity, min(struct_pack(n := l_linenumber, p := l_partkey)).p AS p FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem) GROUP BY 1)
+ SELECT o_custkey AS customer, o_orderkey AS "order", rank, o_orderdate::DATE AS day, coalesce(lines, 0) AS lines, coalesce(quantity, 0) AS quantity, p_name AS first_item FROM o LEFT JOIN i ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = p""",
+    "sitemap": f"WITH {CAT} SELECT slug, indexed_at AS updated_at FROM cat WHERE is_searchable AND slug IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 45000",
+    "path_similarity": _TREE + f""", st AS (SELECT {KEY('slug')} AS slug, min({KEY('path')}) AS stored FROM categories WHERE {KEY('slug')} IS NOT NULL GROUP BY 1), p AS (SELECT st.slug, stored, t.path, string_split(stored, '/') AS x, string_split(t.path, '/') AS y FROM st JOIN t ON t.slug = st.slug)
+ SELECT slug, round(CASE WHEN stored = path THEN 1.0 WHEN stored IS NULL THEN 0.0 ELSE least(0.85, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[:k] = y[:k]))::DOUBLE / greatest(len(x), len(y))) END, 6)::DOUBLE AS similarity FROM p""",
+    "missing_variants": _RESOLVED + f""", ix AS (SELECT DISTINCT {KEY('v.product_id')} AS product_id, lower(trim(code)) AS axis, value FROM cells JOIN attribute_definitions a ON {KEY('a.id')} = definition_id JOIN variant_attributes v ON {KEY('v.variant_id')} = cells.variant_id WHERE value IS NOT NULL AND lower(trim(code)) IN ('color', 'size') AND {KEY('v.product_id')} IS NOT NULL),
+ g AS (SELECT p.product_id, c.value AS c, z.value AS z FROM (SELECT DISTINCT product_id FROM ix) p LEFT JOIN ix c ON c.product_id = p.product_id AND c.axis = 'color' LEFT JOIN ix z ON z.product_id = p.product_id AND z.axis = 'size') SELECT product_id, count(*) AS combinations, min(array_to_string(list_filter(['color:' || c, 'size:' || z], lambda x: x IS NOT NULL), '|')) AS first FROM g GROUP BY 1""",
     "top_brands": f"WITH {CAT}, {_OPEN} SELECT brand_name, count(*) AS products FROM open_ WHERE brand_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
     "catalog_facets": _RESOLVED + f""", {CAT}, ix AS (SELECT DISTINCT lower(trim(code)) AS axis, value, {KEY('v.product_id')} AS p FROM cells JOIN attribute_definitions a ON {KEY('a.id')} = definition_id JOIN variant_attributes v ON {KEY('v.variant_id')} = cells.variant_id WHERE value IS NOT NULL)
  SELECT axis, value, count(DISTINCT p) AS products, row_number() OVER (PARTITION BY axis ORDER BY count(DISTINCT p) DESC, value) AS rank FROM ix JOIN cat ON p = cat.product_id WHERE is_searchable GROUP BY 1, 2 QUALIFY rank <= 50""",

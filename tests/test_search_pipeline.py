@@ -289,3 +289,36 @@ def test_hashes_and_lines(spark):
     half = spark.range(-7, 8).select("id", C.half_up(F.col("id"), F.lit(2).cast("bigint")).alias("h")).collect()
     assert all(r.h == (abs(r.id) + 1) // 2 * (1 if r.id >= 0 else -1) for r in half)
     assert list(itertools.islice(feed_rows(""), 1)) == []
+
+
+def test_parameters_come_back():
+    from stallwright.operators import params
+
+    state = params.read("?brand=Acme,other&color=Red&min=900&max=12.50&attr.storage=64gb&rating=4.5&sort=newest&page=3&limit=9999&junk=1&rating=x&min=-1")
+    assert state == {"filters": {"brand": ["acme", "other"], "color": ["red"], "storage": ["64gb"], "rating": "4.5", "least": 1250, "most": 90_000}, "sort": "newest", "page": 3, "limit": 100, "unknown": ["junk"]}
+    assert params.read(params.write(state)) == state | {"unknown": []}
+    assert params.read("sort=odd&page=x&availability=maybe&color=") == {"filters": {}, "sort": "relevance", "page": 1, "limit": 24, "unknown": []} and params.write(params.read("")) == ""
+    assert params.active(state) == 7 and {c["axis"] for c in params.chips(state)} == set(state["filters"])
+    assert "other" in params.chips(state)[0]["without"] and "acme" not in params.chips(state)[0]["without"]
+    assert params.merged({"least": 5}, {"least": 1, "most": 9, "brand": ["x"]}) == {"least": 5, "brand": ["x"]}
+    assert params.price("1,234.5") == 123_450 and params.price("1.234") is None
+
+
+def test_sink_adds_a_batch_once(spark, tmp_path):
+    from stallwright.sources import schemas
+
+    sink = schemas.Sink(spark, str(tmp_path / "events"), "search_events")
+    rows = spark.createDataFrame([("a", "CLICK", DAY, "clash"), ("b", None, DAY, ""), ("c", "CLICK", None, "")], "id string, event_type string, created_at timestamp, batch string")
+    assert sink.append(schemas.recordable(rows), "b1") and not sink.append(rows, "b1") and sink.append(rows.limit(1), "b2")
+    assert sorted((r.id, r.batch) for r in sink.read().collect()) == [("a", "b1"), ("a", "b2")]
+    assert schemas.problems(sink.read(), "search_events") == [] and "position is missing" in schemas.problems(rows, "search_events")
+    lists = spark.createDataFrame([(" L1", "UPSELL", "p", 1, DAY), ("l2", "UPSELL", "p", 0, DAY), ("l3", "UPSELL", "q", 2, DAY)], "list_id string, kind string, product_id string, position int, at timestamp")
+    got = schemas.impressions(lists, spark.createDataFrame([("l1", "r1"), (None, "r0")], "list_id string, request_id string"))
+    assert {(r.product_id, r.recommendation_request_id) for r in got.collect()} == {("p", "r1"), ("q", None)}
+
+
+def test_variant_grid(spark):
+    axes = spark.createDataFrame([("p", "size", 1, "m"), ("p", "color", 0, "red"), ("p", "color", 0, "blue"), ("p", "color", 0, "red"), ("q", "size", 0, "s")], "product_id string, axis string, place int, value string")
+    assert {(r.product_id, r.combo, tuple(r["values"])) for r in L.variant_grid(axes).collect()} == {("p", "color:red|size:m", ("red", "m")), ("p", "color:blue|size:m", ("blue", "m")), ("q", "size:s", ("s",))}
+    with pytest.raises(Exception, match="too many variants"):
+        L.variant_grid(axes, 1).collect()

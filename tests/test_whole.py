@@ -111,3 +111,21 @@ def test_caps_see_the_whole_category(spark, tmp_path, name):
     items.write.parquet(f"{tmp_path}/product_search_index.parquet")
     got = [r["product_id"] for r in sorted(entry.queries()[name](spark, str(tmp_path)).collect(), key=lambda r: r["final"])]
     assert got == ["a000", "a001", "z000", "z001", "z003", "z004", "z006", "z007"]
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_basket_pairs_with_long_baskets(spark, monkeypatch, least):
+    monkeypatch.setattr(R, "LONG_BASKET", 15)
+    rng = random.Random(6)
+    rows = {(f"b{rng.randrange(40)}", f"i{rng.randrange(30):02d}") for _ in range(300)} | {(f"long{n}", f"i{k:02d}") for n in range(4) for k in range(18 + 3 * n)}
+    baskets = {}
+    for b, i in rows:
+        baskets.setdefault(b, set()).add(i)
+    want = {}
+    for own in baskets.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = R.basket_pairs(spark.createDataFrame(sorted(rows), "basket string, item string"), least)
+    assert {(r.a, r.b): r.pairs for r in got.collect()} == {k: n for k, n in want.items() if n >= least}
