@@ -77,6 +77,15 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(documents, leaks(documents, table(spark, d, "eval_items"))).select("doc_id", "source", "lang")
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents in all, those with a leak and those kept, which must add up, and the leaks still in what is kept: none."""
+    documents, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    found = materialize(leaks(documents, items), "leaks")
+    kept = without_leaks(documents, found)
+    whole = documents.agg(F.count("*").alias("documents")).crossJoin(found.agg(F.count_distinct("doc_id").alias("leaking"))).crossJoin(kept.agg(F.count("*").alias("kept"))).crossJoin(leaks(kept, items).agg(F.count("*").alias("left")))  # one row each
+    return whole.select("documents", (F.col("leaking") + F.col("kept")).alias("accounted"), "left")
+
+
 def _mixture(spark: SparkSession, d: str, **how) -> Mixture:
     """Each source gives its target; within it, languages weigh the square root of their tokens, so small ones come up short and their siblings take the rest."""
     sized = materialize(sized_documents(table(spark, d, "documents")), "documents")
@@ -125,7 +134,17 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return consistent_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_vocabulary, p2_found, p2_changes, p8_found, p8_passages, p8_items, p8_clean, p9_mixture, p9_shares, p9_budgets, p9_fixed_size, p9_checks, p10_found, p10_classes, p10_texts)}
+def p10_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: texts with something to see before and after they are brought to one form, and those that a second time would change: none."""
+    documents = table(spark, d, "documents")
+    once = materialize(consistent_texts(documents), "once")
+    again = consistent_texts(once).withColumnRenamed("text", "again")
+    seen = F.count_if(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    changed = once.join(again, "doc_id").agg(F.count_if(F.col("text") != F.col("again")).alias("changed"))
+    return documents.agg(seen.alias("texts")).crossJoin(once.agg(seen.alias("same"))).crossJoin(changed)  # one row each
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p1_vocabulary, p2_found, p2_changes, p8_found, p8_passages, p8_items, p8_clean, p8_checks, p9_mixture, p9_shares, p9_budgets, p9_fixed_size, p9_checks, p10_found, p10_classes, p10_texts, p10_checks)}
 
 _KEY = "nullif(lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13))), '')".format
 _TERMS = f"""WITH fields AS (
@@ -148,6 +167,8 @@ ORACLE = {
     "p1_terms": _TERMS + "SELECT * FROM counts",
     "p1_vocabulary": _BANDS + "SELECT * FROM bands",
     "p2_found": _PAIRS + "SELECT item_a AS product_a, item_b AS product_b FROM scored WHERE n * total >= 8 * n_a * n_b",
+    "p8_checks": 'SELECT count(*) AS documents, count(*) AS accounted, 0::BIGINT AS "left" FROM documents',
+    "p10_checks": r"SELECT count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS texts, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS same, 0::BIGINT AS changed FROM documents",
     "p9_checks": f"""WITH held AS (SELECT DISTINCT translate({_KEY('source')}, ' -', '__') AS source FROM documents WHERE length(text) > 0)
  SELECT translate({_KEY('m.source')}, ' -', '__') AS source, true AS reached, true AS within_cap, true AS siblings_filled FROM mix_targets m JOIN held ON held.source = translate({_KEY('m.source')}, ' -', '__') WHERE target_share > 0""",
     "p2_changes": _PAIRS + "SELECT item_a, item_b, n, n_a, n_b, n * total::DOUBLE / (n_a * n_b) AS lift FROM scored",
