@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from stallwright.operators import candidates as N
 from stallwright.operators import log_analytics as A
 from stallwright.operators import recommend as R
 from stallwright.plans.log_queries import EVENTS
-from stallwright.plans.recommend_queries import _EW, _KINDS, _SIM, _W, _pairs_sql, co_view
+from stallwright.plans.recommend_queries import _EW, _KINDS, _SIM, _W, _pairs_sql, _viewed_of
 from stallwright.plans.search_queries import CAT, TOK
 from stallwright.sources.domain import behaviour, catalog
 from stallwright.storage import materialize
@@ -17,103 +18,116 @@ from stallwright.storage import materialize
 BOUGHT = ["PURCHASE", "ADD_TO_CART"]
 
 
-def _seeds(s, d):
-    return catalog(s, d).filter("is_searchable").select(F.col("product_id").alias("request"))
-
-
-def _bought(s, d):
-    """What goes into the cart or is bought in one session, of which pairs more frequent than chance."""
-    rows = behaviour(s, d).filter(F.col("kind").isin(BOUGHT) & F.col("session_id").isNotNull() & F.col("product_id").isNotNull())
-    return R.co_occurrence(rows.select(F.col("session_id").alias("basket"), F.col("product_id").alias("item")).distinct(), 2, N.LIFT_FLOOR, top=None)
+class Inputs:
+    """The tables that generators read; with ``keep`` those that several of them need are written once."""
 
+    def __init__(self, spark, folder: str, keep: bool = False):
+        self.spark, self.folder, self.keep = spark, folder, keep
 
-def _popularity(s, d):
-    return R.popularity(behaviour(s, d), catalog(s, d))
+    def _kept(self, rows, name: str):
+        return materialize(rows, name) if self.keep else rows
 
+    @cached_property
+    def items(self):
+        columns = ["product_id", "name", "slug", "brand_name", "category_path", "seller_id", "price_paise", "rating_average", "rating_count", "indexed_at", "is_searchable", "status", "popularity", "attribute_text"]
+        rows = catalog(self.spark, self.folder)
+        return self._kept(rows.select(columns), "items") if self.keep else rows
 
-def _scopes(s, d):
-    """Every category, and the whole catalog."""
-    paths = catalog(s, d).filter("category_path IS NOT NULL").select(F.col("category_path").alias("request"), F.lit("CATEGORY").alias("scope"), F.col("category_path").alias("scope_key")).distinct()
-    return paths.unionByName(s.createDataFrame([("all", "GLOBAL", "all")], "request string, scope string, scope_key string"))
+    @cached_property
+    def events(self):
+        return self._kept(behaviour(self.spark, self.folder), "events")
 
+    @cached_property
+    def now(self):
+        return self.items.agg(F.max("indexed_at").alias("now"))
 
-def _of_subjects(s, d, *kinds):
-    """Distinct (request, product_id) of what subjects did."""
-    rows = behaviour(s, d).filter(F.col("kind").isin(*kinds) & F.col("subject").isNotNull() & F.col("product_id").isNotNull())
-    return rows.select(F.col("subject").alias("request"), "product_id").distinct()
+    @cached_property
+    def seeds(self):
+        return self.items.filter("is_searchable").select(F.col("product_id").alias("request"))
 
+    @cached_property
+    def similarity(self):
+        return materialize(R.content_similarity(self.items), "similarity")
 
-def similar(s, d):
-    items = catalog(s, d)
-    return N.similar(_seeds(s, d), materialize(R.content_similarity(items), "similarity"), items)
+    @cached_property
+    def viewed(self):
+        return self._kept(R.co_occurrence(_viewed_of(self.events), 3, 1.2, top=None), "viewed")
 
+    @cached_property
+    def bought(self):
+        """What goes into the cart or is bought in one session, of which pairs more frequent than chance."""
+        rows = self.events.filter(F.col("kind").isin(BOUGHT) & F.col("session_id").isNotNull() & F.col("product_id").isNotNull())
+        return self._kept(R.co_occurrence(rows.select(F.col("session_id").alias("basket"), F.col("product_id").alias("item")).distinct(), 2, N.LIFT_FLOOR, top=None), "bought")
 
-def upsell(s, d):
-    items = catalog(s, d)
-    return N.dearer(_seeds(s, d), R.content_similarity(items), items)
+    @cached_property
+    def popularity(self):
+        return R.popularity(self.events, self.items)
 
+    @cached_property
+    def profiles(self):
+        return self._kept(R.interest_profiles(self.events, self.items), "profiles")
 
-def interest(s, d):
-    return N.by_interest(R.interest_profiles(behaviour(s, d), catalog(s, d)), catalog(s, d), 24)
+    @cached_property
+    def scopes(self):
+        """Every category, and the whole catalog."""
+        paths = self.items.filter("category_path IS NOT NULL").select(F.col("category_path").alias("request"), F.lit("CATEGORY").alias("scope"), F.col("category_path").alias("scope_key")).distinct()
+        return paths.unionByName(self.spark.createDataFrame([("all", "GLOBAL", "all")], "request string, scope string, scope_key string"))
 
+    def did(self, *kinds: str):
+        """Distinct (request, product_id) of what subjects did."""
+        rows = self.events.filter(F.col("kind").isin(*kinds) & F.col("subject").isNotNull() & F.col("product_id").isNotNull())
+        return rows.select(F.col("subject").alias("request"), "product_id").distinct()
 
-def recent(s, d):
-    seen = A.recently_viewed(behaviour(s, d)).select(F.col("subject").alias("request"), "product_id", "rank")
-    return N.seen_lately(seen)
 
-
-def cold(s, d):
-    one = s.createDataFrame([("anonymous",)], "request string")
-    items = catalog(s, d)
-    return N.cold_start(one, items, items.agg(F.max("indexed_at").alias("now")))
+def _recent(t: Inputs):
+    return N.seen_lately(A.recently_viewed(t.events).select(F.col("subject").alias("request"), "product_id", "rank"))
 
 
 GENERATORS = {
-    "SIMILAR_PRODUCTS": similar,
-    "CUSTOMER_ALSO_VIEWED": lambda s, d: N.co_bought(_seeds(s, d), co_view(s, d, None), source="CO_VIEW"),
-    "CUSTOMER_ALSO_BOUGHT": lambda s, d: N.co_bought(_seeds(s, d), _bought(s, d)),
-    "CROSS_SELL": lambda s, d: N.complements(_seeds(s, d), _bought(s, d), catalog(s, d)),
-    "UPSELL": upsell,
-    "CART_RECOMMENDATIONS": lambda s, d: N.with_basket(_of_subjects(s, d, "ADD_TO_CART").withColumnRenamed("product_id", "item"), _bought(s, d), 24),
-    "TRENDING_PRODUCTS": lambda s, d: N.trending(_scopes(s, d), R.trending(behaviour(s, d)), _popularity(s, d)),
-    "POPULAR_IN_CATEGORY": lambda s, d: N.popular(_scopes(s, d), _popularity(s, d)),
-    "RECENTLY_VIEWED": recent,
-    "PERSONALIZED_FOR_YOU": interest,
-    "ANONYMOUS_RECOMMENDATIONS": cold,
+    "SIMILAR_PRODUCTS": lambda t: N.similar(t.seeds, t.similarity, t.items),
+    "CUSTOMER_ALSO_VIEWED": lambda t: N.co_bought(t.seeds, t.viewed, source="CO_VIEW"),
+    "CUSTOMER_ALSO_BOUGHT": lambda t: N.co_bought(t.seeds, t.bought),
+    "CROSS_SELL": lambda t: N.complements(t.seeds, t.bought, t.items),
+    "UPSELL": lambda t: N.dearer(t.seeds, t.similarity, t.items),
+    "CART_RECOMMENDATIONS": lambda t: N.with_basket(t.did("ADD_TO_CART").withColumnRenamed("product_id", "item"), t.bought, 24),
+    "TRENDING_PRODUCTS": lambda t: N.trending(t.scopes, R.trending(t.events), t.popularity),
+    "POPULAR_IN_CATEGORY": lambda t: N.popular(t.scopes, t.popularity),
+    "RECENTLY_VIEWED": _recent,
+    "PERSONALIZED_FOR_YOU": lambda t: N.by_interest(t.profiles, t.items, 24),
+    "ANONYMOUS_RECOMMENDATIONS": lambda t: N.cold_start(t.spark.createDataFrame([("anonymous",)], "request string"), t.items, t.now),
 }
 SCORED = ["SIMILAR_PRODUCTS", "CUSTOMER_ALSO_VIEWED", "CUSTOMER_ALSO_BOUGHT", "CROSS_SELL", "UPSELL", "PERSONALIZED_FOR_YOU"]
 
 
-def _scored(s, d):
+def _scored(t: Inputs):
     """The candidates of product slots and of the personal one, scored with all that is known of them."""
-    items = materialize(catalog(s, d).select("product_id", "name", "slug", "brand_name", "category_path", "seller_id", "price_paise", "rating_average", "rating_count", "indexed_at", "is_searchable", "status", "popularity", "attribute_text"), "catalog")
     rows = None
     for kind in SCORED:
-        own = GENERATORS[kind](s, d).withColumn("kind", F.lit(kind))
+        own = GENERATORS[kind](t).withColumn("kind", F.lit(kind))
         rows = own if rows is None else rows.unionByName(own)
-    rows = N.hydrated(rows, items)
-    counted = R.product_counters(behaviour(s, d)).select("product_id", F.log1p(R.activity()).alias("pop"))
+    rows = N.hydrated(rows, t.items)
+    counted = R.product_counters(t.events).select("product_id", F.log1p(R.activity()).alias("pop"))
     best = counted.agg(F.max("pop").alias("best"))
     rows = rows.join(counted, "product_id", "left").crossJoin(best).withColumn("popularity", F.col("pop") / F.col("best"))  # best is one row
-    seed = items.select(F.col("product_id").alias("request"), F.col("brand_name").alias("b0"), F.col("category_path").alias("c0"))
+    seed = t.items.select(F.col("product_id").alias("request"), F.col("brand_name").alias("b0"), F.col("category_path").alias("c0"))
     same = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("double"), F.lit(0.0))
     rows = rows.join(seed, "request", "left").withColumn("context", 0.7 * same("category_path", "c0") + 0.3 * same("brand_name", "b0"))
-    profiles = R.interest_profiles(behaviour(s, d), catalog(s, d))
     for dimension, column in (("CATEGORY", "category_path"), ("BRAND", "brand_name"), ("PRODUCT", "product_id")):
-        own = profiles.filter(F.col("dimension") == dimension).select(F.col("subject").alias("request"), F.col("key").alias(column), F.col("weight").alias(f"w_{dimension}"))
+        own = t.profiles.filter(F.col("dimension") == dimension).select(F.col("subject").alias("request"), F.col("key").alias(column), F.col("weight").alias(f"w_{dimension}"))
         rows = rows.join(own, ["request", column], "left")
     weighed = sum((F.coalesce(f"w_{k}", F.lit(0.0)) * F.lit(w) for k, w in N.C.DIMENSION_WEIGHTS.items() if k in ("CATEGORY", "BRAND", "PRODUCT")), F.lit(0.0))
-    tired = A.over_exposed(behaviour(s, d)).select(F.col("subject").alias("request"), "product_id", F.lit(True).alias("overexposed"))
+    tired = A.over_exposed(t.events).select(F.col("subject").alias("request"), "product_id", F.lit(True).alias("overexposed"))
     rows = rows.withColumn("interest", weighed / sum(N.C.DIMENSION_WEIGHTS.values())).join(tired, ["request", "product_id"], "left").withColumn("repeated", F.lit(False))
-    return N.score(rows, catalog(s, d).agg(F.max("indexed_at").alias("now")), SCORED)
+    return N.score(rows, t.now, SCORED)
 
 
 def recommendation_scores(s, d):
-    return _scored(s, d).select("kind", "request", "product_id", *(f"part_{n}" for n in (*N._PARTS, *N._PENALTIES)), "score", "dominant")
+    return _scored(Inputs(s, d, True)).select("kind", "request", "product_id", *(f"part_{n}" for n in (*N._PARTS, *N._PENALTIES)), "score", "dominant")
 
 
 def _excluded(s, d):
-    return N.exclude(_scored(s, d), _of_subjects(s, d, "ADD_TO_CART"), _of_subjects(s, d, "PURCHASE"), _of_subjects(s, d, "PRODUCT_CLICK"), _of_subjects(s, d, "NOT_INTERESTED"))
+    t = Inputs(s, d, True)
+    return N.exclude(_scored(t), t.did("ADD_TO_CART"), t.did("PURCHASE"), t.did("PRODUCT_CLICK"), t.did("NOT_INTERESTED"))
 
 
 def recommendation_exclusions(s, d):
@@ -126,7 +140,11 @@ def recommendation_lists(s, d):
     return R.cap_share(kept, "list", "rank", "seller_id", 8, N.seller_ceiling(8)).select("kind", "request", "product_id", "score", "final")
 
 
-QUERIES = {f"candidates_{k.lower()}": f for k, f in GENERATORS.items()} | {f.__name__: f for f in (recommendation_scores, recommendation_exclusions, recommendation_lists)}
+def _alone(generator):
+    return lambda s, d: generator(Inputs(s, d))
+
+
+QUERIES = {f"candidates_{k.lower()}": _alone(f) for k, f in GENERATORS.items()} | {f.__name__: f for f in (recommendation_scores, recommendation_exclusions, recommendation_lists)}
 
 _OPEN = "seeds AS (SELECT product_id AS request FROM cat WHERE is_searchable)"
 _SIMREL = f"""simr AS (SELECT product_id, category_path, brand_name, price_paise, {TOK('attribute_text')} AS att, {TOK('name')} AS wrd FROM cat WHERE category_path IS NOT NULL),

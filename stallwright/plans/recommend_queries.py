@@ -24,8 +24,12 @@ def _baskets(s, d, item="p_name"):
 
 
 def _viewed(s, d):
+    return _viewed_of(behaviour(s, d))
+
+
+def _viewed_of(events):
     """Distinct (subject, product) of views and clicks; the subject is the user, or the session where no user is known."""
-    rows = behaviour(s, d).filter("kind IN ('PRODUCT_VIEW', 'PRODUCT_CLICK') AND subject IS NOT NULL AND product_id IS NOT NULL")
+    rows = events.filter("kind IN ('PRODUCT_VIEW', 'PRODUCT_CLICK') AND subject IS NOT NULL AND product_id IS NOT NULL")
     return rows.select(F.col("subject").alias("basket"), F.col("product_id").alias("item")).distinct()
 
 

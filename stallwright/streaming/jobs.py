@@ -29,9 +29,9 @@ def event_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def unique_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Each event id once within the watermark; later copies of an id arrive too late to count."""
-    rows = events.select(norm_key("id").alias("event_id"), F.col("created_at").alias("time"), norm_type("event_type").alias("kind"), F.coalesce(norm_key("user_id"), norm_key("session_id")).alias("subject"), norm_key("product_id").alias("product_id"), norm_key("source").alias("source"))
+def unique_stream(events: DataFrame, late: str = "1 day", *more) -> DataFrame:
+    """Each event id once within the watermark, with ``more`` columns; later copies of an id arrive too late to count."""
+    rows = events.select(*more, norm_key("id").alias("event_id"), F.col("created_at").alias("time"), norm_type("event_type").alias("kind"), F.coalesce(norm_key("user_id"), norm_key("session_id")).alias("subject"), norm_key("product_id").alias("product_id"), norm_key("source").alias("source"))
     return rows.filter("event_id IS NOT NULL AND time IS NOT NULL").withWatermark("time", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -46,7 +46,7 @@ def visits(events: DataFrame, gap_us: int = HALF_HOUR_US, late: str = "1 day") -
 
 
 def interest(events: DataFrame) -> DataFrame:
-    """``(subject, product_id, weight, signals)`` after each batch: interest that halves every two weeks and never falls below zero.
+    """``(subject, dimension, key, weight, signals)`` after each batch: interest in products, brands and categories that halves every two weeks and never falls below zero.
 
     The floor makes the result depend on order, so a key's events are folded by time, in state
     of constant size.
@@ -65,10 +65,12 @@ def interest(events: DataFrame) -> DataFrame:
                 add *= 0.5 ** ((at - us) / (HALF_LIFE_DAYS * DAY_US))
             weight, at, signals = max(0.0, weight + add), max(int(us), at), signals + 1
         state.update((float(weight), int(at), int(signals)))
-        yield pd.DataFrame([(*key, weight, signals)], columns=["subject", "product_id", "weight", "signals"])
+        yield pd.DataFrame([(*key, weight, signals)], columns=["subject", "dimension", "key", "weight", "signals"])
 
-    rows = unique_stream(events).filter(F.col("subject").isNotNull() & F.col("product_id").isNotNull() & F.col("kind").isin(list(EVENT_WEIGHTS))).select("subject", "product_id", "kind", F.unix_micros("time").alias("us"))
-    return rows.groupBy("subject", "product_id").applyInPandasWithState(fold, "subject string, product_id string, weight double, signals bigint", "weight double, at bigint, signals bigint", "update", GroupStateTimeout.NoTimeout)
+    own = unique_stream(events, "1 day", norm_key("brand_id").alias("brand_id"), norm_key("category_id").alias("category_id"))
+    axes = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).alias("key")) for d, c in (("PRODUCT", "product_id"), ("BRAND", "brand_id"), ("CATEGORY", "category_id"))))
+    rows = own.filter(F.col("subject").isNotNull() & F.col("kind").isin(list(EVENT_WEIGHTS))).select("subject", F.explode(axes).alias("d"), "kind", F.unix_micros("time").alias("us")).select("subject", "d.dimension", "d.key", "kind", "us").filter("key IS NOT NULL")
+    return rows.groupBy("subject", "dimension", "key").applyInPandasWithState(fold, "subject string, dimension string, key string, weight double, signals bigint", "weight double, at bigint, signals bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 class OrphanFollower:

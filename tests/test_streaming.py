@@ -28,7 +28,7 @@ def test_daily_rollup(spark, data, tmp_path):
 
 def test_interest_state(spark, data, tmp_path):
     got = run(jobs.interest(parts(spark, data, tmp_path, "analytics_events")), "interest", "update")
-    assert got.filter("weight < 0").count() == 0 and got.filter("signals > 0").count() > 0
+    assert got.filter("weight < 0").count() == 0 and {r.dimension for r in got.filter("signals > 0").select("dimension").distinct().collect()} == {"PRODUCT", "BRAND", "CATEGORY"}
 
 
 def test_orphans_follow_streams(spark, data, tmp_path):
