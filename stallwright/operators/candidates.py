@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallwright.functions import scoring as C
+from stallwright.operators.scans import ordered_fold
 
 DAY_US = 86_400_000_000
 POOL = 120
@@ -46,6 +47,7 @@ BUDGETS = {
     "SIMILAR_PRODUCTS": (4, 8, 4), "RELATED_PRODUCTS": (3, 6, 3), "FREQUENTLY_BOUGHT_TOGETHER": (6, 6, 6), "CUSTOMER_ALSO_BOUGHT": (3, 5, 3), "CUSTOMER_ALSO_VIEWED": (3, 6, 3), "TRENDING_PRODUCTS": (2, 3, 2), "POPULAR_IN_CATEGORY": (2, 10, 2), "RECENTLY_VIEWED": (6, 6, 6), "CONTINUE_SHOPPING": (2, 3, 2),
     "PERSONALIZED_FOR_YOU": (2, 3, 2), "CART_RECOMMENDATIONS": (3, 4, 3), "CHECKOUT_RECOMMENDATIONS": (2, 3, 2), "POST_PURCHASE_RECOMMENDATIONS": (3, 4, 3), "CROSS_SELL": (3, 4, 3), "UPSELL": (4, 8, 4), "NEW_USER_RECOMMENDATIONS": (2, 2, 2), "ANONYMOUS_RECOMMENDATIONS": (2, 3, 2),
 }
+DEFAULT_BUDGET = (3, 4, 3)
 # Reasons and policies of exclusion; what a slot doesn't name is as in DEFAULT_POLICY.
 DEFAULT_POLICY = {"in_stock": True, "cart": True, "purchased": False, "shown": True, "self": True, "duplicates": True}
 TYPE_POLICIES = {"POST_PURCHASE_RECOMMENDATIONS": {"purchased": True}, "RECENTLY_VIEWED": {"shown": False}, "CONTINUE_SHOPPING": {"shown": False, "purchased": True}, "NEW_USER_RECOMMENDATIONS": {"shown": False}}
@@ -241,6 +243,24 @@ def seller_ceiling(limit: int, share: float = 0.4) -> int:
     return max(1, int(limit * min(0.6, max(0.1, share))))
 
 
+def diversified(ranked: DataFrame, limit: int) -> DataFrame:
+    """``ranked`` with ``final`` places: in order of rank no more of one brand, category and seller than the budget of the slot, then the rest, up to ``limit``."""
+
+    def step(used: dict, row: tuple) -> tuple[dict, tuple]:
+        kind, *keys = row
+        held = [(k, v) for k, v in enumerate(keys) if v is not None]
+        taken = all(used.get(key, 0) < BUDGETS.get(kind, DEFAULT_BUDGET)[key[0]] for key in held)
+        if taken:
+            for key in held:
+                used[key] = used.get(key, 0) + 1
+        return used, (taken,)
+
+    rows = ranked.select("kind", "request", "rank", "product_id", "score", "brand_name", "category_path", "seller_id", F.col("kind").alias("_kind"))
+    folded = ordered_fold(rows, ["kind", "request"], ["rank", "product_id", "score"], ["_kind", "brand_name", "category_path", "seller_id"], dict, step, "taken boolean")
+    final = F.row_number().over(W.partitionBy("kind", "request").orderBy(F.desc("taken"), "rank"))
+    return folded.withColumn("final", final).filter(F.col("final") <= limit).select("kind", "request", "product_id", "score", "final")
+
+
 def explore(lists: DataFrame, probability: float, seed: int = 1) -> DataFrame:
     """``lists(kind, request, product_id, rank, ...)`` with some of the back half moved within it; the same for the same seed.
 

@@ -7,14 +7,12 @@ time in the data; every top-k has the id as its last tie-break.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stallwright.functions.text import jaccard, tokens
-from stallwright.operators.scans import placed
+from stallwright.operators.scans import ordered_fold, placed
 from stallwright.storage import default_buckets, materialize
 
 DAY_US = 86_400_000_000
@@ -241,28 +239,26 @@ def cap_share(ranked: DataFrame, request: str, rank: str, key: str, limit: int,
 
 
 def diversify(ranked: DataFrame, request: str, rank: str, axes: dict[str, int], limit: int) -> DataFrame:
-    """Greedy caps on several axes at once, in order of rank, with refill; the list of a request has to fit a task.
+    """Greedy caps on several axes at once, in order of rank; what is over a cap fills up the end. Null keys are exempt.
 
-    Each choice depends on those before it, so a request is folded as one pandas group.
+    Each choice depends on those before it, so a request is folded in order of rank, holding no more than how often each key was taken.
     """
-    schema = T.StructType([*ranked.schema.fields, T.StructField("final", T.IntegerType())])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(rank, kind="stable")
-        used: dict[tuple, int] = {}
-        taken, deferred = [], []
-        for at, row in enumerate(rows[list(axes)].itertuples(index=False)):
-            keys = [(a, v) for a, v in zip(axes, row) if v is not None and v == v]
-            if all(used.get(k, 0) < axes[k[0]] for k in keys):
-                taken.append(at)
-                for k in keys:
-                    used[k] = used.get(k, 0) + 1
-            else:
-                deferred.append(at)
-        order = (taken + deferred)[:limit]
-        return rows.iloc[order].assign(final=range(1, len(order) + 1))
-
-    return ranked.groupBy(request).applyInPandas(fold, schema)
+    caps = list(axes.values())
+
+    def step(used: dict, row: tuple) -> tuple[dict, tuple]:
+        keys = [(k, v) for k, v in enumerate(row) if v is not None]
+        taken = all(used.get(key, 0) < caps[key[0]] for key in keys)
+        if taken:
+            for key in keys:
+                used[key] = used.get(key, 0) + 1
+        return used, (taken,)
+
+    rest = [c for c in ranked.columns if c not in (request, rank)]
+    copies = {a: f"_{a}" for a in axes}  # the keys are handed to the fold and kept
+    rows = ranked.select("*", *(F.col(a).alias(c) for a, c in copies.items()))
+    folded = ordered_fold(rows, [request], [rank, *rest], list(copies.values()), dict, step, "taken boolean")
+    final = F.row_number().over(W.partitionBy(request).orderBy(F.desc("taken"), rank))
+    return folded.withColumn("final", final).filter(F.col("final") <= limit).select(*ranked.columns, "final")
 
 
 def fallback_ladder(rungs: list[DataFrame], limit: int) -> DataFrame:

@@ -140,11 +140,16 @@ def recommendation_lists(s, d):
     return R.cap_share(kept, "list", "rank", "seller_id", 8, N.seller_ceiling(8)).select("kind", "request", "product_id", "score", "final")
 
 
+def recommendation_diverse(s, d):
+    """The same candidates under the budgets of their slots for brands, categories and sellers."""
+    return N.diversified(N.ranked(_excluded(s, d).filter("reason IS NULL")), 12)
+
+
 def _alone(generator):
     return lambda s, d: generator(Inputs(s, d))
 
 
-QUERIES = {f"candidates_{k.lower()}": _alone(f) for k, f in GENERATORS.items()} | {f.__name__: f for f in (recommendation_scores, recommendation_exclusions, recommendation_lists)}
+QUERIES = {f"candidates_{k.lower()}": _alone(f) for k, f in GENERATORS.items()} | {f.__name__: f for f in (recommendation_scores, recommendation_exclusions, recommendation_lists, recommendation_diverse)}
 
 _OPEN = "seeds AS (SELECT product_id AS request FROM cat WHERE is_searchable)"
 _SIMREL = f"""simr AS (SELECT product_id, category_path, brand_name, price_paise, {TOK('attribute_text')} AS att, {TOK('name')} AS wrd FROM cat WHERE category_path IS NOT NULL),
@@ -217,6 +222,13 @@ _REASONS = f"""{_SCORES}, carted AS ({_SIDE('ADD_TO_CART')}), shown AS ({_SIDE('
 ORACLE = {f"candidates_{k.lower()}": f"{_BASE}, {', '.join(parts)} {sql}" for k, (parts, sql) in _GEN.items()} | {
     "recommendation_scores": f"{_SCORES} SELECT kind, request, product_id, {', '.join(f'part_{n}' for n in (*N._PARTS, *N._PENALTIES))}, score, dominant FROM sc",
     "recommendation_exclusions": f"{_REASONS} SELECT kind, coalesce(reason, 'KEPT') AS reason, count(*) AS candidates, count(DISTINCT request) AS requests FROM ex GROUP BY 1, 2",
+    "recommendation_diverse": f"""{_REASONS}, rk AS (SELECT *, row_number() OVER (PARTITION BY kind, request ORDER BY score DESC, coalesce(stars, 0) DESC, price_paise, product_id) AS k FROM ex WHERE reason IS NULL),
+ bd AS (SELECT unnest([{', '.join(f"'{k}'" for k in SCORED)}]) AS kind, unnest([{', '.join(str(N.BUDGETS[k][0]) for k in SCORED)}]) AS mb, unnest([{', '.join(str(N.BUDGETS[k][1]) for k in SCORED)}]) AS mc, unnest([{', '.join(str(N.BUDGETS[k][2]) for k in SCORED)}]) AS ms),
+ wk AS (SELECT kind, request, 0::BIGINT AS k, NULL::VARCHAR AS product_id, 0.0::DOUBLE AS score, []::VARCHAR[] AS bs, []::VARCHAR[] AS cs, []::VARCHAR[] AS ss, false AS taken FROM (SELECT DISTINCT kind, request FROM rk)
+  UNION ALL SELECT kind, request, k, product_id, score, CASE WHEN fits THEN bs || [brand_name] ELSE bs END, CASE WHEN fits THEN cs || [category_path] ELSE cs END, CASE WHEN fits THEN ss || [seller_id] ELSE ss END, fits FROM (
+   SELECT r.kind, r.request, r.k, r.product_id, r.score, r.brand_name, r.category_path, r.seller_id, bs, cs, ss, (r.brand_name IS NULL OR len(list_filter(bs, lambda x: x = r.brand_name)) < mb) AND (r.category_path IS NULL OR len(list_filter(cs, lambda x: x = r.category_path)) < mc) AND (r.seller_id IS NULL OR len(list_filter(ss, lambda x: x = r.seller_id)) < ms) AS fits
+   FROM wk w JOIN rk r ON r.kind = w.kind AND r.request = w.request AND r.k = w.k + 1 JOIN bd ON bd.kind = r.kind) z)
+ SELECT kind, request, product_id, score, row_number() OVER (PARTITION BY kind, request ORDER BY taken DESC, k) AS final FROM wk WHERE k > 0 QUALIFY final <= 12""",
     "recommendation_lists": f"""{_REASONS}, rk AS (SELECT *, row_number() OVER (PARTITION BY kind, request ORDER BY score DESC, coalesce(stars, 0) DESC, price_paise, product_id) AS rank FROM ex WHERE reason IS NULL),
  ov AS (SELECT *, coalesce(seller_id IS NOT NULL AND row_number() OVER (PARTITION BY kind, request, seller_id ORDER BY rank) > 3, false) AS over_ FROM rk) SELECT kind, request, product_id, score, row_number() OVER (PARTITION BY kind, request ORDER BY over_, rank) AS final FROM ov QUALIFY final <= 8""",
 }

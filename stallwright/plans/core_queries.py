@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallwright.functions.keys import norm_key
 from stallwright.operators.attributes import attribute_failures, filled_cells, wide_attributes
 from stallwright.operators.features import entity_features
 from stallwright.operators.hierarchy import Hierarchy, resolve_hierarchy
-from stallwright.functions.keys import norm_key
 from stallwright.operators.references import ReferenceState, distinct_rows, existence_deltas, failed_references, orphan_report, reference_deltas
 from stallwright.operators.sessions import shopper_visits
 from stallwright.sources.tables import table
+from stallwright.storage import materialize
 
 ENTITIES = {"user": "user_id", "product": "product_id"}
 
@@ -54,7 +55,7 @@ CUT, KEPT_FROM = "2025-11-15", "2025-11-06"
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     """``(ref_field, key, state, refs)`` of the keys that fail after a first load, later arrivals and the deletion of old logs, all as deltas of one state."""
-    events = distinct_rows(table(spark, d, "search_events"), "id", F.col("search_log_id"), F.col("product_id"), F.col("created_at"))
+    events = materialize(distinct_rows(table(spark, d, "search_events"), "id", F.col("search_log_id"), F.col("product_id"), F.col("created_at")), "events")
     logs, products = table(spark, d, "search_query_logs"), table(spark, d, "product_search_index")
     state = ReferenceState(spark)
     for batch, when in enumerate((f"< '{CUT}'", f">= '{CUT}'")):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stallwright.functions import text as T
 from stallwright.operators import recommend as R
 from stallwright.operators import search as S
+from stallwright.operators.index import SearchIndex
 from stallwright.sources.feed import mark_duplicates, read_feed, validate
 
 WORDS = st.text("abc", max_size=7)
@@ -74,7 +75,7 @@ def test_search_needs_every_word(spark):
     rows = [("p1", "red clay mug", 1.0), ("p2", "red tee", 2.0), ("p3", None, None)]
     df = spark.createDataFrame([(p, n, *[None] * (len(fields) - 1), pop, None) for p, n, pop in rows], "product_id string, " + ", ".join(f"{f} string" for f in fields) + ", popularity double, rating_average double")
     queries = spark.createDataFrame([("red mug",), ("re",), ("red clya",), ("red zebra",), ("",), ("!!",)], "query string")
-    got = {(r.query, r.product_id, r.fuzzy) for r in S.bm25_search(queries, df).collect()}
+    got = {(r.query, r.product_id, r.fuzzy) for r in SearchIndex(spark).upsert(df).search(queries).collect()}
     assert got == {("red mug", "p1", False), ("re", "p1", False), ("re", "p2", False), ("red clya", "p1", True)}
 
 
