@@ -82,8 +82,10 @@ class Table:
         watch = Observation()
         watched = df.observe(watch, *(c.alias(n) for n, c in seen.items())) if seen else df
         watched.write.parquet(self.path)
-        self.seen: dict = watch.get if seen else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.seen: dict = watch.get if seen else {}
+        if set(self.seen) != set(seen):  # a plan without rows may have lost the watch
+            self.seen = self.df.agg(*(c.alias(n) for n, c in seen.items())).first().asDict()
 
     def drop(self) -> None:
         delete(self.spark, self.path)
